@@ -154,4 +154,4 @@ def grams(h: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         edge = begins[1:-1] - k
         ok[edge[(edge >= 0) & (edge < len(ok))]] = False
     at = np.flatnonzero(ok)
-    return mix(acc[at] + np.uint64(n) * M3), at
+    return mix(acc[at] + np.uint64(n)), at

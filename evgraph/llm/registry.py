@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import language_id, quality, url_filter
 
 
 def queries() -> dict:
-    return {"op9_language_id": language_id.op9_language_id}
+    return {
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op8_url_filter": url_filter.op8_url_filter,
+        "op9_language_id": language_id.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_url_filter": url_filter.ORACLE}
