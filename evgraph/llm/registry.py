@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, quality, url_filter
+from . import ann, language_id, quality, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
+        "op10_nearest_neighbours": ann.op10_nearest_neighbours,
     }
 
 
