@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, quality, url_filter
+from . import ann, language_id, near_dup, quality, url_filter
 
 
 def queries() -> dict:
     return {
         "op4_quality_classifier": quality.op4_quality_classifier,
+        "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
         "op10_nearest_neighbours": ann.op10_nearest_neighbours,
