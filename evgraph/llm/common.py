@@ -100,10 +100,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every text, and where each text's words begin."""
+def words(buf: np.ndarray, off: np.ndarray, ends_word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every text, and where each text's words begin.
+
+    ``ends_word``: a table of the bytes that part words instead.
+    """
     n = len(buf) - 8
-    inside = ~SPACE[buf[:n]]
+    inside = ~(SPACE if ends_word is None else ends_word)[buf[:n]]
     first = np.empty(n, bool)
     last = np.empty(n, bool)
     if n:

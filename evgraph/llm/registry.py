@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, language_id, near_dup, quality, substring_dedup, url_filter
+from . import ann, decontaminate, language_id, near_dup, quality, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
