@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ PARTS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 def tokens(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of every text, and where each text's begin."""
-    buf, off = utf8(arr, lower=True)
+    buf, off = utf8(pc.utf8_lower(arr.cast(pa.string())))
     starts, ends, begins = words(buf, off, PARTS)
     return word_hashes(buf, starts, ends, seed=3), begins
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language_id, near_dup, quality, substring_dedup, url_filter
+from . import ann, decontaminate, language_id, near_dup, quality, sentencepiece_scan, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_sentencepiece": sentencepiece_scan.op2_sentencepiece,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
