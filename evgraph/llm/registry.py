@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language_id, near_dup, quality, sentencepiece_scan, substring_dedup, url_filter
+from . import ann, decontaminate, language_id, near_dup, packing, quality, sentencepiece_scan, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
+        "op7_token_packing": packing.op7_token_packing,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
         "op10_nearest_neighbours": ann.op10_nearest_neighbours,
