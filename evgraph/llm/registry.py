@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language_id, near_dup, packing, quality, sentencepiece_scan, substring_dedup, url_filter
+from . import ann, decontaminate, language_id, near_dup, packing, quality, sentencepiece_scan, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_sentencepiece": sentencepiece_scan.op2_sentencepiece,
+        "op3_warc": warc.op3_warc,
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_filter": url_filter.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op8_url_filter": url_filter.ORACLE}
