@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from evgraph.plans import graph
+
+MODULES = (graph,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.QUERIES["impact"][0](spark, sf_dir)
