@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.plans import graph
+from evgraph.plans import docs, graph, retrieval
 
-MODULES = (graph,)
+MODULES = (graph, retrieval, docs)
 
 
 def queries() -> dict:

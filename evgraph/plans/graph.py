@@ -103,18 +103,23 @@ r{i + 1} AS MATERIALIZED (SELECT v.grp, v.id, 0.15 * (CASE WHEN v.id = v.grp THE
 
 
 def _cyclic(spark, d) -> DataFrame:
-    """Parts and suppliers: a part uses a supplier; on returns of every seventh part, the supplier uses it back."""
-    rows = tables.read(spark, d, "lineitem").where("l_partkey % 5 = 0").select("l_partkey", "l_suppkey", "l_returnflag")
+    """Parts and suppliers: a part uses a supplier; where a full lot comes back, the supplier uses the part."""
+    rows = tables.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     fwd = rows.select(tables.node_id("part", "l_partkey").alias("source"), tables.node_id("supplier", "l_suppkey").alias("target"))
-    back = rows.where("l_returnflag = 'R' AND (l_partkey + l_suppkey) % 7 = 0").select(tables.node_id("supplier", "l_suppkey").alias("source"), tables.node_id("part", "l_partkey").alias("target"))
+    back = rows.where("l_returnflag = 'R' AND l_quantity >= 50").select(tables.node_id("supplier", "l_suppkey").alias("source"), tables.node_id("part", "l_partkey").alias("target"))
     return fwd.unionByName(back).distinct()
 
 
-SQL_CYCLIC = """cyc AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS source, 'supplier:' || l_suppkey AS target FROM lineitem WHERE l_partkey % 5 = 0
-  UNION SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem WHERE l_partkey % 5 = 0 AND l_returnflag = 'R' AND (l_partkey + l_suppkey) % 7 = 0),
-reach(a, b) AS (SELECT source, target FROM cyc UNION SELECT r.a, c.target FROM reach r JOIN cyc c ON r.b = c.source),
-vs AS (SELECT source AS id FROM cyc UNION SELECT target FROM cyc),
-comp AS (SELECT id, least(id, coalesce((SELECT min(x.b) FROM reach x JOIN reach y ON x.b = y.a AND y.b = x.a WHERE x.a = id AND y.b = id), id)) AS component FROM vs)"""
+SQL_CYCLIC = """cyc AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS source, 'supplier:' || l_suppkey AS target FROM lineitem
+  UNION SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50),
+vs AS (SELECT source AS id FROM cyc UNION SELECT target FROM cyc), hubs AS (SELECT DISTINCT source AS id FROM cyc WHERE source IN (SELECT target FROM cyc) AND target IN (SELECT source FROM cyc) AND source LIKE 'supplier:%'),
+hop AS MATERIALIZED (SELECT DISTINCT x.source AS a, y.target AS b FROM cyc x JOIN cyc y ON x.target = y.source WHERE x.source IN (SELECT id FROM hubs)),
+reach(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, h.b FROM reach r JOIN hop h ON r.b = h.a),
+mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.b = y.a AND x.a = y.b),
+sup AS (SELECT a AS id, min(b) AS c FROM mutual GROUP BY a),
+way AS (SELECT s.c, p.source AS id FROM sup s JOIN cyc p ON p.target = s.id WHERE p.source IN (SELECT target FROM cyc JOIN sup t ON t.id = cyc.source AND t.c = s.c)),
+memb AS (SELECT c, id FROM way UNION SELECT c, id FROM sup), names AS (SELECT c, min(id) AS component FROM memb GROUP BY c),
+comp AS (SELECT vs.id, coalesce(names.component, vs.id) AS component FROM vs LEFT JOIN (SELECT DISTINCT c, id FROM memb) m ON m.id = vs.id LEFT JOIN names ON names.c = m.c)"""
 
 
 def scc(spark, d):
