@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.plans import docs, graph, retrieval
+from evgraph.plans import docs, graph, journal, retrieval
 
-MODULES = (graph, retrieval, docs)
+MODULES = (graph, retrieval, docs, journal)
 
 
 def queries() -> dict:
