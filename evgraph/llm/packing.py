@@ -1,6 +1,6 @@
 """Token-id output: texts packed into rows of fixed length by best-fit decreasing.
 
-Texts are encoded, an end token put after each, and those longer than a row split into rows of their own and a rest, so
+Texts are encoded by byte-level pair merging (the vocabulary file is a parameter), an end token put after each, and those longer than a row split into rows of their own and a rest, so
 no token is lost. The pieces of about ``PACK_TOKENS`` tokens are packed together, longest first, each into the fullest
 row that still takes it; a segment tree over capacities finds that row in log(row length) steps. Packing happens where
 the texts are read: nothing is shuffled, and a task holds one such load at a time.
@@ -11,17 +11,32 @@ the positions (which begin anew with each segment), and for each segment its tex
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, table, text_slices
-from .sentencepiece_scan import encode_batch, model, vocabulary_path
 
-ROW, PACK_TOKENS, PAD, END = 2048, 4 << 20, 0, 2
+ROW, PACK_TOKENS, PAD = 2048, 4 << 20, 0
+
+
+def vocabulary_path() -> str:
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@cache
+def encoder(path: str) -> tuple[tiktoken.Encoding, int]:
+    """The encoder of a file of ranks, and the end token: the first number that is free."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
 class Capacities:
@@ -113,8 +128,8 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", row: int =
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        kind = np.dtype("<u2" if len(m.pieces) <= 65536 else "<u4")
+        code, end = encoder(path)
+        kind = np.dtype("<u2" if end < 65536 else "<u4")
         pack = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         keys: list = []
         parts: list[np.ndarray] = []
@@ -124,9 +139,10 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", row: int =
             for lo, hi in text_slices(b.column(1), 1 << 20):
                 keys += b.column(0).slice(lo, hi - lo).to_pylist()
                 flat: list[int] = []
-                for ids in encode_batch(m, b.column(1).slice(lo, hi - lo).to_pylist()):
+                for x in b.column(1).slice(lo, hi - lo).to_pylist():
+                    ids = code.encode_ordinary(x) if x else []
                     flat += ids
-                    flat.append(END)
+                    flat.append(end)
                     sizes.append(len(ids) + 1)
                 parts.append(np.array(flat, kind))
                 held += len(flat)
