@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.plans import docs, graph, journal, retrieval
+from evgraph.plans import docs, extraction, graph, journal, retrieval
 
-MODULES = (graph, retrieval, docs, journal)
+MODULES = (graph, retrieval, docs, journal, extraction)
 
 
 def queries() -> dict:
