@@ -6,12 +6,14 @@ differing slot (pigeonhole), so each signature is indexed under every chunk with
 pairs within that distance share a key. At similarity 0.85 a pair is within it, or shares a key anyway, but for a
 chance of 3e-6 (0.165 ** 7).
 
-Texts of equal sets become one class first, so copies never pair. Within a key, members pair with one member only (the
-star's centre); pairs are confirmed by exact intersection, and confirmed links are contracted to components. Keys whose
-members are still in several components get new centres for a few rounds, and at last every remaining pair of different
-components within the signature distance: no link is lost, and a large group never emits all its pairs unless its
-members are truly apart. Joins are plain equi-joins, which adaptive execution splits where a key is hot; nothing but
-counts and one bounded bitmap comes to the driver.
+Texts of equal sets become one class first, so copies never pair. Within a key, members pair with one member only, the
+one that shares keys with the most others; pairs are confirmed by exact intersection, and confirmed links are contracted
+to components. Keys whose members are still in several components get another centre, and at last all their pairs of
+different components are weighed: a parity sketch of each set (a bit for each residue of its hashes, flipped by every
+element) bounds the symmetric difference from below, so pairs that cannot be links are passed over exactly, and each
+other pair is emitted once, at its first shared key. No link is lost, and a large group of copies emits few pairs.
+Joins are plain equi-joins, which adaptive execution splits where a key is hot; nothing but counts and one bounded
+bitmap comes to the driver.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import M1, grams, mix, ship, table, text_slices, utf8, word_hashes, words, written
 
-SHINGLE, CHUNKS, WIDTH, STARS = 5, 7, 5, 3
+SHINGLE, CHUNKS, WIDTH, STARS = 5, 7, 5, 2
 SLOTS = CHUNKS * WIDTH
 MAX_BITMAP_BITS = 1 << 26
 _rng = np.random.default_rng(2024)
@@ -73,6 +75,19 @@ def signatures(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sig, d1, d2
 
 
+def sketches(s: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches (64-bit words, text after text) and how many words each has: 64 bits for up to 16 shingles,
+    doubled as often as needed for 4 bits a shingle. Halves of a sketch combine by exclusive or to one of half the size."""
+    count = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 16)).astype(np.int64).clip(0))
+    begins = np.cumsum(count) - count
+    bits = (s * M1) >> np.uint64(16) & np.uint64((1 << 40) - 1)
+    bit = bits & (np.repeat(count, sizes).astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    out = np.zeros(count.sum(), np.uint64)
+    word = np.repeat(begins, sizes) + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (bit & np.uint64(63)))
+    return out, count
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """id, n, d1, d2, sig of every row of ``docs`` (id, text)."""
 
@@ -101,7 +116,7 @@ def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, s (array of shingle hashes) of the rows of ``docs`` (id, text) that a bitmap of ``ids`` lets pass."""
+    """id, n, s (array of shingle hashes), sketch of the rows of ``docs`` (id, text) that a bitmap of ``ids`` lets pass."""
     bitmap, bits = _bitmap(ids)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -111,10 +126,10 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             b = b.filter(pa.array((held.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
             for lo, hi in text_slices(b.column(1)):
                 s, sizes = shingle_sets(b.column(1).slice(lo, hi - lo))
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(s.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), flat], ["id", "n", "s"])
+                lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), lists(s, sizes), lists(*sketches(s, sizes))], ["id", "n", "s", "sketch"])
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(run, "id long, n long, s array<bigint>")
+    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(run, "id long, n long, s array<bigint>, sketch array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,13 +152,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """The index: a row (key, id, n, sig) for each chunk of each signature with each one of its slots left out."""
+    """The index: a row (key, at, id, n) for each chunk of each signature with each one of its slots left out; ``at``
+    is the number of the slot."""
     keys = []
     for c in range(CHUNKS):
         for w in range(WIDTH):
             slots = [F.get("sig", F.lit(c * WIDTH + k)) for k in range(WIDTH) if k != w]
             keys.append(F.xxhash64(F.lit(c * WIDTH + w), *slots))
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "id", "n", "sig")
+    return rows.select(F.posexplode(F.array(*keys)).alias("at", "key"), "id", "n")
 
 
 def _alike(n1, n2, num: int, den: int):
@@ -166,7 +182,7 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
     reps = some.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     member = written(some.join(reps, ["d1", "d2", "n"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
     index = _keys(member.where("id = rep").select("id", "n", "sig"))
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     index = written(index.join(shared, "key"), "index")
     sets = written(_sets(docs, index.select("id").distinct()), "sets")
 
@@ -180,17 +196,19 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
     links, label = None, None
     for turn in range(STARS + 1):
         if label is None:
-            rows = index.withColumn("label", F.col("id"))
+            weight = index.groupBy("id").agg(F.sum("m").alias("w"))
+            rows = index.join(weight, "id").withColumn("label", F.col("id"))
         else:  # keys whose members are in several components
             rows = index.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
             mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             rows = rows.join(mixed, "key")
         if turn < STARS:
-            rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+            rank = F.xxhash64(F.lit(turn), "id") if label is not None else -F.col("w")
             centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("c"), F.col("n").alias("nc"), F.col("label").alias("lc"))).alias("m")).select("key", "m.c", "m.nc", "m.lc")
             pairs = rows.join(centre, "key").where((F.col("label") != F.col("lc")) & _alike(F.col("n"), F.col("nc"), num, den)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
-            pairs = _rest(rows, num, den)
+            features = member.where("id = rep").select("id", "sig").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id")
+            pairs = _rest(rows.join(features, "id"), num, den)
         pairs = written(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             if turn:
@@ -208,12 +226,22 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
 
 
 def _rest(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of one key in different components, within the signature distance, each at its first shared chunk."""
-    a, b = (rows.select("key", *(F.col(c).alias(c + x) for c in ("id", "n", "sig", "label"))) for x in ("1", "2"))
+    """All pairs of one key in different components that their sketches allow to be links, each at its first shared key."""
+    a, b = (rows.select("key", "at", *(F.col(c).alias(c + x) for c in ("id", "n", "sig", "sketch", "label"))) for x in ("1", "2"))
     off = [(F.get("sig1", F.lit(k)) != F.get("sig2", F.lit(k))).cast("int") for k in range(SLOTS)]
-    apart = reduce(lambda x, y: x + y, off)
-    near = (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), num, den) & (apart <= 2 * CHUNKS - 1)
-    return a.join(b, (a["key"] == b["key"]) & near).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    chunk = [reduce(lambda x, y: x + y, off[c * WIDTH : (c + 1) * WIDTH]) for c in range(CHUNKS)]
+    first = F.lit(False)  # whether the key's chunk is the first that the pair shares, and its slot the one that differs, or the first
+    for c in reversed(range(CHUNKS)):
+        here = (a["at"] >= c * WIDTH) & (a["at"] < (c + 1) * WIDTH) & ((chunk[c] == 1) | (a["at"] == c * WIDTH))
+        first = F.when(chunk[c] <= 1, here).otherwise(first)
+    near = (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), num, den) & first
+    # |A xor B| <= (den - num) / (den + num) * (|A| + |B|) for a link; the sketches' difference is no larger than it
+    words = F.least(F.size("sketch1"), F.size("sketch2"))
+    fold = lambda s: F.when(F.size(s) == words, F.col(s)).otherwise(F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda x, y: x.bitwiseXOR(y)))
+    apart = F.aggregate(F.zip_with(fold("sketch1"), fold("sketch2"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    allowed = apart.cast("long") * (den + num) <= (F.col("n1") + F.col("n2")) * (den - num)
+    b = b.withColumnRenamed("at", "at2")
+    return a.join(b, (a["key"] == b["key"]) & near & allowed).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
