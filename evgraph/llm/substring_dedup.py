@@ -71,13 +71,18 @@ def _packed(key: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[pa.Arr
     return key[cut] if len(key) else key, out
 
 
+def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t[name].to_pylist()), kind)
+
+
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, starts): starts (uint32 each, several rows an id) of the windows of ``docs`` (id, text) that repeat an
-    earlier one."""
+    """(id, starts): the starts (uint32 each, sorted) of the windows of ``docs`` (id, text) that repeat an earlier one, a
+    row for each id that has any. What a bucket marks goes to one of ``buckets / 8`` groups of ids as one row."""
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(24, size // 6 // BUCKET_WINDOWS)
+    groups = max(8, buckets // 8)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,10 +120,9 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([b""] * len(key), pa.binary()), i, p], ["bucket", "h", "i", "p"])
 
     def judged(group: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(x for x in group[name].to_pylist()), kind)
-        ids, pos = join("i", np.int64), join("p", np.uint32)
+        ids, pos = joined(group, "i", np.int64), joined(group, "p", np.uint32)
         if group["bucket"][0].as_py() >= 0:
-            low = join("h", np.uint8).reshape(-1, 7)
+            low = joined(group, "h", np.uint8).reshape(-1, 7)
             h = np.zeros((len(low), 8), np.uint8)
             h[:, :7] = low
             h = h.view(np.uint64).reshape(-1)
@@ -136,11 +140,19 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
             late = (ids != ids[lead]) | (pos != pos[lead])
             ids, pos = ids[late], pos[late]
-        order = np.argsort(ids, kind="stable")
+        grp = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.argsort(grp, kind="stable")
+        key, (i, p) = _packed(grp[order], ids[order], pos[order])
+        return pa.table({"grp": key, "i": i, "p": p})
+
+    def gathered(group: pa.Table) -> pa.Table:
+        ids, pos = joined(group, "i", np.int64), joined(group, "p", np.uint32)
+        order = np.lexsort((pos, ids))
         key, (p,) = _packed(ids[order], pos[order])
         return pa.table({"id": key, "starts": p})
 
-    return docs.mapInArrow(hashed, "bucket int, h binary, i binary, p binary").groupBy("bucket").applyInArrow(judged, "id long, starts binary")
+    found = docs.mapInArrow(hashed, "bucket int, h binary, i binary, p binary").groupBy("bucket").applyInArrow(judged, "grp int, i binary, p binary")
+    return found.groupBy("grp").applyInArrow(gathered, "id long, starts binary")
 
 
 def intervals(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -168,18 +180,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
     marked = written(marks(rows, window), "marks")
-    bitmap, bits = _bitmap(marked.select("id").distinct())
+    bitmap, bits = _bitmap(marked.select("id"))
     held = spark.sparkContext.broadcast(bitmap)
     tail = "kept_text string" if keep_text else ""
     shape = "id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>" + (", " + tail if keep_text else "")
 
-    def result(ids: list[int], texts: list[str | None], starts: list[list[bytes] | None]) -> list[dict]:
+    def result(ids: list[int], texts: list[str | None], starts: list[bytes | None]) -> list[dict]:
         out = []
         for i, x, s in zip(ids, texts, starts, strict=True):
             w = (x or "").encode("utf-8", "surrogatepass").split()
             n, cuts = len(w), np.zeros((0, 2), np.int64)
             if s:
-                cuts = intervals(np.frombuffer(b"".join(s), np.uint32), n, window)
+                cuts = intervals(np.frombuffer(s, np.uint32), n, window)
                 left, at = [], 0
                 for a, b in cuts.tolist():
                     left += w[at:a]
@@ -222,8 +234,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     passed = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(clean, "id long, text string, n long, sha string")
-    gathered = marked.groupBy("id").agg(F.collect_list("starts").alias("starts"))  # at most one start for each word of a text
-    out = passed.join(gathered, "id", "left").mapInArrow(finish, shape)
+    out = passed.join(marked, "id", "left").mapInArrow(finish, shape)
     return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id"))).withColumnRenamed("id", key)
 
 
