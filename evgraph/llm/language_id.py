@@ -79,8 +79,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
     return {"langs": names, "logp": logp.astype(np.float32).copy("F"), "prior": prior, "buckets": buckets}
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))  # word characters also hold numbers such as fractions
+
+
 def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    langs, ok = ["und"] * len(texts), [i for i, x in enumerate(texts) if x and LETTER.search(x)]
+    langs, ok = ["und"] * len(texts), [i for i, x in enumerate(texts) if x and has_letter(x)]
     score = np.zeros(len(texts))
     if ok and model["langs"]:
         z = np.tile(model["prior"], (len(ok), 1))
