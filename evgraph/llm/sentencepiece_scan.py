@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: the best segmentation by piece scores, as a max-plus parallel scan.
 
 A text is a chain of positions; a piece of n characters is an arc of that length with its score as weight, and the best
-path is the encoding (the unigram decoding rule of the library, byte fallback included). A giant text is split into
+path is the encoding (the unigram rule; characters that no piece holds are written as bytes). A giant text is split into
 chunks of ``CHUNK`` characters. A state at a chunk's border is how far before it the last cut lies, so a chunk is a
 transfer matrix over max and plus: the best score from every state at its start to every state at its end. All chunks'
 matrices are made side by side, a character a step; they are combined associatively, by doubling, into each border's
@@ -13,7 +13,8 @@ scan. Scores are whole numbers summed in double precision, so the optimum does n
 chunks of texts over ``GIANT`` characters are rows that Spark deals out; nothing but matrices is gathered by text.
 
 The vocabulary file at hand was made for pair merging; its scores are the ranks of merges. Read as a unigram model the
-encoding is a best path and decodes exactly, but may part words in other pieces than merging would.
+encoding is a best path and decodes exactly, but parts words in other pieces than merging would: these are not the ids
+that the library's encode gives for this file.
 """
 
 from __future__ import annotations

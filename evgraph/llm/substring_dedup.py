@@ -9,7 +9,8 @@ The marks meet their texts by a join on the key; a bounded bitmap of the marked
 where they are read, so only texts that lose words are shuffled. Marked windows merge into maximal removal intervals.
 
 Two windows count as equal if 56 bits of one hash and the bucket by the other agree. With n windows that is wrong for
-an expected n * n / 2 ** 57 / buckets pairs: below 0.001 in a gigabyte, and the buckets grow with n.
+an expected n * n / 2 ** 57 / buckets pairs: about 0.002 in a gigabyte of input, and in proportion to it, as the buckets
+grow with n.
 """
 
 from __future__ import annotations
