@@ -132,22 +132,22 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(run, "id long, n long, s array<bigint>, sketch array<bigint>")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every id of ``links`` (a, b): the smallest id reachable.
+def components(links: DataFrame, rows: int) -> DataFrame:
+    """(id, label) of every id of ``links`` (a, b; at most ``rows``): the smallest id reachable.
 
     Each round hooks every vertex to its smallest neighbour, and contracts the graph; at least half of the vertices
     that still have an edge go. Every round is written, so a lost executor costs one round.
     """
-    g = written(links.select("a", "b").where("a <> b").distinct(), "links")
-    labels = written(g.select(F.col("a").alias("id")).union(g.select("b")).distinct().withColumn("label", F.col("id")), "labels")
+    g = written(links.select("a", "b").where("a <> b").distinct(), "links", rows)
+    labels = written(g.select(F.col("a").alias("id")).union(g.select("b")).distinct().withColumn("label", F.col("id")), "labels", 2 * rows)
     while not g.isEmpty():
         both = g.select("a", "b").union(g.select("b", "a"))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("label"), F.least("a", "p").alias("p"))
         over = up.select(F.col("label").alias("p"), F.col("p").alias("pp"))
-        up = written(up.join(over, "p", "left").select("label", F.coalesce("pp", "p").alias("p")), "parents")
-        labels = written(labels.join(up, "label", "left").select("id", F.coalesce("p", "label").alias("label")), "labels")
+        up = written(up.join(over, "p", "left").select("label", F.coalesce("pp", "p").alias("p")), "parents", 2 * rows)
+        labels = written(labels.join(up, "label", "left").select("id", F.coalesce("p", "label").alias("label")), "labels", 2 * rows)
         ends = g.join(up.select(F.col("label").alias("a"), F.col("p").alias("pa")), "a").join(up.select(F.col("label").alias("b"), F.col("p").alias("pb")), "b")
-        g = written(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        g = written(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links", rows)
     return labels
 
 
@@ -193,30 +193,29 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
         both = F.size(F.array_intersect("sa", "sb")).cast("long")
         return got.where(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b")
 
-    links, label = None, None
+    links, label, total, keyed = None, None, 0, index.count()
     for turn in range(STARS + 1):
         if label is None:
             weight = index.groupBy("id").agg(F.sum("m").alias("w"))
-            rows = index.join(weight, "id").withColumn("label", F.col("id"))
+            rows = (index if turn else index.join(weight, "id")).withColumn("label", F.col("id"))
         else:  # keys whose members are in several components
             rows = index.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
             mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             rows = rows.join(mixed, "key")
         if turn < STARS:
-            rank = F.xxhash64(F.lit(turn), "id") if label is not None else -F.col("w")
+            rank = F.xxhash64(F.lit(turn), "id") if turn else -F.col("w")
             centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("c"), F.col("n").alias("nc"), F.col("label").alias("lc"))).alias("m")).select("key", "m.c", "m.nc", "m.lc")
             pairs = rows.join(centre, "key").where((F.col("label") != F.col("lc")) & _alike(F.col("n"), F.col("nc"), num, den)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
             features = member.where("id = rep").select("id", "sig").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id")
             pairs = _rest(rows.join(features, "id"), num, den)
-        pairs = written(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            if turn:
-                break
+        pairs = written(pairs.distinct(), "pairs", keyed)
+        found = pairs.count()
+        if not found:  # of this turn's centres; another turn may have some
             continue
-        new = confirmed(pairs)
-        links = written(new if links is None else links.union(new), "confirmed")
-        label = components(links)
+        new, total = confirmed(pairs), total + found
+        links = written(new if links is None else links.union(new), "confirmed", 32 * total)
+        label = components(links, total)
     if label is not None:
         member = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
     else:
