@@ -48,15 +48,14 @@ def indicators(arr: pa.Array, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, c: float, epochs: int) -> tuple[np.ndarray, float]:
     """Weights (per bucket, of the scaled features) and bias of min |w|^2/2 + c * sum of hinge losses; y is -1 or 1."""
     w, bias, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    xs = []
-    for r in rows:
-        x = scale[r]
-        xs.append(x / (np.sqrt(x @ x) or 1.0))
+    square = scale * scale
+    unit = np.array([1.0 / (np.sqrt(square[r].sum()) or 1.0) for r in rows])  # features are scaled when met: only their numbers are held
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, x = rows[i], xs[i]
+            r = rows[i]
+            x = scale[r] * unit[i]
             g = y[i] * (w[r] @ x + bias) - 1.0
             new = min(max(alpha[i] - g / (x @ x + 1.0), 0.0), c)
             if d := new - alpha[i]:
@@ -77,19 +76,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     ship(spark)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("_y"))
+    number = np.dtype(np.uint16 if buckets <= 65536 else np.int32)
     picked = known.orderBy(F.xxhash64("_k"), "_k").limit(max_train)  # at most max_train short rows: safe to broadcast
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in text_slices(b.column(0), SLICE):
-                got = [x.astype(np.int32).tobytes() for x in indicators(b.column(0).slice(lo, hi - lo), buckets)]
+                got = [x.astype(number).tobytes() for x in indicators(b.column(0).slice(lo, hi - lo), buckets)]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], ["x", "_y", "_k"])
 
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").select("_t", F.col("_y").cast("int").alias("_y"), F.col("_k").cast("long").alias("_k"))
     got = rows.mapInArrow(features, "x binary, _y int, _k long").toArrow()
     order = np.argsort(got["_k"].to_numpy(), kind="stable")[:max_train]
-    xs = [np.frombuffer(got["x"][int(i)].as_py(), np.int32) for i in order]
+    xs = [np.frombuffer(got["x"][int(i)].as_py(), number) for i in order]
     y = np.where(got["_y"].to_numpy()[order] == 1, 1.0, -1.0) if len(order) else np.zeros(0)
+    del got
     if not (y > 0).any() or not (y < 0).any():
         return {"w": np.zeros(buckets), "scale": np.zeros(buckets), "bias": 0.0}
     p, q = (np.full(buckets, ALPHA) for _ in range(2))
