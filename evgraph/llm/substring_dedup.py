@@ -5,8 +5,8 @@ of a slice from prefix sums (the rolling hash, vectorised); a second polynomial
 ``BUCKET_WINDOWS``, whose number grows with the corpus. A slice of texts sends each of its window hashes once, the
 first occurrence; later ones are known repeats already, so a window that a third of all texts hold reaches its bucket
 once a slice. A bucket sorts its hashes and marks all occurrences but the first (smallest key, then earliest start).
-The marks meet their texts by a join on the key; a bounded bitmap of the marked keys lets all other texts be finished
-where they are read, so only texts that lose words are shuffled. Marked windows merge into maximal removal intervals.
+The marks meet their texts by a join on the key and the row; a bounded bitmap of the marked rows lets all other texts be
+finished where they are read, so only texts that lose words are shuffled. Marked windows merge into maximal removal intervals.
 
 Two windows count as equal if 56 bits of one hash and the bucket by the other agree. With n windows that is wrong for
 an expected n * n / 2 ** 57 / buckets pairs: about 0.002 in a gigabyte of input, and in proportion to it, as the buckets
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import mix, ship, table, text_slices, utf8, word_hashes, words, written
 from .near_dup import _bitmap
@@ -77,8 +78,9 @@ def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, starts): the starts (uint32 each, sorted) of the windows of ``docs`` (id, text) that repeat an earlier one, a
-    row for each id that has any. What a bucket marks goes to one of ``buckets / 8`` groups of ids as one row."""
+    """(id, row, starts): the starts (uint32 each, sorted) of the windows of ``docs`` (id, row, text) that repeat an earlier
+    one, a row for each (id, row) that has any. ``row`` tells rows of one id apart; which windows repeat does not depend
+    on it. What a bucket marks goes to one of ``buckets / 8`` groups of rows as one row."""
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -87,12 +89,12 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in text_slices(b.column(1), SLICE):
+            for lo, hi in text_slices(b.column(2), SLICE):
                 part = b.slice(lo, hi - lo)
                 order = np.argsort(part.column(0).to_numpy(), kind="stable")
                 part = part.take(pa.array(order))
-                ids = part.column(0).to_numpy()
-                buf, off = utf8(part.column(1))
+                ids, row = part.column(0).to_numpy(), part.column(1).to_numpy()
+                buf, off = utf8(part.column(2))
                 starts, ends, begins = words(buf, off)
                 h = word_hashes(buf, starts, ends, seed=1)
                 del buf
@@ -113,15 +115,15 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 new = np.flatnonzero(~again)
                 new = new[np.argsort(bucket[new], kind="stable")]
                 low = h1[new].view(np.uint8).reshape(-1, 8)[:, :7]
-                key, (a, i, p) = _packed(bucket[new], low, ids[doc[new]], pos[new])
-                yield pa.RecordBatch.from_arrays([pa.array(key), a, i, p], ["bucket", "h", "i", "p"])
+                key, (a, i, r, p) = _packed(bucket[new], low, ids[doc[new]], row[doc[new]], pos[new])
+                yield pa.RecordBatch.from_arrays([pa.array(key), a, i, r, p], ["bucket", "h", "i", "r", "p"])
                 old = np.flatnonzero(again)
                 if len(old):
-                    key, (i, p) = _packed(np.full(len(old), -1 - int(ids[0] % buckets), np.int32), ids[doc[old]], pos[old])
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([b""] * len(key), pa.binary()), i, p], ["bucket", "h", "i", "p"])
+                    key, (i, r, p) = _packed(np.full(len(old), -1 - int(ids[0] % buckets), np.int32), ids[doc[old]], row[doc[old]], pos[old])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([b""] * len(key), pa.binary()), i, r, p], ["bucket", "h", "i", "r", "p"])
 
     def judged(group: pa.Table) -> pa.Table:
-        ids, pos = joined(group, "i", np.int64), joined(group, "p", np.uint32)
+        ids, row, pos = joined(group, "i", np.int64), joined(group, "r", np.int64), joined(group, "p", np.uint32)
         if group["bucket"][0].as_py() >= 0:
             low = joined(group, "h", np.uint8).reshape(-1, 7)
             h = np.zeros((len(low), 8), np.uint8)
@@ -135,25 +137,29 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             many[:-1] |= eq
             sub = by[many]  # only windows that occur twice
             sub = sub[np.lexsort((pos[sub], ids[sub], h[sub]))]
-            h, ids, pos = h[sub], ids[sub], pos[sub]
+            h, ids, row, pos = h[sub], ids[sub], row[sub], pos[sub]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
             lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
             late = (ids != ids[lead]) | (pos != pos[lead])
-            ids, pos = ids[late], pos[late]
-        grp = (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+            ids, row, pos = ids[late], row[late], pos[late]
+        grp = (mix((ids ^ row).view(np.uint64)) % np.uint64(groups)).astype(np.int32)
         order = np.argsort(grp, kind="stable")
-        key, (i, p) = _packed(grp[order], ids[order], pos[order])
-        return pa.table({"grp": key, "i": i, "p": p})
+        key, (i, r, p) = _packed(grp[order], ids[order], row[order], pos[order])
+        return pa.table({"grp": key, "i": i, "r": r, "p": p})
 
     def gathered(group: pa.Table) -> pa.Table:
-        ids, pos = joined(group, "i", np.int64), joined(group, "p", np.uint32)
-        order = np.lexsort((pos, ids))
-        key, (p,) = _packed(ids[order], pos[order])
-        return pa.table({"id": key, "starts": p})
+        ids, row, pos = joined(group, "i", np.int64), joined(group, "r", np.int64), joined(group, "p", np.uint32)
+        order = np.lexsort((pos, row, ids))
+        ids, row = ids[order], row[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
+        _, (p,) = _packed(np.cumsum(new), pos[order])
+        return pa.table({"id": ids[new], "row": row[new], "starts": p})
 
-    found = docs.mapInArrow(hashed, "bucket int, h binary, i binary, p binary").groupBy("bucket").applyInArrow(judged, "grp int, i binary, p binary")
-    return found.groupBy("grp").applyInArrow(gathered, "id long, starts binary")
+    found = docs.select("id", "row", "text").mapInArrow(hashed, "bucket int, h binary, i binary, r binary, p binary")
+    found = found.groupBy("bucket").applyInArrow(judged, "grp int, i binary, r binary, p binary")
+    return found.groupBy("grp").applyInArrow(gathered, "id long, row long, starts binary")
 
 
 def intervals(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -169,73 +175,82 @@ def intervals(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 LAST = (1 << 63) - 1
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``key``, n_words, n_removed, kept_sha256, removed (array of [from, to) word intervals) of every row; with
-    ``keep_text`` also kept_text (null where nothing went).
+def _marked(docs: DataFrame, window: int, key: str, text: str):
+    """The id and the row of each row of ``docs`` and its place in a bitmap of marked rows (Columns), the marks, the bitmap.
 
-    Words are removed that a window covers whose word sequence starts earlier: at a smaller key, or earlier in the same
-    text. Windows are judged on the input. Null and empty texts have no words. Rows that share a key are each judged
-    against all others; an equal start in both is no repeat. A null key is later than all keys. Texts shorter than a
-    window have none, and lose nothing. Other columns are not read.
+    Rows of one id are told apart by a hash of their texts, which is the same however often and wherever a row is read
+    (a running number is so only for some plans); rows that have both in common have the same marks. Where no id occurs
+    twice there is nothing to tell apart: the row is 0, which costs the shuffles nothing.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
-    marked = written(marks(rows, window), "marks")
-    bitmap, bits = _bitmap(marked.select("id"))
-    held = spark.sparkContext.broadcast(bitmap)
-    tail = "kept_text string" if keep_text else ""
-    shape = "id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>" + (", " + tail if keep_text else "")
-
-    def result(ids: list[int], texts: list[str | None], starts: list[bytes | None]) -> list[dict]:
-        out = []
-        for i, x, s in zip(ids, texts, starts, strict=True):
-            w = (x or "").encode("utf-8", "surrogatepass").split()
-            n, cuts = len(w), np.zeros((0, 2), np.int64)
-            if s:
-                cuts = intervals(np.frombuffer(s, np.uint32), n, window)
-                left, at = [], 0
-                for a, b in cuts.tolist():
-                    left += w[at:a]
-                    at = b
-                w = left + w[at:]
-            joined = b" ".join(w)
-            row = {"id": i, "n_words": n, "n_removed": n - len(w), "kept_sha256": hashlib.sha256(joined).hexdigest(), "removed": cuts.tolist()}
-            if keep_text:
-                row["kept_text"] = joined.decode("utf-8", "surrogatepass") if len(cuts) else None
-            out.append(row)
-        return out
+    at = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
+    unique = docs.select(at.alias("id")).groupBy("id").count().where("count > 1").isEmpty()
+    row = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    found = written(marks(docs.select(at.alias("id"), row.alias("row"), F.col(text).alias("text")), window), "marks")
+    bitmap, bits = _bitmap(found.select(F.xxhash64("id", "row").alias("id")))
+    place = F.pmod(F.xxhash64(F.xxhash64(at, row)), F.lit(bits))
+    return at, row, place, found, spark.sparkContext.broadcast(bitmap)
+
+
+def _hit(held: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (held[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def _cut(text: str | None, starts: bytes | None, window: int) -> tuple[list[bytes], int, np.ndarray]:
+    """The words of a text that its marks leave, how many it had, and the intervals that went."""
+    w = (text or "").encode("utf-8", "surrogatepass").split()
+    n, cuts = len(w), np.zeros((0, 2), np.int64)
+    if starts:
+        cuts = intervals(np.frombuffer(starts, np.uint32), n, window)
+        left, at = [], 0
+        for a, b in cuts.tolist():
+            left += w[at:a]
+            at = b
+        w = left + w[at:]
+    return w, n, cuts
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_words, n_removed, kept_sha256, removed (array of [from, to) word intervals) of every row.
+
+    Words are removed that a window covers whose word sequence starts earlier: at a smaller key, or earlier in the same
+    text. Windows are judged on the input. Null and empty texts have no words. Rows that share a key (the null key too)
+    are each judged against all others, and lose their own words only; an equal start in both is no repeat. A null key
+    is later than all keys. Texts shorter than a window have none, and lose nothing. Other columns are not read.
+    """
+    at, row, place, marked, held = _marked(docs, window, key, text)
+    names = ["id", "row", "text", "n", "sha"]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finishes texts without a mark; passes on the others."""
         for b in batches:
-            p = b.column(2).to_numpy()
-            hit = (held.value[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            hit = _hit(held.value, b.column(3).to_numpy())
             for mask, done in ((~hit, True), (hit, False)):
                 part = b.filter(pa.array(mask))
-                for lo, hi in text_slices(part.column(1), SLICE):
+                for lo, hi in text_slices(part.column(2), SLICE):
                     x = part.slice(lo, hi - lo)
-                    ids = x.column(0).to_pylist()
                     if done:
-                        got = [(len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode("utf-8", "surrogatepass").split() for t in x.column(1).to_pylist())]
-                        yield pa.RecordBatch.from_arrays([x.column(0), pa.nulls(len(ids), pa.string()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], ["id", "text", "n", "sha"])
+                        got = [(len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode("utf-8", "surrogatepass").split() for t in x.column(2).to_pylist())]
+                        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.nulls(len(x), pa.string()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names)
                     else:
-                        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1).cast(pa.string()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.string())], ["id", "text", "n", "sha"])
+                        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2).cast(pa.string()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.string())], names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int32())))] + ([("kept_text", pa.string())] if keep_text else []))
+        kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.list_(pa.int32())))])
         for b in batches:
             for lo, hi in text_slices(b.column(1), SLICE):
                 x = b.slice(lo, hi - lo)
                 todo = x.column(2).is_null().to_numpy(zero_copy_only=False)
-                part = x.filter(pa.array(todo))
-                rows = result(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist())
-                rest = x.filter(pa.array(~todo))
+                part, rest, rows = x.filter(pa.array(todo)), x.filter(pa.array(~todo)), []
+                for i, t, starts in zip(*(part.column(k).to_pylist() for k in (0, 1, 4)), strict=True):
+                    w, n, cuts = _cut(t, starts, window)
+                    rows.append({"id": i, "n_words": n, "n_removed": n - len(w), "kept_sha256": hashlib.sha256(b" ".join(w)).hexdigest(), "removed": cuts.tolist()})
                 for i, n, sha in zip(*(rest.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                    rows.append({"id": i, "n_words": n, "n_removed": 0, "kept_sha256": sha, "removed": []} | ({"kept_text": None} if keep_text else {}))
+                    rows.append({"id": i, "n_words": n, "n_removed": 0, "kept_sha256": sha, "removed": []})
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    passed = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(clean, "id long, text string, n long, sha string")
-    out = passed.join(marked, "id", "left").mapInArrow(finish, shape)
+    passed = docs.select(at.alias("id"), row.alias("row"), F.col(text).alias("text"), place.alias("p")).mapInArrow(clean, "id long, row long, text string, n long, sha string")
+    out = passed.join(marked, ["id", "row"], "left").select("id", "text", "n", "sha", "starts").mapInArrow(finish, "id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
     return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id"))).withColumnRenamed("id", key)
 
 
@@ -246,8 +261,38 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, its text without the repeated words (joined by one space where any went)."""
-    got = dedup(docs, keep_text=True).where("kept_text is not null").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
-    out = docs.join(got, docs["doc_id"] == got["_id"], "left")
-    text = F.coalesce("_kept", "text")
-    cols = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(cols[c].alias(c) if cols.get(c) is not None else docs[c] for c in docs.columns))
+    at, row, place, marked, held = _marked(docs, WINDOW, "doc_id", "text")
+    cols, text = docs.columns, docs.columns.index("text")
+    chars = cols.index("n_chars") if "n_chars" in cols else None
+
+    def part(hits: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = _hit(held.value, b.column(b.num_columns - 1).to_numpy())
+                x = b.filter(pa.array(hit if hits else ~hit))
+                yield x.select(range(b.num_columns - 1))
+
+        return run
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in text_slices(b.column(text), SLICE):
+                x = b.slice(lo, hi - lo)
+                texts, arrays = x.column(text).to_pylist(), x.columns[:-1]
+                sizes = x.column(chars).to_pylist() if chars is not None else []
+                for k, starts in enumerate(x.column(len(cols)).to_pylist()):
+                    if starts:
+                        texts[k] = b" ".join(_cut(texts[k], starts, WINDOW)[0]).decode("utf-8", "surrogatepass")
+                        if chars is not None:
+                            sizes[k] = len(texts[k])
+                arrays[text] = pa.array(texts, x.column(text).type)
+                if chars is not None:
+                    arrays[chars] = pa.array(sizes, x.column(chars).type)
+                yield pa.RecordBatch.from_arrays(arrays, cols)
+
+    tagged = docs.select(*cols, at.alias("_id"), row.alias("_row"), place.alias("_place"))
+    rest = tagged.select(*cols, "_place").mapInArrow(part(False), docs.schema)
+    kind = StructType([*docs.schema.fields, StructField("_id", LongType()), StructField("_row", LongType())])
+    found = marked.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("starts").alias("_starts"))
+    lost = tagged.mapInArrow(part(True), kind).join(found, ["_id", "_row"], "left").select(*cols, "_starts").mapInArrow(cut, docs.schema)
+    return rest.union(lost)

@@ -76,6 +76,36 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.dedup(docs.where("false")).isEmpty()
 
 
+def test_substring_dedup_of_rows_that_share_a_key(spark, sf):
+    """Each row loses its own repeats: several null keys, and one key with different texts."""
+    rng = random.Random(21)
+    fill = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    said = fill(60)
+    texts = [(1, fill(5) + said), (None, fill(40)), (None, fill(12) + said + fill(9)), (None, fill(70)), (None, said[5:40]), (None, fill(90)), (7, fill(90)), (7, fill(3) + said[:30]), (7, said[10:] + fill(2)), (8, fill(30))]
+    rows = [(n, i, w) for n, (i, w) in enumerate(texts)]
+    rows.append((len(rows), *texts[7]))  # the same row twice
+    first: dict = {}
+    for _, i, w in rows:
+        for k in range(len(w) - 19):
+            at = (substring_dedup.LAST if i is None else i, k)
+            first[tuple(w[k : k + 20])] = min(first.get(tuple(w[k : k + 20]), at), at)
+    want = {}
+    for n, i, w in rows:
+        cover = bytearray(len(w))
+        for k in range(len(w) - 19):
+            if first[tuple(w[k : k + 20])] != (substring_dedup.LAST if i is None else i, k):
+                cover[k : k + 20] = b"\1" * 20
+        want[n] = " ".join(x for x, c in zip(w, cover, strict=True) if not c)
+    df = spark.createDataFrame([(i, " ".join(w), len(" ".join(w)), n) for n, i, w in rows], "doc_id long, text string, n_chars long, n int").repartition(3)
+    got = [(r.doc_id, r.n_words, r.kept_sha256) for r in substring_dedup.dedup(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, len(w), hashlib.sha256(want[n].encode()).hexdigest()) for n, i, w in rows), key=str)
+    out = substring_dedup.substring_stage(spark, df, sf)
+    assert out.columns == df.columns
+    got = [(r.n, r.doc_id, r.text, r.n_chars) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(((n, i, want[n], len(want[n])) for n, i, _ in rows), key=str)
+    assert sum(len(want[n].split()) < len(w) for n, _, w in rows) == 5
+
+
 # --- 2, 7 ------------------------------------------------------------------------------------------------------------
 
 
