@@ -93,12 +93,12 @@ def term_search(index: DataFrame, tokens: list[str], limit: int = 20) -> DataFra
     return hits.join(F.broadcast(best), "place").orderBy("id").limit(limit).select("id", "token")
 
 
-def vector_search(vectors: DataFrame, query: list[float], limit: int = 10, least: float | None = None) -> DataFrame:
-    """(id, score) by cosine; vectors of another length or of norm zero are passed over."""
+def vector_search(vectors: DataFrame, query: list[float], limit: int | None = 10, least: float | None = None) -> DataFrame:
+    """(id, score) by cosine; vectors of another length or of norm zero are passed over. No limit: all, in no order."""
     got = vectors.select("id", X.cosine(F.col("v"), F.array(*[F.lit(float(x)) for x in query])).alias("score")).where("score is not null")
     if least is not None:
         got = got.where(F.col("score") >= least)
-    return got.orderBy(F.desc("score"), "id").limit(limit)
+    return got if limit is None else got.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def hybrid_rank(candidates: DataFrame, semantic: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

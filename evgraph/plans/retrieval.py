@@ -41,7 +41,7 @@ def cosine_topk(spark, d):
 
 
 def cosine_min_score(spark, d):
-    got = ranking.vector_search(_vectors(spark, d), _query_vector(spark, d), 1_000_000, 0.1)
+    got = ranking.vector_search(_vectors(spark, d), _query_vector(spark, d), None, 0.1)
     return got.select("id", F.round("score", 6).alias("score"))
 
 
@@ -49,7 +49,7 @@ SQL_COS = "q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1),
 
 
 def hybrid(spark, d):
-    sem = ranking.vector_search(_vectors(spark, d), _query_vector(spark, d), 1_000_000)
+    sem = ranking.vector_search(_vectors(spark, d), _query_vector(spark, d), None)
     cand = _vectors(spark, d).select("id", (F.col("label") / 10.0).alias("centrality"), F.lit(0.5).alias("lexical_score"), (F.col("id") % 3).cast("double").alias("budget_cost"))
     return ranking.hybrid_rank(cand, sem).select("id", F.round("score", 6).alias("score"))
 
