@@ -7,13 +7,15 @@ the score of every item of the block, and is taken for all passages of a slice a
 walks the postings by pivot and scores only items that can reach the threshold: all of them are retrieved. A pair is
 reported when the text also holds the item's word trigrams, of its question and of its answer.
 
-The index is broadcast. Benchmarks beyond ``SHARD_BYTES`` of text are searched a shard at a time. Texts are read once a
-shard; nothing is shuffled.
+The index is broadcast. Benchmarks beyond ``SHARD_BYTES`` of text are searched a shard at a time, by the weights and the
+passage length of the whole benchmark, so how items are split decides nothing. Texts are read once a shard and never
+shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, ship, table, text_slices, utf8, word_hashes, words
+from .common import grams, ship, table, text_slices, utf8, word_hashes, words, written
 
 PASSAGE, BLOCKS, SHARD_BYTES, GRAM = 64, 16, 4 << 20, 3
 K1, B, THRESHOLD, BOTH, EACH = 1.2, 0.75, 0.6, 0.6, 0.3
@@ -40,12 +42,28 @@ def tokens(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, starts, ends, seed=3), begins
 
 
+def item_tokens(questions: list[str | None], answers: list[str | None] | None) -> tuple[np.ndarray, np.ndarray]:
+    whole = [f"{q or ''}\n{a or ''}" for q, a in zip(questions, answers, strict=True)] if answers else [q or "" for q in questions]
+    return tokens(pa.array(whole, pa.string()))
+
+
+class Whole(NamedTuple):
+    """What weights depend on, of a whole benchmark: its items with words, their words in all, the longest's; and in how
+    many items each word of a shard occurs (sorted hashes, counts)."""
+
+    n: int
+    total: int
+    longest: int
+    hashes: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Postings of one shard's items, their block maxima, and what verification needs of each item."""
+    """Postings of one shard's items, their block maxima, and what verification needs of each item. ``whole``: of the
+    benchmark that the items are a shard of, if they aren't all of it."""
 
-    def __init__(self, ids: list[int], questions: list[str | None], answers: list[str | None] | None):
-        whole = [f"{q or ''}\n{a or ''}" for q, a in zip(questions, answers, strict=True)] if answers else [q or "" for q in questions]
-        h, begins = tokens(pa.array(whole, pa.string()))
+    def __init__(self, ids: list[int | None], questions: list[str | None], answers: list[str | None] | None, whole: Whole | None = None):
+        h, begins = item_tokens(questions, answers)
         size = np.diff(begins)
         if answers:
             split = np.diff(tokens(pa.array(questions, pa.string()))[1])
@@ -55,14 +73,18 @@ class Index:
         order = order[size[order] > 0]
         self.ids = [ids[i] for i in order]
         n = len(order)
-        self.longest = int(size.max()) if len(size) else 0
+        self.longest = whole.longest if whole else int(size.max()) if len(size) else 0
         self.vocabulary = np.unique(h)
         docs = [np.searchsorted(self.vocabulary, h[begins[i] : begins[i + 1]]) for i in order]
-        df = np.zeros(len(self.vocabulary))
-        for d in docs:
-            df[np.unique(d)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(d) for d in docs]) if n else 1.0
+        if whole:
+            df = whole.df[np.searchsorted(whole.hashes, self.vocabulary)].astype(float)
+        else:
+            df = np.zeros(len(self.vocabulary))
+            for d in docs:
+                df[np.unique(d)] += 1
+        items, total = (whole.n, whole.total) if whole else (n, int(size.sum()))
+        idf = np.log(1 + (items - df + 0.5) / (df + 0.5))
+        mean = total / items if items else 1.0
         self.block = -(-n // BLOCKS) or 1
         self.maxima = np.zeros((len(self.vocabulary) + 1, BLOCKS), np.float32)
         post: dict[int, list] = {}
@@ -180,21 +202,47 @@ class Index:
 
 
 def indexes(items: DataFrame, key: str = "item_id", question: str = "text", answer: str | None = None) -> Iterator[Index]:
-    """An index for each shard of the benchmark; shards hold about SHARD_BYTES of text."""
+    """An index for each shard of the benchmark; shards hold about SHARD_BYTES of text. Items of a null key are items."""
     cols = [F.col(key).cast("long").alias("id"), F.col(question).cast("string").alias("q"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")]
-    rows = items.where(F.col(key).isNotNull()).select(*cols)
+    rows = items.select(*cols)
     size = rows.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)) + 64)).first()[0] or 0
     shards = -(-size // SHARD_BYTES)
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "q", "a"), F.lit(shards)) if shards else F.lit(0).cast("long"))
+    sums, df = _whole(rows, answer is not None) if shards > 1 else (None, None)
     for s in range(shards):
-        got = rows.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == s).orderBy("id").toArrow()
-        yield Index(got["id"].to_pylist(), got["q"].to_pylist(), got["a"].to_pylist() if answer else None)
+        got = rows.where(F.col("shard") == s).orderBy("id").toArrow()
+        whole = None
+        if sums:
+            d = df.where(F.col("shard") == s).orderBy("h").toArrow()
+            hashes = d["h"].to_numpy().view(np.uint64)
+            order = np.argsort(hashes)
+            whole = Whole(*sums, hashes[order], d["df"].to_numpy()[order])
+        yield Index(got["id"].to_pylist(), got["q"].to_pylist(), got["a"].to_pylist() if answer else None, whole)
+
+
+def _whole(rows: DataFrame, answers: bool) -> tuple[tuple[int, int, int], DataFrame]:
+    """Of all items (q, a, shard): how many have words, the words in all, the longest's; and (shard, h, df), the items that
+    each word of a shard occurs in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, begins = item_tokens(b.column(0).to_pylist(), b.column(1).to_pylist() if answers else None)
+            each = [np.unique(h[i:j]) for i, j in zip(begins, begins[1:], strict=False)]
+            flat = np.concatenate(each) if each else h
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(np.diff(begins).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))], ["shard", "size", "hs"])
+
+    found = written(rows.select("q", "a", "shard").mapInArrow(run, "shard long, size long, hs array<bigint>"), "items")
+    n, total, longest = found.where("size > 0").agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    df = found.select("shard", F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
+    return (n, total or 0, longest or 0), written(df.select(F.explode("shards").alias("shard"), "h", "df"), "words")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **item) -> DataFrame:
     """``key``, item_id, score, question_overlap, answer_overlap: a row for each item that a row of ``docs`` holds.
 
     Whole texts are searched. Null and empty texts and items hold, and are in, nothing. Repeated rows and repeated items
-    are each reported. Other columns are not read.
+    are each reported, items of a null key with a null item_id. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)

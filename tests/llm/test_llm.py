@@ -260,6 +260,23 @@ def test_decontamination(spark, docs):
     assert decontaminate.contaminated(texts, bench.where("false")).isEmpty()
 
 
+def test_shards_of_a_benchmark_decide_nothing(spark, monkeypatch, tmp_path):
+    """Equal scores in one shard and in many; items of a null key are found, and their documents go."""
+    rng = random.Random(11)
+    fill = lambda n: " ".join(f"f{min(rng.randrange(400), rng.randrange(400))}" for _ in range(n))
+    items = [(i if i % 5 else None, fill(rng.randint(8, 40))) for i in range(60)] + [(60, fill(200)), (61, ""), (62, None)]
+    texts = [(i, fill(rng.randint(0, 150)) + " " + " ".join(w for w in (t or "").split() if rng.random() > 0.04 * (i % 8)) + " " + fill(rng.randint(0, 150))) for i, (_, t) in enumerate(items)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    found = lambda: sorted(((r.doc_id, r.item_id, round(r.score, 12)) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    one = found()
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 5000)
+    assert len(list(decontaminate.indexes(bench))) > 2
+    assert found() == one and {d for d, i, _ in one if i is None} >= {0, 40}
+    left = {r.doc_id for r in decontaminate.decontamination_stage(spark, docs, str(tmp_path)).collect()}
+    assert left == set(range(len(items))) - {d for d, _, _ in one}
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
