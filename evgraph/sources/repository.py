@@ -1,4 +1,4 @@
-"""Repositories as tables: files, their metadata, document maps, compiler indexes and the parse cache."""
+"""Repositories as tables: files, their metadata, compiler indexes and the parse cache."""
 
 from __future__ import annotations
 
