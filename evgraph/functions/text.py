@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words that no query is about (fixed values).
 STOP = ("a", "an", "and", "for", "in", "of", "the", "to", "where")
+#: Words that every task may hold and none is about (fixed values).
+TASK_STOP = ("add", "build", "check", "create", "fix", "implement", "make", "test", "update", "use")
 #: Words of a claim's status (fixed values).
 STATUS = r"(?i)\b(done|complete|implemented|partial|pending|planned|stale|drift|contradict|missing|not implemented|not shipped|not built|gap|gotcha|decision|canonical|supersedes)\b"
 #: Starts of a line that make it code or a command, not a claim (fixed values).
@@ -54,6 +56,32 @@ def ordered_term_score(haystack: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a + b, pairs, F.when(F.contains(low, F.lit(" ".join(terms))), 8).otherwise(0))
 
 
+def words(x: Column) -> Column:
+    """Distinct lower-cased runs of letters and digits of three characters or more, in their order."""
+    return F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: F.length(t) > 2))
+
+
+def task_words(x: Column, stop: tuple[str, ...] = TASK_STOP) -> Column:
+    """The words of a task that are no stop words; all of them where none is left."""
+    kept = F.filter(words(x), lambda t: ~t.isin(*stop))
+    return F.when(F.size(kept) > 0, kept).otherwise(words(x))
+
+
+def search_text(x: Column) -> Column:
+    """Lower-cased, all but letters and digits one space."""
+    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+
+
+def term_hits(haystack: Column, terms: Column) -> Column:
+    """How many of the ``terms`` (an array) the text contains."""
+    return F.size(F.filter(terms, lambda t: F.contains(F.lower(haystack), t)))
+
+
+def searchable_symbol(kind: Column, name: Column, qualified: Column, path: Column) -> Column:
+    """What a symbol is searched by."""
+    return F.lower(F.concat_ws(" ", kind, name, qualified, path))
+
+
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "(^-+)|(-+$)", "")
 
@@ -157,3 +185,28 @@ def cursor(node: Column, edge: Column) -> Column:
     """A page's place as url-safe base64 of its JSON."""
     raw = F.base64(F.encode(F.concat(F.lit('{"node":'), node.cast("string"), F.lit(',"edge":'), edge.cast("string"), F.lit("}")), "UTF-8"))
     return F.rtrim(F.translate(raw, "+/", "-_"), F.lit("="))
+
+
+#: Extensions of code (fixed values).
+CODE = ("rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "java", "rb", "php", "c", "cc", "cpp", "h", "hpp", "cs", "swift", "kt", "kts", "scala", "sh", "ps1", "sql", "vue", "svelte")
+
+
+def is_document(path: Column) -> Column:
+    return path.endswith(".md")
+
+
+def is_implementation(path: Column) -> Column:
+    """Code that is no document."""
+    return ~is_document(path) & F.substring(extension(path), 2, 20).isin(*CODE)
+
+
+def archive_match(path: Column, pattern: str) -> Column:
+    """Whether an archive's pattern covers a path: a folder or file as a prefix, or a glob; the empty pattern covers none."""
+    pattern = pattern.strip().replace("\\", "/").removeprefix("./")
+    path = F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", "")
+    if not pattern:
+        return F.lit(False)
+    if "*" in pattern:
+        return path.rlike(glob_regex(pattern))
+    bare = pattern.rstrip("/")
+    return (path == bare) | path.startswith(bare + "/")

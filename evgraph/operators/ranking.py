@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import text as X
+from evgraph.operators.order import positions
 from evgraph.schema import TIERS
 
 #: Components of a hybrid score (fixed values); a weight not given is 1, penalties included.
@@ -39,8 +40,7 @@ def rank_nodes(reached: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     ends = edges.select(F.explode(F.array("source", "target")).alias("id"), tier_rank(F.col("tier")).alias("t")).where("id is not null")
     about = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.min("t").alias("t"))
     rows = reached.join(about, "id", "left").select("id", "depth", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("t", F.lit(99)).alias("t"))
-    w = Window.orderBy((F.col("id") != root).cast("int"), "t", F.desc("degree"), "depth", "id")  # bounded by one neighbourhood
-    return rows.select("id", F.row_number().over(w).alias("position"))
+    return positions(rows, [(F.col("id") != root).cast("int"), "t", F.desc("degree"), "depth", "id"]).select("id", F.col("position").cast("int").alias("position"))
 
 
 def rank_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
@@ -48,8 +48,7 @@ def rank_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
     depth = lambda end: reached.select(F.col("id").alias(end), F.col("depth").alias(f"d_{end}"))
     rows = edges.join(depth("source"), "source", "left").join(depth("target"), "target", "left")
     near = F.least(F.coalesce("d_source", F.lit(99)), F.coalesce("d_target", F.lit(99)))
-    w = Window.orderBy(tier_rank(F.col("tier")), near, "source", "target", "kind")
-    return rows.select(*edges.columns, F.row_number().over(w).alias("position"))
+    return positions(rows, [tier_rank(F.col("tier")), near, "source", "target", "kind"]).select(*edges.columns, F.col("position").cast("int").alias("position"))
 
 
 def budget_prefix(rows: DataFrame, cost: str, order: list[str], budget: int, by: list[str] | None = None) -> DataFrame:
@@ -125,3 +124,38 @@ def score_cases(ranked: DataFrame, gold: DataFrame, at: int = 10) -> DataFrame:
     """For each query: its first right rank (null: none), hit within ``at``, reciprocal rank. ranked: (q, id, rank)."""
     first = ranked.join(gold, ["q", "id"]).groupBy("q").agg(F.min("rank").alias("rank"))
     return gold.select("q").distinct().join(first, "q", "left").select("q", "rank", (F.coalesce("rank", F.lit(at + 1)) <= at).alias("hit"), F.when(F.col("rank") <= at, 1 / F.col("rank")).otherwise(0.0).alias("rr"))
+
+
+def vector_upsert(vectors: DataFrame, entries: DataFrame, model: str = "unknown") -> DataFrame:
+    """vectors (id, v, model) with the ``entries`` (seq, id, v, model) written over them: the last of an id counts. Entries
+    without an id, or with a null or empty vector, are passed over; those without a model get ``model``."""
+    good = entries.where("id is not null and v is not null and size(v) > 0").withColumn("model", F.coalesce("model", F.lit(model)))
+    last = good.groupBy("id").agg(F.max_by(F.struct("v", "model"), "seq").alias("e")).select("id", "e.v", "e.model")
+    return vectors.select("id", "v", "model").join(last.select("id"), "id", "left_anti").unionByName(last)
+
+
+def vector_scan(vectors: DataFrame, query: list[float], limit: int | None = 10, least: float | None = None, model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`vector_search` among the vectors of ``model`` (None: all), and (scanned, dim_mismatches) of them. A query that is
+    empty or of norm zero scans nothing."""
+    rows = vectors if model is None else vectors.where(F.col("model") == model)
+    if not any(query):
+        rows = rows.where("false")
+    told = rows.agg(F.count(F.lit(1)).alias("scanned"), F.coalesce(F.sum((F.size("v") != len(query)).cast("long")), F.lit(0).cast("long")).alias("dim_mismatches"))
+    return vector_search(rows, query, limit, least), told
+
+
+def qualify(expected: DataFrame, actual: DataFrame, exact: tuple[str, ...] = ("symbol_definition",)) -> DataFrame:
+    """(task, kind, expected, missing, state): whether a task's answers hold the evidence that it asks for.
+
+    expected: (task, kind, path, start, end, content_hash); actual: (task, path, start, end, content_hash). A piece is there
+    if an answer of the same contents, at the path or at one that ends with it, has the same span (kinds of ``exact``) or
+    one that covers it. Only answers of a task and of equal contents meet its pieces.
+    """
+    want = expected.select("task", "kind", "path", "start", "end", "content_hash").distinct()
+    got = actual.select("task", "content_hash", F.col("path").alias("a_path"), F.col("start").alias("a_start"), F.col("end").alias("a_end")).distinct()
+    same = (F.col("a_path") == F.col("path")) | F.endswith("a_path", F.concat(F.lit("/"), "path"))
+    span = F.when(F.col("kind").isin(*exact), (F.col("a_start") == F.col("start")) & (F.col("a_end") == F.col("end"))).otherwise((F.col("a_start") <= F.col("start")) & (F.col("a_end") >= F.col("end")))
+    met = want.join(got, ["task", "content_hash"]).where(same & span).select(*want.columns).distinct().withColumn("met", F.lit(True))
+    rows = want.join(met, want.columns, "left")
+    out = rows.groupBy("task", "kind").agg(F.count(F.lit(1)).alias("expected"), F.count(F.when(F.col("met").isNull(), 1)).alias("missing"))
+    return out.withColumn("state", F.when(F.col("missing") == 0, "passed").otherwise("failed"))

@@ -12,6 +12,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.operators.order import positions
+
 SCHEMA_VERSION = 1
 
 
@@ -33,13 +35,14 @@ def generation_id(tables: dict[str, DataFrame]) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
 
 
-def publish(root: str, number: int, tables: dict[str, DataFrame], parent: str | None = None) -> dict:
-    """Writes generation ``number``: its tables, then the manifest that makes it count. Written again, it is the same."""
+def publish(root: str, number: int, tables: dict[str, DataFrame], parent: str | None = None, versions: dict[str, str] | None = None) -> dict:
+    """Writes generation ``number``: its tables, then the manifest that makes it count. Written again, it is the same.
+    ``versions``: of the extractors that made it."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/gen={number:010d}/{name}")
     back = {name: spark.read.parquet(f"{root}/gen={number:010d}/{name}") for name in tables}
-    manifest = {"number": number, "id": generation_id(back), "parent": parent, "schema_version": SCHEMA_VERSION, "counts": {n: df.count() for n, df in back.items()}}
+    manifest = {"number": number, "id": generation_id(back), "parent": parent, "schema_version": SCHEMA_VERSION, "versions": versions, "counts": {n: df.count() for n, df in back.items()}}
     fs, tmp, jvm = _fs(spark, f"{root}/manifests/.{number:010d}.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
@@ -70,15 +73,9 @@ def current(spark: SparkSession, root: str, name: str, below: int | None = None)
 
 
 def dense_ordinals(nodes: DataFrame, provider_rank: DataFrame) -> DataFrame:
-    """nodes with ordinal 0, 1, ...: by provider rank, path, id. Numbers come from sorted ranges, not from one task."""
-    from pyspark.sql import Window
-
-    rows = nodes.join(F.broadcast(provider_rank.limit(1000)), "provider")  # providers are a handful
-    rows = rows.repartitionByRange("rank", "path", "id").withColumn("part", F.spark_partition_id())
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("rank", "path", "id")))
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.join(before.select("part", F.coalesce("before", F.lit(0)).alias("before")), "part").withColumn("ordinal", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
+    """nodes with rank and ordinal 0, 1, ...: by provider rank, path, id. Nodes of a provider without a rank are left out.
+    Ranks (provider, rank) are a handful; numbers come from sorted ranges, not from one task."""
+    return positions(nodes.join(provider_rank, "provider"), ["rank", "path", "id"], "ordinal", 0)
 
 
 def federate(parts: dict[str, DataFrame]) -> DataFrame:
