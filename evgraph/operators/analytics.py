@@ -120,13 +120,23 @@ def layers(edges: DataFrame) -> DataFrame:
             return comp.join(label.withColumnRenamed("id", "component"), "component").select("id", "layer")
 
 
-def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+#: Rows of a group up to which one task ranks it; larger groups are ranked by joins.
+GROUP_ROWS = 200_000
+
+
+def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20, most: int = GROUP_ROWS) -> DataFrame:
     """(grp, id, score) of personalised PageRank, a group at a time.
 
-    ``groups``: (grp, source, target, anchor): edges of a bounded local subgraph, and rows with a null target naming a
-    node; anchor marks the node ``source`` as a place to restart from. Ranks start at 1/n, restart at anchors only, and
-    nodes that nothing leaves spread evenly over all. Parallel edges count each.
+    ``groups``: (grp, source, target, anchor): edges of a local subgraph, and rows with a null target naming a node; anchor
+    marks the node ``source`` as a place to restart from. Ranks start at 1/n, restart at anchors only, and nodes that
+    nothing leaves spread evenly over all. Parallel edges count each. Groups of more than ``most`` rows are ranked by
+    :func:`wide_page_rank`, so no task holds an unbounded group; both give the same scores.
     """
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = sizes.select("grp")
+    if not sizes.isEmpty():
+        small = page_rank(groups.join(large, "grp", "left_anti"), damping, rounds, 1 << 62)
+        return small.unionByName(wide_page_rank(groups.join(large, "grp", "left_semi"), damping, rounds))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf.source, pdf.target[pdf.target.notna()]]).astype(str))
@@ -144,3 +154,22 @@ def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20) -> Dat
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "id": ids, "score": rank})
 
     return groups.groupBy("grp").applyInPandas(one, "grp string, id string, score double")
+
+
+def wide_page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """:func:`page_rank` by joins, for groups of any size: a round is one join along the edges and two aggregates; its lineage
+    is cut, so a lost executor costs a round."""
+    e = cut(groups.where("target is not null").groupBy("grp", "source", "target").agg(F.count(F.lit(1)).alias("times")))
+    ids = groups.select("grp", F.col("source").alias("id"), "anchor").unionByName(e.select("grp", F.col("target").alias("id"), F.lit(False).alias("anchor")))
+    ids = ids.groupBy("grp", "id").agg(F.max("anchor").alias("anchor"))
+    out = e.groupBy("grp", F.col("source").alias("id")).agg(F.sum("times").alias("out"))
+    size = ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anchor").cast("int")).alias("anchors"))  # a row for each group
+    nodes = cut(ids.join(out, ["grp", "id"], "left").join(size, "grp").withColumn("start", F.when(F.col("anchor"), 1.0 / F.col("anchors")).otherwise(0.0)).drop("anchor", "anchors"))
+    rank = nodes.withColumn("score", 1.0 / F.col("n"))
+    for _ in range(rounds):
+        share = rank.where("out is not null").select("grp", F.col("id").alias("source"), (F.col("score") / F.col("out")).alias("share"))
+        come = e.join(share, ["grp", "source"]).groupBy("grp", F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("times")).alias("come"))
+        lost = rank.groupBy("grp").agg(F.sum(F.when(F.col("out").isNull(), F.col("score")).otherwise(0.0)).alias("lost"))
+        now = (1 - damping) * F.col("start") + damping * (F.coalesce("come", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        rank = cut(nodes.join(come, ["grp", "id"], "left").join(lost, "grp").withColumn("score", now).select(*nodes.columns, "score"))
+    return rank.select("grp", "id", "score")

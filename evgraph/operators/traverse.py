@@ -6,9 +6,14 @@ of joins, whose frontiers adaptive execution broadcasts when they are small; dee
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.operators.order import positions
 from evgraph.session import cut
 
 UNROLLED = 3
@@ -49,6 +54,83 @@ def closure(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "ou
     return seen
 
 
+class Relation(NamedTuple):
+    """Edges of one kind between nodes of two kinds, as a table with a column of keys at either end. A node's id is its
+    kind, a colon and its key. Rows may repeat; null keys are no edges."""
+
+    source: str
+    target: str
+    kind: str
+    rows: DataFrame
+    source_key: str
+    target_key: str
+
+
+def typed_closure(spark: SparkSession, seeds: Iterable[str], relations: list[Relation], depth: int, direction: str = "out", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, depth): :func:`closure` over relations: a frontier for each kind of node, so a hop reads only the tables that
+    leave a kind on the frontier, two columns of them, and the first hop filters them where they are scanned.
+
+    ``seeds`` are ids. No seeds, or ids of kinds that no relation has: themselves. Keys are whole numbers.
+    """
+    given: dict[str, list[int]] = {}
+    for x in dict.fromkeys(seeds):
+        given.setdefault(x.partition(":")[0], []).append(int(x.partition(":")[2]))
+    if not given:
+        return spark.createDataFrame([], "id string, depth int")
+    arms = [(r.source, r.source_key, r.target, r.target_key, r.rows) for r in relations if (not kinds or r.kind in kinds) and direction != "in"]
+    arms += [(r.target, r.target_key, r.source, r.source_key, r.rows) for r in relations if (not kinds or r.kind in kinds) and direction != "out"]
+    front = {k: spark.createDataFrame([(x,) for x in keys], "key long") for k, keys in given.items()}
+    seen: dict[str, DataFrame] = {k: df.withColumn("depth", F.lit(0)) for k, df in front.items()}
+    for d in range(1, depth + 1):
+        come: dict[str, list[DataFrame]] = {}
+        for a, at, b, to, rows in arms:
+            if a in front:
+                rows = rows.where(F.col(to).isNotNull()).select(F.col(at).cast("long").alias("at"), F.col(to).cast("long").alias("key")) if d > 1 else rows.where(F.col(at).isin(given[a]) & F.col(to).isNotNull()).select(F.col(to).cast("long").alias("key"))
+                come.setdefault(b, []).append(rows if d == 1 else rows.join(front[a].withColumnRenamed("key", "at"), "at", "left_semi").select("key"))
+        new = {}
+        for k, parts in come.items():
+            rows = reduce(DataFrame.unionByName, parts).distinct()
+            rows = rows.join(seen[k].select("key"), "key", "left_anti") if k in seen else rows
+            new[k] = cut(rows) if d < depth and depth > UNROLLED else rows
+        for k, rows in new.items():
+            rows = rows.withColumn("depth", F.lit(d))
+            seen[k] = seen[k].unionByName(rows) if k in seen else rows
+        front = new
+        if not front or (d < depth and depth > UNROLLED and all(x.isEmpty() for x in front.values())):
+            break
+    return reduce(DataFrame.unionByName, (df.select(F.concat(F.lit(f"{k}:"), F.col("key").cast("string")).alias("id"), "depth") for k, df in seen.items()))
+
+
+def typed_shortest_path(spark: SparkSession, start: str, goal: str, relations: list[Relation], depth: int = 5) -> DataFrame:
+    """(step, id): :func:`shortest_path` over relations. Each level is written once, with whether it holds the goal."""
+    kind, _, key = start.partition(":")
+    front = {kind: spark.createDataFrame([(int(key), [start])], "key long, path array<string>")}
+    seen, found = {kind: front[kind].select("key")}, [front[kind]] if start == goal else []
+    to_kind, _, to_key = goal.partition(":")
+    for d in range(1, depth + 1):
+        if found:
+            break
+        come: dict[str, list[DataFrame]] = {}
+        for r in relations:
+            if r.source in front:
+                rows = r.rows.where(F.col(r.source_key) == int(key)) if d == 1 else r.rows
+                rows = rows.where(F.col(r.target_key).isNotNull()).select(F.col(r.source_key).cast("long").alias("at"), F.col(r.target_key).cast("long").alias("key")).distinct()
+                rows = rows.join(front[r.source].withColumnRenamed("key", "at"), "at")
+                come.setdefault(r.target, []).append(rows.select("key", F.concat("path", F.array(F.concat(F.lit(f"{r.target}:"), F.col("key").cast("string")))).alias("path")))
+        front = {}
+        for k, parts in come.items():
+            rows = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min("path").alias("path"))
+            front[k] = cut(rows.join(seen[k], "key", "left_anti") if k in seen else rows)
+            seen[k] = seen[k].unionByName(front[k].select("key")) if k in seen else front[k].select("key")
+        if not front:
+            break
+        if to_kind in front and not (hit := front[to_kind].where(F.col("key") == int(to_key))).isEmpty():
+            found = [hit]
+    if not found:
+        return spark.createDataFrame([], "step int, id string")
+    return found[0].select(F.posexplode("path").alias("step", "id"))
+
+
 def neighbor_edges(reached: DataFrame, edges: DataFrame, mode: str = "induced", depth: int | None = None) -> DataFrame:
     """The edges of a neighbourhood.
 
@@ -100,8 +182,7 @@ def shortest_path(start: str, goal: str, edges: DataFrame, depth: int = 5) -> Da
 def dependents(changed: DataFrame, depends: DataFrame, hops: int = 2, limit: int = 500) -> DataFrame:
     """(id, depth, kept): dependents within ``hops``, nearest and least first; ``kept`` while within ``limit``."""
     reach = closure(changed, depends, hops, "in").where("depth > 0")
-    w = Window.orderBy("depth", "id")  # bounded by what one change reaches
-    return reach.withColumn("kept", F.row_number().over(w) <= limit)
+    return positions(reach, ["depth", "id"]).withColumn("kept", F.col("position") <= limit).drop("position")
 
 
 def flows(entries: DataFrame, edges: DataFrame, longest: int = 13, kinds: tuple[str, ...] | None = None) -> DataFrame:

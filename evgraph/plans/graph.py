@@ -26,7 +26,7 @@ SQL_EDGES = f"""{SQL_SMALL}, ranked AS (
   SELECT * FROM small UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'REFERENCES', 0 FROM orders
   UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'USES', {_FLAG} FROM lineitem GROUP BY l_orderkey, l_partkey
   UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'USES', {_FLAG} FROM lineitem GROUP BY l_partkey, l_suppkey),
-edges AS (SELECT source, target, kind, rank, CASE rank WHEN 0 THEN 'EXACT_RESOLUTION' WHEN 1 THEN 'SAME_FILE_LEXICAL' ELSE 'CROSS_FILE_HEURISTIC' END AS tier FROM ranked)"""
+edges AS MATERIALIZED (SELECT source, target, kind, rank, CASE rank WHEN 0 THEN 'EXACT_RESOLUTION' WHEN 1 THEN 'SAME_FILE_LEXICAL' ELSE 'CROSS_FILE_HEURISTIC' END AS tier FROM ranked)"""
 
 
 def _seed(spark: SparkSession, *ids: str) -> DataFrame:
@@ -42,21 +42,19 @@ reached AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
 
 
 def neighbors(direction: str, depth: int = 1, root: str = ROOT):
-    return lambda spark, d: traverse.closure(_seed(spark, root), tables.edges(spark, d), depth, direction)
+    return lambda spark, d: traverse.typed_closure(spark, [root], tables.relations(spark, d), depth, direction)
 
 
 def neighbor_edges(mode: str):
     def q(spark, d):
-        e = tables.small_edges(spark, d)
-        return traverse.neighbor_edges(traverse.closure(_seed(spark, ROOT), e, 2, "both"), e, mode, 2).select("source", "target", "kind", "tier")
+        reached = traverse.typed_closure(spark, [ROOT], tables.relations(spark, d), 2, "both")
+        return traverse.neighbor_edges(reached, tables.edges(spark, d), mode, 2).select("source", "target", "kind", "tier")
 
     return q
 
 
 def shortest_path(spark, d):
-    e = tables.reference_edges(spark, d).unionByName(tables.use_edges(spark, d, ("part-supplier",)))
-    start = "part:1"
-    return traverse.shortest_path(start, "region:1", e, 5)
+    return traverse.typed_shortest_path(spark, "part:1", "region:1", tables.relations(spark, d, orders=False), 5)
 
 
 def dependents(spark, d):
@@ -70,7 +68,7 @@ def flows(spark, d):
 
 
 def local_hops(spark, d):
-    return traverse.local_hops(_seed(spark, "nation:3", "nation:7"), tables.small_edges(spark, d), 2)
+    return traverse.local_hops(_seed(spark, "nation:3", "nation:7"), tables.edges(spark, d), 2)
 
 
 def _pagerank_groups(spark, d) -> DataFrame:
@@ -88,30 +86,35 @@ def pagerank(spark, d):
     return analytics.page_rank(_pagerank_groups(spark, d)).select("grp", "id", F.round("score", 6).alias("score"))
 
 
-def _pagerank_sql(rounds: int = 20) -> str:
-    out = f"""WITH {SQL_SMALL}, reg AS (SELECT source AS nation, target AS grp FROM small WHERE target LIKE 'region:%'),
-e AS MATERIALIZED (SELECT grp, nation AS source, grp AS target FROM reg UNION ALL SELECT grp, source, target FROM small JOIN reg ON target = nation),
-v AS MATERIALIZED (SELECT grp, source AS id FROM e UNION SELECT grp, target FROM e),
-n AS (SELECT grp, count(*) AS n FROM v GROUP BY grp), o AS MATERIALIZED (SELECT grp, source AS id, count(*) AS k FROM e GROUP BY grp, source),
+def pagerank_rounds(start: str, rounds: int = 20) -> str:
+    """CTEs up to r20 (grp, id, s): PageRank of the CTEs v (grp, id) and e (grp, source, target), restarting by ``start``."""
+    out = """n AS (SELECT grp, count(*) AS n FROM v GROUP BY grp), o AS MATERIALIZED (SELECT grp, source AS id, count(*) AS k FROM e GROUP BY grp, source),
 r0 AS MATERIALIZED (SELECT v.grp, v.id, 1.0::DOUBLE / n AS s FROM v JOIN n ON v.grp = n.grp)"""
     for i in range(rounds):
         out += f""", d{i} AS (SELECT r.grp, sum(CASE WHEN o.k IS NULL THEN s ELSE 0 END) AS d FROM r{i} r LEFT JOIN o ON r.grp = o.grp AND r.id = o.id GROUP BY r.grp),
 c{i} AS (SELECT e.grp, e.target AS id, sum(r.s / o.k) AS c FROM e JOIN r{i} r ON e.grp = r.grp AND e.source = r.id JOIN o ON o.grp = e.grp AND o.id = e.source GROUP BY e.grp, e.target),
-r{i + 1} AS MATERIALIZED (SELECT v.grp, v.id, 0.15 * (CASE WHEN v.id = v.grp THEN 1 ELSE 0 END) + 0.85 * (coalesce(c.c, 0) + d.d / n.n) AS s
+r{i + 1} AS MATERIALIZED (SELECT v.grp, v.id, 0.15 * ({start}) + 0.85 * (coalesce(c.c, 0) + d.d / n.n) AS s
   FROM v JOIN n ON v.grp = n.grp JOIN d{i} d ON d.grp = v.grp LEFT JOIN c{i} c ON c.grp = v.grp AND c.id = v.id)"""
-    return out + f" SELECT grp, id, round(s, 6) AS score FROM r{rounds}"
+    return out
+
+
+_PAGERANK = f"""WITH RECURSIVE {SQL_SMALL}, reg AS (SELECT source AS nation, target AS grp FROM small WHERE target LIKE 'region:%'),
+e AS MATERIALIZED (SELECT grp, nation AS source, grp AS target FROM reg UNION ALL SELECT grp, source, target FROM small JOIN reg ON target = nation),
+v AS MATERIALIZED (SELECT grp, source AS id FROM e UNION SELECT grp, target FROM e), {pagerank_rounds("CASE WHEN v.id = v.grp THEN 1 ELSE 0 END")}"""
+_SKIP = """ord AS MATERIALIZED (SELECT grp, id, length(id) * 2 AS cost, row_number() OVER (PARTITION BY grp ORDER BY round(s, 6) DESC, id) AS pos FROM r20),
+fold(grp, pos, used, id, taken) AS (SELECT DISTINCT grp, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', false FROM ord UNION ALL SELECT o.grp, o.pos, CASE WHEN f.used + o.cost <= 400 THEN f.used + o.cost ELSE f.used END, o.id, f.used + o.cost <= 400 FROM fold f JOIN ord o ON o.grp = f.grp AND o.pos = f.pos + 1)"""
 
 
 def _cyclic(spark, d) -> DataFrame:
-    """Parts and suppliers: a part uses a supplier; where a full lot comes back, the supplier uses the part."""
-    rows = tables.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    """Parts and suppliers: a part uses a supplier; where a lot comes back, the supplier uses the part."""
+    rows = tables.read(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
     fwd = rows.select(tables.node_id("part", "l_partkey").alias("source"), tables.node_id("supplier", "l_suppkey").alias("target"))
-    back = rows.where("l_returnflag = 'R' AND l_quantity >= 50").select(tables.node_id("supplier", "l_suppkey").alias("source"), tables.node_id("part", "l_partkey").alias("target"))
+    back = rows.where("l_returnflag = 'R'").select(tables.node_id("supplier", "l_suppkey").alias("source"), tables.node_id("part", "l_partkey").alias("target"))
     return fwd.unionByName(back).distinct()
 
 
 SQL_CYCLIC = """cyc AS MATERIALIZED (SELECT DISTINCT 'part:' || l_partkey AS source, 'supplier:' || l_suppkey AS target FROM lineitem
-  UNION SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50),
+  UNION SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem WHERE l_returnflag = 'R'),
 vs AS (SELECT source AS id FROM cyc UNION SELECT target FROM cyc), hubs AS (SELECT DISTINCT source AS id FROM cyc WHERE source IN (SELECT target FROM cyc) AND target IN (SELECT source FROM cyc) AND source LIKE 'supplier:%'),
 hop AS MATERIALIZED (SELECT DISTINCT x.source AS a, y.target AS b FROM cyc x JOIN cyc y ON x.target = y.source WHERE x.source IN (SELECT id FROM hubs)),
 reach(a, b) AS (SELECT a, b FROM hop UNION SELECT r.a, h.b FROM reach r JOIN hop h ON r.b = h.a),
@@ -127,13 +130,12 @@ def scc(spark, d):
 
 
 def layers(spark, d):
-    return analytics.layers(tables.reference_edges(spark, d))
+    return analytics.layers(tables.edges(spark, d))
 
 
 def _reached(spark, d):
-    e = tables.small_edges(spark, d)
-    r = traverse.closure(_seed(spark, ROOT), e, 2, "both")
-    return r, traverse.neighbor_edges(r, e).select("source", "target", "kind", "tier")
+    r = traverse.typed_closure(spark, [ROOT], tables.relations(spark, d), 2, "both")
+    return r, traverse.neighbor_edges(r, tables.edges(spark, d)).select("source", "target", "kind", "tier")
 
 
 def rank_nodes(spark, d):
@@ -147,14 +149,14 @@ def rank_edges(spark, d):
 
 
 def neighborhood(spark, d):
-    """Local hops, PageRank of the group, hop gate of two, and packing by skip with a budget of tokens a group."""
+    """PageRank of each group, and packing by skip with a budget of tokens a group."""
     score = analytics.page_rank(_pagerank_groups(spark, d)).withColumn("score", F.round("score", 6))
     rows = score.withColumn("cost", (F.length("id") * 2).cast("bigint")).withColumn("neg", -F.col("score"))
     return ranking.budget_skip(rows, "id", "cost", ["neg", "id"], 400, ["grp"])
 
 
-SQL_REACH2 = _closure_sql(ROOT, 2, "both", edges=SQL_SMALL, source="small")
-SQL_INDUCED = "ind AS (SELECT s.* FROM small s JOIN reached a ON a.id = s.source JOIN reached b ON b.id = s.target)"
+SQL_REACH2 = _closure_sql(ROOT, 2, "both")
+SQL_INDUCED = "ind AS (SELECT s.* FROM edges s JOIN reached a ON a.id = s.source JOIN reached b ON b.id = s.target)"
 
 
 def architecture(spark, d):
@@ -185,11 +187,11 @@ QUERIES = {
     "neighbors_out": (neighbors("out", 2), "WITH RECURSIVE " + _closure_sql(ROOT, 2, "out") + _CLOSED),
     "neighbors_in": (neighbors("in"), "WITH RECURSIVE " + _closure_sql(ROOT, 1, "in") + _CLOSED),
     "neighbors_both": (neighbors("both"), "WITH RECURSIVE " + _closure_sql(ROOT, 1, "both") + _CLOSED),
-    "impact": (lambda s, d: traverse.impact(_seed(s, ROOT), tables.edges(s, d), 3), "WITH RECURSIVE " + _closure_sql(ROOT, 3, "in") + _CLOSED + " WHERE depth > 0"),
-    "blast_radius": (lambda s, d: traverse.blast_radius(_seed(s, "region:1"), tables.edges(s, d), 5), "WITH RECURSIVE " + _closure_sql("region:1", 5, "in") + _CLOSED),
-    "neighbors_kind_filter": (lambda s, d: traverse.closure(_seed(s, "supplier:1"), tables.edges(s, d), 2, "in", ("USES",)), "WITH RECURSIVE " + _closure_sql("supplier:1", 2, "in", "kind = 'USES'") + _CLOSED),
-    "neighbor_edges_induced": (neighbor_edges("induced"), f"WITH RECURSIVE {SQL_REACH2}, {SQL_INDUCED} SELECT source, target, kind, 'EXACT_RESOLUTION' AS tier FROM ind"),
-    "neighbor_edges_incident": (neighbor_edges("incident"), f"WITH RECURSIVE {SQL_REACH2} SELECT source, target, kind, 'EXACT_RESOLUTION' AS tier FROM small WHERE source IN (SELECT id FROM reached WHERE depth < 2) OR target IN (SELECT id FROM reached WHERE depth < 2)"),
+    "impact": (lambda s, d: traverse.typed_closure(s, [ROOT], tables.relations(s, d), 3, "in").where("depth > 0"), "WITH RECURSIVE " + _closure_sql(ROOT, 3, "in") + _CLOSED + " WHERE depth > 0"),
+    "blast_radius": (lambda s, d: traverse.typed_closure(s, ["region:1"], tables.relations(s, d), 5, "in"), "WITH RECURSIVE " + _closure_sql("region:1", 5, "in") + _CLOSED),
+    "neighbors_kind_filter": (lambda s, d: traverse.typed_closure(s, ["supplier:1"], tables.relations(s, d), 2, "in", ("USES",)), "WITH RECURSIVE " + _closure_sql("supplier:1", 2, "in", "kind = 'USES'") + _CLOSED),
+    "neighbor_edges_induced": (neighbor_edges("induced"), f"WITH RECURSIVE {SQL_REACH2}, {SQL_INDUCED} SELECT source, target, kind, tier FROM ind"),
+    "neighbor_edges_incident": (neighbor_edges("incident"), f"WITH RECURSIVE {SQL_REACH2} SELECT source, target, kind, tier FROM edges WHERE source IN (SELECT id FROM reached WHERE depth < 2) OR target IN (SELECT id FROM reached WHERE depth < 2)"),
     "shortest_path": (
         shortest_path,
         f"""WITH RECURSIVE {SQL_EDGES}, p(id, path) AS (SELECT 'part:1', ['part:1'] UNION ALL
@@ -209,27 +211,27 @@ SELECT entry, id AS terminal, CAST(len(path) AS INTEGER) AS length, array_to_str
     ),
     "local_hops": (
         local_hops,
-        f"""WITH RECURSIVE {SQL_SMALL}, arcs AS (SELECT source a, target b FROM small UNION SELECT target, source FROM small),
+        f"""WITH RECURSIVE {SQL_EDGES}, arcs AS (SELECT source a, target b FROM edges UNION SELECT target, source FROM edges),
 reach(id, depth) AS (SELECT x, 0 FROM (VALUES ('nation:3'), ('nation:7')) t(x) UNION SELECT b, depth + 1 FROM reach JOIN arcs ON a = id WHERE depth < 2)
 SELECT id, min(depth) AS depth FROM reach GROUP BY id""",
     ),
-    "page_rank": (pagerank, _pagerank_sql()),
-    "neighborhood_pack": (neighborhood, None),
+    "page_rank": (pagerank, f"{_PAGERANK} SELECT grp, id, round(s, 6) AS score FROM r20"),
+    "neighborhood_pack": (neighborhood, f"{_PAGERANK}, {_SKIP} SELECT grp, id, taken FROM fold WHERE pos > 0"),
     "scc": (scc, f"WITH RECURSIVE {SQL_CYCLIC} SELECT id, component FROM comp"),
     "cycles": (lambda s, d: analytics.cycles(_cyclic(s, d)), f"WITH RECURSIVE {SQL_CYCLIC} SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1"),
     "layers": (
         layers,
-        f"""WITH RECURSIVE {SQL_SMALL}, e AS (SELECT source, target FROM small UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders),
+        f"""WITH RECURSIVE {SQL_EDGES}, e AS MATERIALIZED (SELECT DISTINCT source, target FROM edges),
 v AS (SELECT source AS id FROM e UNION SELECT target FROM e), l(id, layer) AS (SELECT id, 0 FROM v UNION SELECT e.target, layer + 1 FROM l JOIN e ON e.source = l.id) SELECT id, max(layer) AS layer FROM l GROUP BY id""",
     ),
     "dead_code": (lambda s, d: analytics.dead_code(tables.nodes(s, d), tables.edges(s, d)).select("id", "kind"), f"WITH {SQL_NODES}, {SQL_EDGES} SELECT id, kind FROM nodes WHERE id NOT IN (SELECT target FROM edges)"),
     "entry_points": (
         lambda s, d: analytics.entry_points(tables.nodes(s, d), tables.edges(s, d)).select("id", "kind"),
-        f"WITH {SQL_NODES}, {SQL_EDGES} SELECT id, kind FROM nodes WHERE id IN (SELECT source FROM edges) AND id NOT IN (SELECT target FROM edges)",
+        f"WITH {SQL_NODES}, {SQL_EDGES} SELECT id, kind FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.source = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id)",
     ),
     "terminals": (
         lambda s, d: analytics.terminals(tables.nodes(s, d), tables.edges(s, d)).select("id", "kind"),
-        f"WITH {SQL_NODES}, {SQL_EDGES} SELECT id, kind FROM nodes WHERE id IN (SELECT target FROM edges) AND id NOT IN (SELECT source FROM edges)",
+        f"WITH {SQL_NODES}, {SQL_EDGES} SELECT id, kind FROM nodes n WHERE EXISTS (SELECT 1 FROM edges e WHERE e.target = n.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = n.id)",
     ),
     "architecture": (
         architecture,

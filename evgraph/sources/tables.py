@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.operators.traverse import Relation
 from evgraph.schema import TIERS
 
 
@@ -65,6 +66,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_edges(spark, sf_dir).unionByName(use_edges(spark, sf_dir))
 
 
+def relations(spark: SparkSession, sf_dir: str, orders: bool = True) -> list[Relation]:
+    """The same edges as tables of keys, for traversals that need no tier; without ``orders``, those below parts only."""
+    out = [
+        Relation("nation", "region", "REFERENCES", read(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey"),
+        Relation("customer", "nation", "REFERENCES", read(spark, sf_dir, "customer"), "c_custkey", "c_nationkey"),
+        Relation("supplier", "nation", "REFERENCES", read(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey"),
+        Relation("part", "supplier", "USES", read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey"),
+        Relation("order", "customer", "REFERENCES", read(spark, sf_dir, "orders"), "o_orderkey", "o_custkey"),
+    ]
+    return [*out, Relation("order", "part", "USES", read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")] if orders else out
+
+
 def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region, nation, customer and supplier only."""
     return reference_edges(spark, sf_dir, orders=False)
