@@ -68,13 +68,12 @@ def resolve_imports(spark, d):
 
 
 def resolve_calls(spark, d):
-    """Part names as call names: parts of a brand are a file, a brand imports the next of its number."""
-    part = tables.read(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("name"), F.col("p_brand").alias("path"), (F.col("p_size") % 10 == 0).alias("is_test"), "p_partkey")
+    """Part types as call names: parts of a brand and a number are a file, which imports that of the number's first brand."""
+    part = tables.read(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("name"), F.concat("p_brand", F.lit("/"), (F.col("p_partkey") % 50).cast("string")).alias("path"), (F.col("p_size") % 10 == 0).alias("is_test"), "p_partkey")
     calls = part.select(F.col("id").alias("source"), "path", "name", "is_test")
     brands = part.select("path").distinct()
-    imports = brands.select("path", F.concat(F.lit("Brand#"), F.substring("path", 7, 1), F.lit("1")).alias("target_path"))
-    got = resolve.calls(calls, part.select("id", "name", "path"), imports)
-    return got.groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
+    imports = brands.select("path", F.concat(F.lit("Brand#"), F.substring("path", 7, 1), F.lit("1/"), F.substring_index("path", "/", -1)).alias("target_path"))
+    return resolve.calls(calls, part.select("id", "name", "path"), imports)
 
 
 def resolve_suffix(spark, d):
@@ -178,11 +177,11 @@ SELECT page_id, count(*) AS links, count(target) AS resolved, min(target) AS lea
     ),
     "resolve_calls": (
         resolve_calls,
-        """WITH p AS (SELECT 'part:' || p_partkey AS id, p_type AS name, p_brand AS path, p_size % 10 = 0 AS is_test, p_partkey FROM part),
-c AS (SELECT a.id AS source, a.name, a.is_test, b.id AS target, CASE WHEN a.path = b.path THEN 0 WHEN b.path = 'Brand#' || substr(a.path, 7, 1) || '1' THEN 1 ELSE 2 END AS level FROM p a JOIN p b ON a.name = b.name AND a.id <> b.id),
+        """WITH p AS (SELECT 'part:' || p_partkey AS id, p_type AS name, p_brand || '/' || (p_partkey % 50) AS path, p_size % 10 = 0 AS is_test, p_partkey FROM part),
+c AS (SELECT a.id AS source, a.name, a.is_test, b.id AS target, CASE WHEN a.path = b.path THEN 0 WHEN b.path = 'Brand#' || substr(a.path, 7, 1) || '1/' || split_part(a.path, '/', 2) THEN 1 ELSE 2 END AS level FROM p a JOIN p b ON a.name = b.name AND a.id <> b.id),
 w AS (SELECT *, min(level) OVER x AS best, count(*) OVER x AS n FROM c WINDOW x AS (PARTITION BY source, name)),
 r AS (SELECT DISTINCT source, name, CASE WHEN best < 2 OR n = 1 THEN target END AS target, CASE WHEN is_test THEN 'TESTS' ELSE 'CALLS' END AS kind, CASE WHEN best = 0 THEN 'SAME_FILE_LEXICAL' WHEN best = 1 OR n = 1 THEN 'CROSS_FILE_HEURISTIC' ELSE 'UNRESOLVED' END AS tier FROM w WHERE level = best)
-SELECT kind, tier, count(*) AS n, count(DISTINCT source) AS sources FROM r GROUP BY kind, tier""",
+SELECT source, name, target, kind, tier FROM r""",
     ),
     "resolve_suffix": (resolve_suffix, "SELECT DISTINCT 'part/' || s_suppkey AS suffix, CASE WHEN p_partkey IS NOT NULL THEN 'root/part/' || p_partkey END AS target FROM supplier LEFT JOIN part ON p_partkey = s_suppkey"),
     "augment_union": (
