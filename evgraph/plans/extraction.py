@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evgraph.functions import text as X
 from evgraph.operators import analytics, extract, ranking, service, traverse
 from evgraph.plans.docs import SQL_LINES
-from evgraph.plans.graph import SQL_NODES, SQL_SMALL
+from evgraph.plans.graph import SQL_EDGES, SQL_NODES, SQL_SMALL
 from evgraph.schema import KINDS, RESOLUTION
 from evgraph.sources import tables
 
@@ -68,7 +68,7 @@ def claim_score_by_source(spark, d):
 
 
 def layer_groups(spark, d):
-    return analytics.layers(tables.small_edges(spark, d)).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return analytics.layers(tables.edges(spark, d)).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 def parse_status(spark, d):
@@ -146,8 +146,7 @@ UNION ALL SELECT 'WRITES' FROM k WHERE regexp_matches(text, '(?i)\\b(?:insert\\s
     ),
     "layer_groups": (
         layer_groups,
-        f"""WITH {SQL_SMALL}, v AS (SELECT id, CASE split_part(id, ':', 1) WHEN 'region' THEN (CASE WHEN true THEN 2 END) WHEN 'nation' THEN CASE WHEN id IN (SELECT target FROM small) THEN 1 ELSE 0 END ELSE 0 END AS layer FROM (SELECT source AS id FROM small UNION SELECT target FROM small)),
-w AS (SELECT v.id, CASE WHEN v.id LIKE 'region:%' THEN (SELECT max(x.layer) + 1 FROM small s JOIN v x ON x.id = s.source WHERE s.target = v.id) ELSE v.layer END AS layer FROM v) SELECT layer, count(*) AS n, min(id) AS first FROM w GROUP BY layer""",
+        f"WITH RECURSIVE {SQL_EDGES}, e AS MATERIALIZED (SELECT DISTINCT source, target FROM edges), v AS (SELECT source AS id FROM e UNION SELECT target FROM e), l(id, layer) AS (SELECT id, 0 FROM v UNION SELECT e.target, layer + 1 FROM l JOIN e ON e.source = l.id), m AS (SELECT id, max(layer) AS layer FROM l GROUP BY id) SELECT layer, count(*) AS n, min(id) AS first FROM m GROUP BY layer",
     ),
     "parse_status_counts": (
         parse_status,
