@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evgraph.plans import context, docs, extraction, graph, journal, retrieval
+from evgraph.plans import context, docs, evidence, extraction, graph, journal, retrieval
 
-MODULES = (graph, retrieval, docs, journal, extraction, context)
+MODULES = (graph, retrieval, docs, journal, extraction, context, evidence)
 
 
 def queries() -> dict:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from evgraph.operators import policy
+from evgraph.plans.graph import SQL_EDGES
 from evgraph.sources import tables
 from evgraph.sources.store import dense_ordinals, federate
 from evgraph.streaming import journal as J
@@ -13,6 +13,21 @@ from evgraph.streaming import journal as J
 SQL_J = "j AS (SELECT event_id AS seq, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS observed_ms, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'modify' WHEN 'click' THEN 'modify' WHEN 'purchase' THEN 'rename' WHEN 'error' THEN 'delete' END AS event_kind, 'user:' || user_id AS path FROM events)"
 
 
+SQL_FOLDER = "sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part || ':' || digest))"
+
+
+def folders_sql(leaves: str, levels: int) -> str:
+    """CTEs f1 ... of folders (path, digest), from ``leaves`` (path, digest), a level at a time."""
+    out, below = [], leaves
+    for i in range(1, levels + 1):
+        up = "CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"
+        out.append(f"k{i} AS (SELECT {up} AS parent, substr(sha256(split_part(path, '/', -1)), 1, 2) AS part, split_part(path, '/', -1) || ':' || digest AS child FROM {below})")
+        out.append(f"p{i} AS (SELECT parent, part, sha256(string_agg(child, chr(10) ORDER BY child)) AS digest FROM k{i} GROUP BY 1, 2)")
+        out.append(f"f{i} AS MATERIALIZED (SELECT parent AS path, {SQL_FOLDER} AS digest FROM p{i} GROUP BY 1)")
+        below = f"f{i}"
+    return ", ".join(out)
+
+
 def _before_after(spark, d):
     docs = tables.read(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"), "lang", "n_chars")
     before = docs.where("lang <> 'fr'").select("path", F.when(F.col("lang") == "de", F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"))
@@ -46,7 +61,7 @@ def apply_delta(spark, d):
 
 def unresolve(spark, d):
     gone = tables.nodes(spark, d, ("nation",)).where("name like '%A'").select("id")
-    return J.unresolve(tables.small_edges(spark, d), gone).groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("targets"))
+    return J.unresolve(tables.edges(spark, d), gone).groupBy("kind", "tier").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("targets"))
 
 
 def freshness_ladder(spark, d):
@@ -114,9 +129,7 @@ SELECT name, seq AS deleted, s AS created FROM w WHERE event_kind = 'delete' AND
     "metadata_diff": (metadata_diff, "SELECT CASE lang WHEN 'fr' THEN 'create' WHEN 'es' THEN 'delete' ELSE 'modify' END AS event_kind, count(*) AS n FROM documents WHERE lang IN ('fr', 'es', 'de') GROUP BY 1"),
     "merkle_root": (
         merkle_root,
-        """WITH a AS (SELECT source || '/' || lang AS path, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS digest FROM documents GROUP BY source, lang),
-b AS (SELECT split_part(path, '/', 1) AS path, sha256(string_agg(split_part(path, '/', 2) || ':' || digest, chr(10) ORDER BY split_part(path, '/', 2) || ':' || digest)) AS digest FROM a GROUP BY 1),
-c AS (SELECT '' AS path, sha256(string_agg(path || ':' || digest, chr(10) ORDER BY path || ':' || digest)) AS digest FROM b) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+        f"WITH t AS (SELECT source || '/' || lang || '/' || doc_id AS path, sha256(text) AS digest FROM documents), {folders_sql('t', 3)} SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3",
     ),
     "apply_delta": (
         apply_delta,
@@ -124,8 +137,8 @@ c AS (SELECT '' AS path, sha256(string_agg(path || ':' || digest, chr(10) ORDER
     ),
     "delete_unresolves": (
         unresolve,
-        """WITH g AS (SELECT 'nation:' || n_nationkey AS id FROM nation WHERE n_name LIKE '%A'), e AS (SELECT 'nation:' || n_regionkey AS dummy, 'region:' || n_regionkey AS target FROM nation UNION ALL SELECT '', 'nation:' || c_nationkey FROM customer UNION ALL SELECT '', 'nation:' || s_nationkey FROM supplier)
-SELECT 'REFERENCES' AS kind, CASE WHEN target IN (SELECT id FROM g) THEN 'UNRESOLVED' ELSE 'EXACT_RESOLUTION' END AS tier, count(*) AS n, count(*) FILTER (target NOT IN (SELECT id FROM g)) AS targets FROM e GROUP BY 2""",
+        f"""WITH {SQL_EDGES}, g AS (SELECT 'nation:' || n_nationkey AS id FROM nation WHERE n_name LIKE '%A')
+SELECT kind, CASE WHEN target IN (SELECT id FROM g) THEN 'UNRESOLVED' ELSE tier END AS tier, count(*) AS n, count(*) FILTER (target NOT IN (SELECT id FROM g)) AS targets FROM edges GROUP BY 1, 2""",
     ),
     "freshness_ladder": (
         freshness_ladder,

@@ -48,23 +48,36 @@ def ledger_diff(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def metadata_diff(before: DataFrame, now: DataFrame) -> DataFrame:
-    """(path, event_kind): create, modify or delete by size and time."""
-    rows = before.select("path", F.struct("size", "mtime").alias("was")).join(now.select("path", F.struct("size", "mtime").alias("now")), "path", "full_outer")
-    kind = F.when(F.col("was").isNull(), "create").when(F.col("now").isNull(), "delete").when(F.col("was") != F.col("now"), "modify")
+    """(path, event_kind): create, modify or delete by size, time, and identity where both sides have that column."""
+    cols = [c for c in ("size", "mtime", "identity") if c in before.columns and c in now.columns]
+    rows = before.select("path", F.struct(*cols).alias("was")).join(now.select("path", F.struct(*cols).alias("now")), "path", "full_outer")
+    kind = F.when(F.col("was").isNull(), "create").when(F.col("now").isNull(), "delete").when(~F.col("was").eqNullSafe(F.col("now")), "modify")
     return rows.select("path", kind.alias("event_kind")).where("event_kind is not null")
 
 
+def folder_digests(children: DataFrame) -> DataFrame:
+    """(path, digest) of folders from their children (parent, path, digest).
+
+    Children are parted by the first byte of their names' digests; a part is digested over its sorted children
+    (name:digest), the folder over its parts. So no task holds more than a part of a folder, whatever its size.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = children.select("parent", F.substring(F.sha2(name, 256), 1, 2).alias("part"), F.concat(name, F.lit(":"), "digest").alias("child"))
+    lines = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = rows.groupBy("parent", "part").agg(lines("child").alias("digest"))
+    return parts.groupBy(F.col("parent").alias("path")).agg(lines(F.concat("part", F.lit(":"), "digest")).alias("digest"))
+
+
 def merkle(leaves: DataFrame, depth: int) -> DataFrame:
     """(path, digest) of all folders up to the root (empty path), from leaves (path, digest) ``depth`` parts deep.
 
-    A level a step: a folder's digest is of its sorted children (name:digest). Other levels hold folders only, so each
-    step is smaller than the last.
+    A level a step: see :func:`folder_digests`. Other levels hold folders only, so each step is smaller than the last.
     """
+    from evgraph.functions import text as X
+
     level, out = leaves.select("path", "digest"), None
     for _ in range(depth):
-        up = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-        child = F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.col("digest"))
-        level = level.groupBy(up.alias("path")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(child)), "\n"), 256).alias("digest"))
+        level = folder_digests(level.withColumn("parent", X.dirname(F.col("path"))))
         out = level if out is None else out.unionByName(level)
     return out
 
