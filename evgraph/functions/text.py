@@ -50,8 +50,11 @@ def text_score(haystack: Column, terms: list[str]) -> Column:
 
 
 def ordered_term_score(haystack: Column, terms: list[str]) -> Column:
-    """Eight for the whole phrase, and three for each pair of neighbouring terms found as such."""
-    low = F.lower(haystack)
+    """Eight for the whole phrase, and three for each pair of neighbouring terms found as such, in the text as it is
+    searched; of fewer than two terms nothing."""
+    if len(terms) < 2:
+        return F.lit(0)
+    low = search_text(haystack)
     pairs = [F.when(F.contains(low, F.lit(f"{a} {b}")), 3).otherwise(0) for a, b in zip(terms, terms[1:], strict=False)]
     return reduce(lambda a, b: a + b, pairs, F.when(F.contains(low, F.lit(" ".join(terms))), 8).otherwise(0))
 

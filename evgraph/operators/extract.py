@@ -52,9 +52,10 @@ IMPORTS["typescript"] = IMPORTS["javascript"]
 SYMBOL = "path string, kind string, name string, qualified string, start_line int, end_line int, tier string"
 
 
-def language(path: Column) -> Column:
+def language(path: Column, more: dict[str, str] | None = None) -> Column:
+    """The language of a path by its extension; ``more`` extensions besides the registry's."""
     ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
-    pairs = [F.lit(x) for kv in EXTENSIONS.items() for x in kv]
+    pairs = [F.lit(x) for kv in (EXTENSIONS | (more or {})).items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit("lexical"))
 
 
@@ -111,12 +112,12 @@ def python_symbols(text: str) -> list[tuple]:
     return out
 
 
-def text_symbols(text: str, lang: str) -> list[tuple]:
+def text_symbols(text: str, lang: str, patterns: dict | None = None) -> list[tuple]:
     if lang == "python":
         return python_symbols(text)
     out, lines, owner = [], text.split("\n"), ("", -1)
     for i, line in enumerate(lines):
-        for kind, pattern in SYMBOLS.get(lang, ()):
+        for kind, pattern in (patterns or SYMBOLS).get(lang, ()):
             m = re.match(pattern, line)
             if not m or kind == "Method" and (i > owner[1] or m[1] in NOT_METHODS):
                 continue
@@ -129,15 +130,18 @@ def text_symbols(text: str, lang: str) -> list[tuple]:
     return out
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """SYMBOL rows of files (path, text); a null text has none."""
+def symbols(files: DataFrame, languages: list[dict] | None = None) -> DataFrame:
+    """SYMBOL rows of files (path, text); a null text has none. ``languages``: configured ones, those of
+    :func:`evgraph.sources.repository.custom_languages`."""
+    own = {f".{e}": x["id"] for x in languages or () for e in x["extensions"]}
+    known = SYMBOLS | {x["id"]: tuple(map(tuple, x["patterns"])) for x in languages or ()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *s) for p, x, lang in zip(b.path, b.text, b.lang, strict=True) if x for s in text_symbols(x, lang)]
+            rows = [(p, *s) for p, x, lang in zip(b.path, b.text, b.lang, strict=True) if x for s in text_symbols(x, lang, known)]
             yield pd.DataFrame(rows, columns=["path", "kind", "name", "qualified", "start_line", "end_line", "tier"])
 
-    return files.select("path", "text", language(F.col("path")).alias("lang")).mapInPandas(run, SYMBOL)
+    return files.select("path", "text", language(F.col("path"), own).alias("lang")).mapInPandas(run, SYMBOL)
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -161,8 +165,10 @@ def call_names(bodies: DataFrame) -> DataFrame:
 #: Facts of each profile: kind and pattern, the name in group 1 (fixed values).
 FACTS = {
     "http": (("ROUTES_TO", r"\b(?:app|router)\.(?:get|post|put|patch|delete)\(\s*[\"'`]([^\"'`]+)"), ("ROUTES_TO", r"@(?:app|router)\.(?:get|post|put|patch|delete)\(\s*[\"']([^\"']+)"), ("ROUTES_TO", r"\.route\(\s*\"([^\"]+)\"")),
-    "events": (("PRODUCES", r"\b(?:publish|produce|emit|send)\(\s*[\"'`]([^\"'`]+)"), ("CONSUMES", r"\b(?:subscribe|consume|on)\(\s*[\"'`]([^\"'`]+)")),
-    "database": (("DEFINES", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)"), ("DEFINES", r"(?i)\bcreate\s+(?:unique\s+)?index\s+([\w.]+)"), ("WRITES", r"(?i)\b(?:insert\s+into|update|delete\s+from)\s+([\w.]+)"), ("READS", r"(?i)\bfrom\s+([\w.]+)")),
+    "events": (("PRODUCES", r"(?i)(?:publish|produce|emit)\(\s*[\"'`]([A-Za-z0-9_.-]+)[\"'`]"), ("CONSUMES", r"(?i)(?:subscribe|consume|onMessage|handler)\(\s*[\"'`]([A-Za-z0-9_.-]+)[\"'`]")),
+    "database": (("DEFINES", r"(?i)(?:model|table)\s+([A-Za-z0-9_]+)"), ("READS", r"(?i)\.(find|get|query|select)\("), ("WRITES", r"(?i)\.(insert|create|update|delete|save)\(")),
+    "deployment": (("DEPLOYS", r"(?i)^\s*(?:-\s*)?(?:uses|action|step|deploy)\s*:\s*([A-Za-z0-9_.-]+)"), ("CONFIGURES", r"^\s*resource\s+\"([^\"]+)\"")),
+    "sql": (("DEFINES", r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?([\w.]+)"), ("DEFINES", r"(?i)\bcreate\s+(?:unique\s+)?index\s+([\w.]+)"), ("WRITES", r"(?i)\b(?:insert\s+into|update|delete\s+from)\s+([\w.]+)"), ("READS", r"(?i)\bfrom\s+([\w.]+)")),
     "docker": (("USES", r"(?i)^\s*from\s+(\S+)"), ("DEPLOYS", r"(?i)^\s*expose\s+(\d+)"), ("HANDLES", r"(?i)^\s*entrypoint\s+(.+)$")),
     "terraform": (("DEPLOYS", r"^\s*resource\s+\"[^\"]+\"\s+\"([^\"]+)\""), ("USES", r"^\s*module\s+\"([^\"]+)\"")),
     "kubernetes": (("DEPLOYS", r"^\s*kind:\s*(\w+)"),),
@@ -172,7 +178,7 @@ FACTS = {
 def profile(path: Column) -> Column:
     """Which facts a path can hold."""
     low = F.lower(path)
-    return F.when(low.rlike(r"(^|/)dockerfile"), "docker").when(low.endswith(".tf"), "terraform").when(low.rlike(r"\.ya?ml$"), "kubernetes").when(low.endswith(".sql"), "database").otherwise("http")
+    return F.when(low.rlike(r"(^|/)dockerfile"), "docker").when(low.endswith(".tf"), "terraform").when(low.rlike(r"\.ya?ml$"), "kubernetes").when(low.endswith(".sql"), "sql").otherwise("http")
 
 
 def facts(lines: DataFrame, name: str) -> DataFrame:
@@ -183,6 +189,33 @@ def facts(lines: DataFrame, name: str) -> DataFrame:
     return rows.select("path", "line", F.explode(found).alias("f")).select("path", "line", "f.kind", "f.name")
 
 
+_VERB = r"\.(get|post|put|delete|patch)\(\s*[\"'`]([^\"'`]+)[\"'`]"
+#: Stacks of web frameworks: imports that show one is used; patterns of routes (method or none, path) and of handlers
+#: (fixed values).
+STACKS = {
+    "next-express": (("next", "express", "fastify"), (("route", r"(?i)(?:app|router)" + _VERB), ("handler", r"export\s+default\s+async\s+function\s+([A-Za-z0-9_]+)"))),
+    "fastapi-django": (("fastapi", "django"), (("route", r"(?i)@app" + _VERB), ("handler", r"^def\s+([A-Za-z0-9_]+)\s*\("))),
+    "tauri-axum": (("tauri", "axum"), (("route", r"(?i)\.route\(\s*()[\"'`]([^\"'`]+)[\"'`]"), ("handler", r"async\s+fn\s+([A-Za-z0-9_]+)"))),
+}
+
+
+def routes(lines: DataFrame, imported: DataFrame) -> DataFrame:
+    """(path, line, stack, kind, method, name): routes and handlers in lines (path, line, text) of files that import one of
+    a stack's frameworks (path, specifier). Comments hold none; a route without a method is for ANY."""
+    bare = F.trim("text")
+    rows = lines.where(~bare.rlike(r"^(//|#|/\*|\*)")).withColumn("_t", F.trim(F.regexp_replace(F.regexp_replace(bare, "//.*$", ""), "#.*$", "")))
+    gate = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains("specifier", w)), F.lit(stack)) for stack, (words, _) in STACKS.items()]
+    active = imported.select("path", F.explode(F.filter(F.array(*gate), lambda x: x.isNotNull())).alias("stack")).distinct()
+    hits = []
+    for stack, (_, patterns) in STACKS.items():
+        for kind, pattern in patterns:
+            verb = F.upper(F.regexp_extract("_t", pattern, 1)) if kind == "route" else F.lit(None).cast("string")
+            verb = F.when(verb == "", "ANY").otherwise(verb)
+            hits.append(F.when((F.col("stack") == stack) & F.col("_t").rlike(pattern), F.struct(F.lit(kind).alias("kind"), verb.alias("method"), F.regexp_extract("_t", pattern, 2 if kind == "route" else 1).alias("name"))))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return rows.join(active, "path").select("path", "line", "stack", F.explode(found).alias("f")).select("path", "line", "stack", "f.kind", "f.method", "f.name")
+
+
 def task_anchors(tasks: DataFrame) -> DataFrame:
     """(task, path, symbol, start, end) of paths that a task's text names, with #symbol or a range of lines."""
     pattern = r"([\w./-]+\.\w+(?:#[\w.]+|:\d+(?:-\d+)?)?)"

@@ -52,7 +52,15 @@ def rank_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def budget_prefix(rows: DataFrame, cost: str, order: list[str], budget: int, by: list[str] | None = None) -> DataFrame:
-    """Rows in order while their running cost is within the budget; the first row always. ``by``: a budget for each."""
+    """Rows in order while their running cost is within the budget; the first row always. ``by``: a budget for each.
+
+    A row costs 1 at least, so only the first ``budget`` + 1 rows (of each) are numbered and summed.
+    """
+    if by:
+        most = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("_most", most).where(F.col("_most") <= budget + 1).drop("_most")
+    else:
+        rows = rows.orderBy(*order).limit(budget + 1)
     w = Window.partitionBy(*by) if by else Window.partitionBy()
     run = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     got = rows.withColumn("used", F.sum(cost).over(run)).withColumn("place", F.row_number().over(w.orderBy(*order)))

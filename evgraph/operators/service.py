@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions.text import glob_regex
-from evgraph.operators import analytics, ranking, traverse
+from evgraph.operators import analytics, neighbourhood, ranking, traverse
 
 
 # --- grants and receipts --------------------------------------------------------------------------------------------
@@ -103,6 +103,11 @@ def tabular(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
 
 
+def json_lines(rows: DataFrame) -> DataFrame:
+    """One JSON object a row, its names in order."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("line"))
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame, most: int = 200) -> str:
     """A diagram of a bounded subgraph."""
     n, e = nodes.orderBy("id").limit(most).collect(), edges.where("target is not null").orderBy("source", "target", "kind").limit(most).collect()
@@ -167,6 +172,18 @@ class Graph:
         rows = ranking.rank_nodes(reached, inside, root).join(self.nodes, "id").withColumn("cost", F.greatest(F.lit(1), F.ceil(F.length(F.to_json(F.struct("id", "kind", "path"))) / 4)).cast("long"))
         return ranking.budget_prefix(rows, "cost", ["position"], budget).select("position", "id", "kind", "path", "used").orderBy("position")
 
+    def page(self, anchor: str, depth: int = 1, direction: str = "both", budget: int = 2000, after: tuple[int, int] = (0, 0)) -> tuple[DataFrame, DataFrame, tuple[int, int] | None]:
+        """A page of ranked neighbours and of the edges between them, within a budget of tokens; and where the next begins."""
+        root = self.resolve(anchor)
+        reached = traverse.closure(self._seed(root), self.edges, depth, direction)
+        inside = traverse.neighbor_edges(reached, self.edges)
+        cost = lambda *cols: F.greatest(F.lit(1), F.ceil(F.length(F.to_json(F.struct(*cols))) / 4)).cast("long").alias("cost")
+        nodes = ranking.rank_nodes(reached, inside, root).join(self.nodes, "id").select("position", "id", "kind", "path", cost("id", "kind", "path"))
+        edges = ranking.rank_edges(reached, inside).select("position", "source", "target", "kind", "tier", cost("source", "target", "kind", "tier"))
+        taken = neighbourhood.page(nodes, edges, budget, after)
+        part = lambda rows, phase: rows.join(taken.where(F.col("phase") == phase).select("position"), "position", "left_semi").orderBy("position")
+        return part(nodes, "node"), part(edges, "edge"), neighbourhood.cursor(taken, after, nodes.count(), edges.count())
+
     def impact(self, anchor: str, depth: int = 3) -> DataFrame:
         return traverse.impact(self._seed(self.resolve(anchor)), self.edges, depth)
 

@@ -20,7 +20,10 @@ def code_lines(spark, d):
 
 
 def diverse_evidence(spark, d):
-    rows = context.evidence(_code(spark, d), ["the", "function", "class"]).select("role", "path", "line", "kind", "score")
+    """The turns' lines as those of four files; the evidence of each role."""
+    place = (F.col("path").cast("long") * 50 + F.col("line")).cast("int")
+    code = _code(spark, d).select(F.concat(F.lit("p"), (F.col("path").cast("long") % 4).cast("string")).alias("path"), place.alias("line"), "text", "role")
+    rows = context.evidence(code, ["the", "function", "class"]).select("role", "path", "line", "kind", "score")
     return context.diverse(rows, "role", 12)
 
 
@@ -72,7 +75,21 @@ QUERIES = {
         code_lines,
         """WITH k AS (SELECT ['function', 'class', 'reference', NULL, 'call-site', NULL][turn % 6 + 1] AS kind FROM conversations) SELECT kind, count(*) AS n FROM k GROUP BY kind""",
     ),
-    "diverse_evidence": (diverse_evidence, None),
+    "diverse_evidence": (
+        diverse_evidence,
+        r"""WITH RECURSIVE l AS (SELECT role, 'p' || (conv_id % 4) AS path, CAST(conv_id * 50 + turn + 1 AS INT) AS line, turn % 6 + 1 AS k, ['function f', 'class C', 'import x', '// note', 'run(', 'plain '][turn % 6 + 1] || regexp_replace(text, '[\n(]', ' ', 'g') AS t FROM conversations),
+h AS (SELECT *, ['function', 'class', 'reference', NULL, 'call-site', NULL][k] AS kind, lower(t || ' ' || path) AS low, trim(regexp_replace(lower(t || ' ' || path), '[^a-z0-9]+', ' ', 'g')) AS norm, regexp_replace(trim(t), '\s+', ' ', 'g') AS c FROM l),
+e AS (SELECT role, path, line, kind, [60, 50, 25, 0, 55, 0][k] + contains(low, 'the')::INT + 3 * contains(low, 'function')::INT + contains(low, 'class')::INT + 8 * contains(norm, 'the function class')::INT + 3 * contains(norm, 'the function')::INT + 3 * contains(norm, 'function class')::INT AS score,
+  CASE WHEN length(c) <= 220 THEN c ELSE regexp_replace(substr(c, 1, 217), '\s+\S*$', '') || '...' END AS text FROM h WHERE kind IS NOT NULL AND (contains(low, 'the') OR contains(low, 'function') OR contains(low, 'class'))),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, text ORDER BY line) AS n FROM e) WHERE n = 1),
+s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, path, line) AS rn, row_number() OVER (PARTITION BY role, path ORDER BY score DESC, line) AS pn, row_number() OVER (PARTITION BY role, kind ORDER BY score DESC, path, line) AS kn FROM f),
+u AS (SELECT role, rn, 1 AS phase, rn AS key FROM s WHERE pn = 1 UNION ALL SELECT role, rn, 2, list_position(['module', 'type', 'class', 'constant', 'function', 'call-site', 'config', 'test', 'reference'], kind) FROM s WHERE kn = 1 UNION ALL SELECT role, rn, 3, rn FROM s),
+q AS MATERIALIZED (SELECT u.role, u.phase, s.rn, s.kind, s.path, row_number() OVER (PARTITION BY u.role ORDER BY u.phase, u.key) AS pos FROM u JOIN s ON s.role = u.role AND s.rn = u.rn),
+fold(role, pos, ids, kinds, paths) AS (SELECT DISTINCT role, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM s UNION ALL
+  SELECT role, pos, CASE WHEN ok THEN list_append(ids, rn) ELSE ids END, CASE WHEN ok THEN list_append(kinds, kind) ELSE kinds END, CASE WHEN ok THEN list_append(paths, path) ELSE paths END FROM (
+    SELECT q.role, q.pos, q.rn, q.kind, q.path, f.ids, f.kinds, f.paths, len(f.ids) < 12 AND NOT list_contains(f.ids, q.rn) AND (q.phase < 3 OR len(list_filter(f.kinds, lambda x: x = q.kind)) < 4 AND len(list_filter(f.paths, lambda x: x = q.path)) < 5) AS ok FROM fold f JOIN q ON q.role = f.role AND q.pos = f.pos + 1)),
+z AS (SELECT role, arg_max(ids, pos) AS ids FROM fold GROUP BY role) SELECT s.role, s.path, s.line, s.kind, s.score FROM s JOIN z ON z.role = s.role AND list_contains(z.ids, s.rn)""",
+    ),
     "chunk_by_syntax": (
         chunk_lines,
         """WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), s AS (SELECT doc_id, line, strlen(t) + 1 AS size, sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS used FROM u)

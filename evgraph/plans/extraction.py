@@ -38,8 +38,30 @@ def _lines(spark, d):
     return tables.doc_lines(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "line", "text")
 
 
-def database_facts(spark, d):
-    return extract.facts(_lines(spark, d), "database").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+def sql_facts(spark, d):
+    return extract.facts(_lines(spark, d), "sql").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Beginnings of lines, given to the turns of conversations by turns.
+HEADS = ("app.get('/r", '  router.POST( "/s', "db.find(", "Model Cart ", "x.save(); publish('t.1') //", "onMessage(`q-2`) ", "uses: act.v1 ", 'resource "disk" ', "// app.get('/no') ", "@app.put('/f')", "async fn run_", "def go(")
+
+
+def _turns(spark, d):
+    head = F.element_at(F.array(*map(F.lit, HEADS)), ((F.col("turn") * 5 + F.col("conv_id")) % len(HEADS) + 1).cast("int"))
+    return tables.read(spark, d, "conversations").select(F.concat(F.lit("f"), (F.col("conv_id") % 9).cast("string")).alias("path"), (F.col("conv_id") * 50 + F.col("turn")).cast("int").alias("line"), F.concat(head, F.regexp_replace("text", r"\n", " "), F.lit("')")).alias("text"))
+
+
+def profile_facts(spark, d):
+    out = None
+    for name in ("database", "events", "deployment"):
+        rows = extract.facts(_turns(spark, d), name).select(F.lit(name).alias("profile"), "path", "line", "kind", "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def routes(spark, d):
+    gates = spark.createDataFrame([("f0", "express/lib"), ("f1", "fastapi"), ("f2", "axum"), ("f3", "next"), ("f3", "django"), ("f4", "react")], "path string, specifier string")
+    return extract.routes(_turns(spark, d), gates)
 
 
 def task_anchors(spark, d):
@@ -114,9 +136,21 @@ def token_savings(spark, d):
     return tables.read(spark, d, "conversations").groupBy("role").agg(F.sum(X.json_tokens(n)).alias("quarter"), F.sum(X.byte_tokens(n)).alias("bytes"), F.count(F.lit(1)).alias("turns"))
 
 
+_HEADS_SQL = ", ".join("'" + h.replace("'", "''") + "'" for h in HEADS)
+SQL_TURNS = f"t AS (SELECT 'f' || (conv_id % 9) AS path, CAST(conv_id * 50 + turn AS INT) AS line, [{_HEADS_SQL}][(turn * 5 + conv_id) % {len(HEADS)} + 1] || replace(text, chr(10), ' ') || chr(39) || ')' AS text FROM conversations)"
 _SEED = "seed AS (SELECT id, score FROM (SELECT id, contains(t, 'nation')::INT + contains(t, '1')::INT AS score FROM (SELECT id, lower(kind || ' ' || name || ' ' || path) AS t FROM nodes WHERE kind = 'nation')) WHERE score > 0 ORDER BY score DESC, id LIMIT 5), arcs AS (SELECT source AS a, target AS b FROM small UNION ALL SELECT target, source FROM small)"
 QUERIES = {
-    "extract_symbols": (symbols, None),
+    "extract_symbols": (
+        symbols,
+        r"""WITH f AS (SELECT page_id % 3 AS m, 'import x from ' || chr(39) || './m' || page_id || chr(39) || ';' || chr(10) || 'import os' || chr(10) || 'class A {' || chr(10) || '  run() {' || chr(10) || '    track(0);' || chr(10) || '  }' || chr(10) || '}' || chr(10) || 'CREATE TABLE t' || page_id || ' (id int);' || chr(10) || html AS text FROM pages),
+l AS (SELECT m, unnest(string_split(text, chr(10))) AS x FROM f),
+p(m, ord, kind, re) AS (VALUES (0, 1, 'Class', '^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)'), (0, 2, 'Function', '^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)'),
+  (0, 3, 'Function', '^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>'), (0, 4, 'Const', '^\s*(?:export\s+)?const\s+(\w+)\s*='), (0, 5, 'Type', '^\s*(?:export\s+)?(?:interface|type|enum)\s+(\w+)'), (0, 6, 'Method', '^  (run)\(\) \{$'),
+  (0, 7, 'Test', '^\s*(?:test|it)\(\s*["''`]([^"''`]+)'), (1, 1, 'Class', '^\s*class\s+(\w+)'), (1, 2, 'Function', '^\s*(?:async\s+)?def\s+(\w+)'), (2, 1, 'Table', '(?i)^\s*create\s+(?:or\s+replace\s+)?table\s+(?:if\s+not\s+exists\s+)?([\w.]+)'),
+  (2, 2, 'View', '(?i)^\s*create\s+(?:or\s+replace\s+)?view\s+([\w.]+)'), (2, 3, 'Function', '(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure|trigger)\s+([\w.]+)')),
+c AS (SELECT m, x, count(*) AS n FROM l GROUP BY m, x), h AS (SELECT c.m, c.x, c.n, ord, kind, regexp_extract(x, re, 1) AS name FROM c JOIN p ON p.m = c.m WHERE regexp_matches(x, re)), b AS (SELECT x, m, n, arg_min(kind, ord) AS kind, arg_min(name, ord) AS name FROM h GROUP BY x, m, n)
+SELECT kind, name, 'LEXICAL' AS tier, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY kind, name""",
+    ),
     "extract_imports": (
         imports,
         "SELECT 'src/f' || page_id || '.js' AS path, './m' || page_id AS specifier FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'src/f' || page_id || '.py', unnest(['x', 'os']) FROM pages WHERE page_id % 3 = 1",
@@ -125,16 +159,32 @@ QUERIES = {
         language_route,
         "SELECT ['javascript', 'python', 'sql'][page_id % 3 + 1] AS language, count(*) AS n FROM pages GROUP BY 1 UNION ALL SELECT 'lexical', count(*) FROM part",
     ),
-    "database_facts": (
-        database_facts,
+    "sql_facts": (
+        sql_facts,
         f"""WITH {SQL_LINES}, k AS (SELECT text FROM l WHERE NOT regexp_matches(trim(text), '^(//|#|--)')), f AS (SELECT 'DEFINES' AS kind FROM k WHERE regexp_matches(text, '(?i)\\bcreate\\s+table\\s+(?:if\\s+not\\s+exists\\s+)?([\\w.]+)') UNION ALL SELECT 'DEFINES' FROM k WHERE regexp_matches(text, '(?i)\\bcreate\\s+(?:unique\\s+)?index\\s+([\\w.]+)')
 UNION ALL SELECT 'WRITES' FROM k WHERE regexp_matches(text, '(?i)\\b(?:insert\\s+into|update|delete\\s+from)\\s+([\\w.]+)') UNION ALL SELECT 'READS' FROM k WHERE regexp_matches(text, '(?i)\\bfrom\\s+([\\w.]+)')) SELECT kind, count(*) AS n FROM f GROUP BY kind""",
+    ),
+    "profile_facts": (
+        profile_facts,
+        f"""WITH {SQL_TURNS}, k AS (SELECT * FROM t WHERE NOT regexp_matches(trim(text), '^(//|#|--)')),
+p(profile, kind, re) AS (VALUES ('database', 'DEFINES', '(?i)(?:model|table)\\s+([A-Za-z0-9_]+)'), ('database', 'READS', '(?i)\\.(find|get|query|select)\\('), ('database', 'WRITES', '(?i)\\.(insert|create|update|delete|save)\\('),
+  ('events', 'PRODUCES', '(?i)(?:publish|produce|emit)\\(\\s*["''`]([A-Za-z0-9_.-]+)["''`]'), ('events', 'CONSUMES', '(?i)(?:subscribe|consume|onMessage|handler)\\(\\s*["''`]([A-Za-z0-9_.-]+)["''`]'),
+  ('deployment', 'DEPLOYS', '(?i)^\\s*(?:-\\s*)?(?:uses|action|step|deploy)\\s*:\\s*([A-Za-z0-9_.-]+)'), ('deployment', 'CONFIGURES', '^\\s*resource\\s+"([^"]+)"'))
+SELECT profile, path, line, kind, regexp_extract(text, re, 1) AS name FROM k, p WHERE regexp_matches(text, re)""",
+    ),
+    "extract_routes": (
+        routes,
+        f"""WITH {SQL_TURNS}, k AS (SELECT path, line, trim(regexp_replace(regexp_replace(trim(text), '//.*$', ''), '#.*$', '')) AS x FROM t WHERE NOT regexp_matches(trim(text), '^(//|#|/\\*|\\*)')),
+g(path, stack) AS (VALUES ('f0', 'next-express'), ('f1', 'fastapi-django'), ('f2', 'tauri-axum'), ('f3', 'next-express'), ('f3', 'fastapi-django')),
+p(stack, kind, re) AS (VALUES ('next-express', 'route', '(?i)(?:app|router)\\.(get|post|put|delete|patch)\\(\\s*["''`]([^"''`]+)["''`]'), ('next-express', 'handler', 'export\\s+default\\s+async\\s+function\\s+([A-Za-z0-9_]+)'), ('fastapi-django', 'route', '(?i)@app\\.(get|post|put|delete|patch)\\(\\s*["''`]([^"''`]+)["''`]'),
+  ('fastapi-django', 'handler', '^def\\s+([A-Za-z0-9_]+)\\s*\\('), ('tauri-axum', 'route', '(?i)\\.route\\(\\s*()["''`]([^"''`]+)["''`]'), ('tauri-axum', 'handler', 'async\\s+fn\\s+([A-Za-z0-9_]+)'))
+SELECT path, line, stack, kind, CASE WHEN kind = 'route' THEN coalesce(nullif(upper(regexp_extract(x, re, 1)), ''), 'ANY') END AS method, CASE WHEN kind = 'route' THEN regexp_extract(x, re, 2) ELSE regexp_extract(x, re, 1) END AS name FROM k JOIN g USING (path) JOIN p USING (stack) WHERE regexp_matches(x, re)""",
     ),
     "task_anchors": (
         task_anchors,
         """SELECT conv_id || '/' || turn AS task, 'src/m' || turn || '.ts' AS path, 'run' AS symbol, 0 AS "start", 0 AS "end" FROM conversations UNION ALL SELECT conv_id || '/' || turn, 'lib/x.py', NULL, 3, 9 FROM conversations""",
     ),
-    "profile_for_path": (profiles, "SELECT ['docker', 'terraform', 'kubernetes', 'database', 'http'][page_id % 5 + 1] AS profile, count(*) AS n FROM pages GROUP BY 1"),
+    "profile_for_path": (profiles, "SELECT ['docker', 'terraform', 'kubernetes', 'sql', 'http'][page_id % 5 + 1] AS profile, count(*) AS n FROM pages GROUP BY 1"),
     "confidence_from_resolution": (
         confidence_from_resolution,
         "SELECT ['EXACT_RESOLUTION', 'EXACT_RESOLUTION', 'SAME_FILE_LEXICAL', 'CROSS_FILE_HEURISTIC', 'UNRESOLVED'][l_linenumber % 5 + 1] AS tier, count(*) AS n FROM lineitem GROUP BY 1",

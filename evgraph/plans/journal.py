@@ -95,14 +95,13 @@ def stream_coalesce(spark, d):
     import uuid
 
     from evgraph.session import cut
-    from evgraph.sources.store import current
 
     cut(spark.range(1))  # so that the shared folder is known
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/journal-{uuid.uuid4().hex}"
     rows = tables.journal(spark, d)
     rows.write.parquet(f"{base}/in")
     J.drain(J.stream(spark, f"{base}/in", rows.schema), f"{base}/store", f"{base}/state")
-    return current(spark, f"{base}/store", "journal").select("path", "seq", "event_kind")
+    return J.drained(spark, f"{base}/store").select("path", "seq", "event_kind")
 
 
 _LAST = f"WITH {SQL_J}, w AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS n FROM j)"

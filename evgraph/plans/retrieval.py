@@ -205,7 +205,7 @@ SELECT p_partkey, array_to_string(list_filter(ts, lambda x, i: list_position(ts,
     "text_scores": (
         text_scores,
         """WITH t AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, contains(t, 'the')::INT + contains(t, 'license')::INT AS terms, contains(t, 'the')::INT + contains(t, 'license')::INT * 3 AS weighted,
-CASE WHEN contains(t, 'of the') THEN 8 ELSE 0 END + CASE WHEN contains(t, 'of the') THEN 3 ELSE 0 END AS ordered FROM t""",
+CASE WHEN contains(regexp_replace(t, '[^a-z0-9]+', ' ', 'g'), 'of the') THEN 11 ELSE 0 END AS ordered FROM t""",
     ),
     "token_proxies": (
         token_proxies,
@@ -217,7 +217,11 @@ CASE WHEN contains(t, 'of the') THEN 8 ELSE 0 END + CASE WHEN contains(t, 'of th
 SELECT p_partkey, regexp_replace(regexp_replace(a, '[^a-z0-9]+', '-', 'g'), '(^-+)|(-+$)', '', 'g') AS slug, CASE WHEN length(b) <= 18 THEN b ELSE regexp_replace(substr(b, 1, 15), '\\s+\\S*$', '') || '...' END AS short FROM t""",
     ),
     "content_hash": (content_hash, "SELECT sha256(text) AS hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1"),
-    "page_paths": (page_paths, None),
+    "page_paths": (
+        page_paths,
+        r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS raw FROM pages), n AS (SELECT page_id, raw, list_reduce(list_prepend('', list_filter(string_split(replace(raw, '\', '/'), '/'), lambda x: x <> '' AND x <> '.')), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '(^|/)[^/]*$', '') WHEN a = '' THEN x ELSE a || '/' || x END) AS path FROM p)
+SELECT page_id, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder, lower(regexp_extract(raw, '(\.[^./]+)$', 1)) AS extension FROM n""",
+    ),
     "redact": (
         redact,
         f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) SELECT doc_id, count(*) AS lines, CAST(sum(length(regexp_replace(t, '{_SECRET}', '\\1\\2[REDACTED]', 'g'))) AS BIGINT) AS \"left\" FROM l WHERE regexp_matches(t, '{_SECRET}') GROUP BY doc_id",

@@ -115,17 +115,32 @@ def stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+#: Every so many batches the journal's tables are merged to one.
+COMPACT = 16
+
+
+def drained(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The last event of each path in ``target``: of the last merged table and the batches since. None: no batch yet."""
+    from evgraph.sources.store import manifest
+
+    found = manifest(spark, target, below)
+    if found is None:
+        return None
+    first = max(0, (found["number"] + 1) // COMPACT * COMPACT - 1)
+    rows = spark.read.parquet(*(f"{target}/gen={i:010d}/journal" for i in range(first, found["number"] + 1)))
+    return rows.groupBy("path").agg(F.max_by(F.struct("seq", "observed_ms", "event_kind"), "seq").alias("e")).select("path", "e.*")
+
+
 def drain(journal: DataFrame, target: str, checkpoint: str) -> None:
     """Keeps the last event of each path in ``target``, a generation a batch; runs until the input is used up.
 
-    A batch reads the last generation and writes the next under its own number, so a batch run again gives the same.
+    A batch writes its own paths only, every COMPACT-th all of them, under the batch's number: run again, it gives the same.
     """
-    from evgraph.sources.store import current, publish
+    from evgraph.sources.store import publish
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         new = coalesce(batch).select("path", "seq", "observed_ms", "event_kind")
-        old = current(spark, target, "journal", below=number)
+        old = drained(batch.sparkSession, target, number) if number % COMPACT == COMPACT - 1 else None
         if old is not None:
             new = old.unionByName(new).groupBy("path").agg(F.max_by(F.struct("seq", "observed_ms", "event_kind"), "seq").alias("e")).select("path", "e.*")
         publish(target, number, {"journal": new})

@@ -38,6 +38,52 @@ def test_scan(spark, repo):
     assert repository.parse_cache(files, files, 1, 1).isEmpty() and repository.parse_cache(files, files, 2, 1).count() == 4
 
 
+def test_walk_has_caps(spark, repo):
+    files, why = repository.walk_tree(spark, repo)
+    assert {r.path for r in files.collect()} == {"src/cart.ts", "src/app.py", "src/zero.bin", "logo.png", "vendor/x.js"} and why == []
+    files, why = repository.walk_tree(spark, repo, entries=2)
+    assert files.isEmpty() and why == ["directory_entry_limit"]
+    files, why = repository.walk_tree(spark, repo, folders=2, most=5)
+    assert {r.path for r in files.collect()} == {"logo.png", "src/zero.bin"} and why == ["directory_limit"]
+
+
+def test_stable_read(repo, monkeypatch):
+    raw, digest = repository.stable_read(f"{repo}/src/zero.bin")
+    assert raw == b"a\0b" and len(digest) == 64
+    read = repository.Path.read_bytes
+
+    def moving(path):
+        got = read(path)
+        path.write_bytes(got + b"!")
+        return got
+
+    monkeypatch.setattr(repository.Path, "read_bytes", moving)
+    with pytest.raises(OSError, match="changes while"):
+        repository.stable_read(f"{repo}/src/zero.bin")
+
+
+def test_doc_map_file(spark, tmp_path):
+    (tmp_path / "map.json").write_text('{"nodes": [{"id": "doc:a", "kind": "doc", "path": "a.md"}, {"id": "c", "kind": "claim", "text": "x", "status": "stale"}], "edges": [{"from": "doc:a", "to": "c", "type": "contains"}]}')
+    got = repository.read_doc_map(spark, f"{tmp_path}/map.json")
+    assert {r.id: r.status for r in got["nodes"].collect()} == {"doc:a": None, "c": "stale"} and tuple(got["edges"].first()) == ("doc:a", "c", "contains")
+    (tmp_path / "bad.json").write_text("{not json")
+    assert repository.read_doc_map(spark, f"{tmp_path}/bad.json") is None and repository.read_doc_map(spark, f"{tmp_path}/none.json") is None
+
+
+def test_configured_languages(spark, tmp_path):
+    (tmp_path / "g.bin").write_bytes(b"grammar")
+    (tmp_path / "own.json").write_text('[["Rule", "^rule (\\\\w+)"]]')
+    one = lambda **x: "[[languages]]\n" + "".join(f"{k} = {v!r}\n" for k, v in x.items())
+    good = one(id="own", extensions=["own"], grammar="g.bin", table="own.json", precision_tier="AST")
+    bad = one(extensions=["x"]) + one(id="rust", extensions=["x"], grammar="g.bin") + one(id="a", extensions=["py"], grammar="g.bin") + one(id="b", extensions=["b"], grammar="../g.bin") + one(id="c", extensions=["c"], grammar="none") + one(id="d", extensions=["d"], grammar="g.bin", grammar_sha256="00")
+    (tmp_path / "languages.toml").write_text(good + bad)
+    languages, wrong = repository.custom_languages(str(tmp_path))
+    assert [x["id"] for x in languages] == ["own"] and len(wrong) == 6 and any("another digest" in w for w in wrong)
+    files = spark.createDataFrame([("x.own", "rule first\n\nrule second\n"), ("x.other", "rule third")], "path string, text string")
+    assert [(r.kind, r.name) for r in extract.symbols(files, languages).orderBy("start_line").collect()] == [("Rule", "first"), ("Rule", "second")]
+    assert repository.custom_languages(str(tmp_path / "none")) == ([], [])
+
+
 def test_symbols(spark, repo):
     files = repository.scan_sources(spark, repo)
     got = {(r.path, r.kind, r.qualified, r.start_line, r.end_line, r.tier) for r in extract.symbols(files).collect()}
@@ -133,6 +179,12 @@ def test_service(spark):
     assert graph.resolve("one") == "a"
     with pytest.raises(LookupError):
         graph.resolve("two")
+    shown, between, at = graph.page("one", 2, budget=1000)
+    assert [r.id for r in shown.collect()] == ["a", "b", "c"] and [(r.source, r.target) for r in between.collect()] == [("a", "b"), ("b", "c")] and at is None
+    shown, between, at = graph.page("one", 2, budget=12)
+    assert [r.id for r in shown.collect()] == ["a"] and between.isEmpty() and at == (1, 0)
+    assert [r.id for r in graph.page("one", 2, budget=1000, after=at)[0].collect()] == ["b", "c"]
+    assert service.json_lines(nodes.where("id = 'a'")).first().line == '{"id":"a","kind":"file","name":"one","path":"a.py"}'
     assert [r.id for r in graph.neighbors("one").collect()] == ["a", "b"] and {r.id for r in graph.impact("c").collect()} == {"a", "b"}
     assert "n0 -->|IMPORTS| n1" in graph.diagram("one") and service.tabular(nodes).first().line == "a\tfile\tone\ta.py"
     pack = service.evidence_pack("r", "g", [{"id": "a", "path": "a.py"}], [])
