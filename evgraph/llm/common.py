@@ -6,10 +6,12 @@ table, and each is hashed eight bytes a step for all words of a slice at once. N
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,68 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as set it apart from ``columns`` (whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(run: Stage) -> Stage:
+    """A pipeline stage that sees the columns doc_id, text and n_chars, and all others under names that clash with none of
+    its own; they get their names again. Where a stage adds a column that ``docs`` has too, the new one replaces it."""
+
+    @wraps(run)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c if c in ("doc_id", "text", "n_chars") else f"c{i}_": c for i, c in enumerate(docs.columns)}
+        out = run(spark, docs.toDF(*names), sf_dir)
+        new = [c for c in out.columns if c not in names]
+        gone = {c.lower() for c in new}
+        return out.select(*(F.col(n).alias(c) for n, c in names.items() if c.lower() not in gone), *new)
+
+    return inner
+
+
+def unique(docs: DataFrame, key: str | Column) -> bool:
+    """Whether no two rows have the same ``key``; nulls are each other's equals."""
+    key = F.col(key) if isinstance(key, str) else key
+    return docs.groupBy(key.alias("k")).count().where("count > 1").isEmpty()
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a number ``name`` of each row: once written, a row's number is the same for every reader."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def release() -> None:
+    """Gives the memory that a task has freed back to the system; workers that wait for a task then hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for mapInArrow, with :func:`release` after every batch that it gives and after the last."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield b
+            del b
+            release()
+        release()
+
+    return inner
+
+
 def bucket_of(key: str | Column, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; null for a null key."""
     key = F.col(key) if isinstance(key, str) else key
