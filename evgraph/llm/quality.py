@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import M1, bucket_of, grams, ship, table, text_slices, utf8, word_hashes, words
+from .common import M1, bucket_of, fresh, frugal, grams, ship, stage, table, text_slices, utf8, word_hashes, words
 
+SCORE = "quality_score"
 BUCKETS, MAX_TRAIN, EPOCHS, C, ALPHA = 1 << 16, 12_000, 12, 1.0, 1.0
 SLICE = 1 << 20
 
@@ -71,7 +73,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -> dict:
     """A model from the labelled rows of ``labels`` (key, label 0 or 1; others and nulls don't count).
 
-    Where a key has several labels the larger counts. Without labels of both classes every text scores one half.
+    Where a key has several labels the larger counts; where it has several texts, that of the least hash of its features
+    does, so the order in which rows arrive decides nothing. Without labels of both classes every text scores one half.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -86,8 +89,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)], ["x", "_y", "_k"])
 
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").select("_t", F.col("_y").cast("int").alias("_y"), F.col("_k").cast("long").alias("_k"))
-    got = rows.mapInArrow(features, "x binary, _y int, _k long").toArrow()
-    order = np.argsort(got["_k"].to_numpy(), kind="stable")[:max_train]
+    found = rows.mapInArrow(frugal(features), "x binary, _y int, _k long")
+    got = found.groupBy("_k").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x", "_y")).alias("m")).select("_k", "m.x", "m._y").toArrow()  # max_train rows at most
+    order = np.argsort(got["_k"].to_numpy(), kind="stable")
     xs = [np.frombuffer(got["x"][int(i)].as_py(), number) for i in order]
     y = np.where(got["_y"].to_numpy()[order] == 1, 1.0, -1.0) if len(order) else np.zeros(0)
     del got
@@ -111,25 +115,27 @@ def score_batch(model: dict, arr: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep``, and quality_score (0 to 1) of every row, from its whole text.
 
-    A null or empty text has no feature: its score is the bias alone. Repeated rows score alike.
+    A null or empty text has no feature: its score is the bias alone. Repeated rows score alike. A column of ``keep``
+    that is named as the score gives way to it.
     """
     spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    cols = [key, *(c for c in keep if c not in (key, text))]
+    cols = [key, *(c for c in keep if c not in (key, text) and c.lower() != SCORE)]
     also = [c for c in keep if c == text]
+    (whole,) = fresh(docs.columns, "_text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in text_slices(b.column(0), SLICE):
                 part = b.slice(lo, hi - lo)
                 got = pa.array(score_batch(held.value, part.column(0)))
-                yield pa.RecordBatch.from_arrays([*(part.columns if also else part.columns[1:]), got], names=[*(part.schema.names if also else part.schema.names[1:]), "quality_score"])
+                yield pa.RecordBatch.from_arrays([*(part.columns if also else part.columns[1:]), got], names=[*(part.schema.names if also else part.schema.names[1:]), SCORE])
 
-    source = docs.select(F.col(text).alias("_text_"), *cols)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if also or f.name != "_text_")
-    out = source.mapInArrow(run, f"{shape}, quality_score double")
-    return out.withColumnRenamed("_text_", text) if also else out
+    source = docs.select(F.col(text).alias(whole), *cols)
+    kinds = StructType([*(f for f in source.schema if also or f.name != whole), StructField(SCORE, DoubleType())])
+    out = source.mapInArrow(frugal(run), kinds)
+    return out.withColumnRenamed(whole, text) if also else out
 
 
 def _model(spark, sf_dir: str) -> dict:
@@ -143,7 +149,12 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+@stage
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the classifier does not reject, with their columns."""
+    """Pipeline stage: the documents that the classifier does not reject, with their columns.
+
+    Null and empty texts are judged by the bias alone; repeated rows alike; very long texts whole. No rows: none. Columns
+    besides doc_id and text pass through, whatever their names.
+    """
     got = score(docs, _model(spark, sf_dir), keep=tuple(docs.columns))
-    return got.where("quality_score >= 0.5").select(*docs.columns)
+    return got.where(F.col(SCORE) >= 0.5).select(*docs.columns)
