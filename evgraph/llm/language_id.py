@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of every training text are summed by Spark, a row per (language, bucket) of each task; the log-probability
-matrix (languages x ``buckets``, bounded by ``max_languages``) is broadcast, and batches are scored by sparse sums in
-numpy. The model is a few MB whatever the corpus.
+matrix (languages x ``buckets``) is broadcast, and batches are scored by sparse sums in numpy. The matrix is a few MB
+whatever the corpus; more than ``BLOCK_LANGUAGES`` are scored a block of that many after the other, each block broadcast
+by itself, and the texts carry the best language so far.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ship, table, text_slices
+from .common import bucket_of, frugal, ship, table, text_slices, written
 
-BUCKETS, ORDERS, ALPHA, MAX_LANGUAGES = 1 << 15, (1, 2, 3), 0.5, 512
+BUCKETS, ORDERS, ALPHA, BLOCK_LANGUAGES = 1 << 15, (1, 2, 3), 0.5, 512
 #: Multipliers of the n-gram hash (fixed values).
 MUL, ODD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 LETTER = re.compile(r"[^\W\d_]")
@@ -42,8 +43,9 @@ def _features(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.n
             yield (h >> np.uint32(16)).astype(np.int32) % buckets, np.maximum(sizes - n + 1, 0)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS, alpha: float = ALPHA) -> dict:
-    """A model from every row with a text and a language. Languages in byte order; at most MAX_LANGUAGES of them."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS, alpha: float = ALPHA, block: int = BLOCK_LANGUAGES) -> list[dict]:
+    """A model from every row with a text and a language: blocks of at most ``block`` languages, in byte order. A table
+    without such a row gives one block of none."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,45 +66,50 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r[0] for r in found.where(F.col("bucket") == buckets).select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    got = found.toArrow() if names else None  # at most languages x buckets rows
-    counts = np.zeros((buckets + 1, len(names)))
-    if names:
-        place = {x: i for i, x in enumerate(names)}
-        col = np.array([place[x] for x in got["lang"].to_pylist()], np.int64)
-        counts[got["bucket"].to_numpy(), col] = got["n"].to_numpy()
-    prior = np.log((counts[-1] + 1) / (counts[-1].sum() + max(1, len(names))))
-    logp = np.log((counts[:-1] + alpha) / (counts[:-1].sum(0) + alpha * buckets))
-    return {"langs": names, "logp": logp.astype(np.float32).copy("F"), "prior": prior, "buckets": buckets}
+    found = written(rows.mapInArrow(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    per = {r.lang: r.n for r in found.where(F.col("bucket") == buckets).collect()}  # a row for each language
+    names, out = sorted(per, key=lambda x: x.encode("utf-8", "surrogatepass")), []
+    for lo in range(0, max(1, len(names)), block):
+        some = names[lo : lo + block]
+        counts = np.zeros((buckets, len(some)))
+        if some:
+            mine = found if len(names) <= block else found.where(F.col("lang").isin(some))
+            got = mine.where(F.col("bucket") < buckets).toArrow()  # at most block x buckets rows
+            place = {x: i for i, x in enumerate(some)}
+            counts[got["bucket"].to_numpy(), [place[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
+        prior = np.log((np.array([per[x] for x in some], float) + 1) / (sum(per.values()) + max(1, len(names))))
+        logp = np.log((counts + alpha) / (counts.sum(0) + alpha * buckets))
+        out.append({"langs": some, "logp": logp.astype(np.float32).copy("F"), "prior": prior, "buckets": buckets})
+    return out
 
 
 def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in LETTER.finditer(text))  # word characters also hold numbers such as fractions
 
 
-def predict_batch(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    langs, ok = ["und"] * len(texts), [i for i, x in enumerate(texts) if x and has_letter(x)]
-    score = np.zeros(len(texts))
-    if ok and model["langs"]:
-        z = np.tile(model["prior"], (len(ok), 1))
-        for f, n in _features([texts[i] for i in ok], model["buckets"]):
+def weigh(block: dict, texts: list[str | None]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """For each text: the best language of the block, its joint log-probability, and the log of the sum of all. A text
+    without a letter, or a block without a language: null and minus infinity."""
+    langs: list[str | None] = [None] * len(texts)
+    top, total = (np.full(len(texts), -np.inf) for _ in range(2))
+    ok = [i for i, x in enumerate(texts) if x and has_letter(x)]
+    if ok and block["langs"]:
+        z = np.tile(block["prior"], (len(ok), 1))
+        for f, n in _features([texts[i] for i in ok], block["buckets"]):
             has = np.flatnonzero(n)
             if len(has):
                 begins = np.concatenate([[0], np.cumsum(n[has])[:-1]])
-                for k, logp in enumerate(model["logp"].T):
+                for k, logp in enumerate(block["logp"].T):
                     z[has, k] += np.add.reduceat(logp[f], begins, dtype=np.float64)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        for i, k, x in zip(ok, best, p[np.arange(len(ok)), best], strict=True):
-            langs[i], score[i] = model["langs"][k], x
-    return langs, score
+        best = z.argmax(1)
+        top[ok] = z[np.arange(len(ok)), best]
+        total[ok] = top[ok] + np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
+        for i, k in zip(ok, best, strict=True):
+            langs[i] = block["langs"][k]
+    return langs, top, total
 
 
-def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: list[dict], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, lang_pred and score (the posterior of the language named) of every row, from its whole text.
 
     A null, empty or letterless text, or a model of no language, gives ``und`` and 0. Repeated rows are judged alike;
@@ -110,16 +117,27 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in text_slices(b.column(1), 1 << 20):
-                langs, score = predict_batch(held.value, b.column(1).slice(lo, hi - lo).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(score)], ["key", "lang_pred", "score"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    shape = f"key {kind}, text string, lang string, top double, total double"
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    for nth, block in enumerate(model):
+        held, last = spark.sparkContext.broadcast(block), nth == len(model) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, first=nth == 0, last=last) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, hi in text_slices(b.column(1), 1 << 20):
+                    part = b.slice(lo, hi - lo)
+                    langs, top, total = weigh(held.value, part.column(1).to_pylist())
+                    if not first:
+                        old, was, sums = part.column(2).to_pylist(), part.column(3).to_numpy(), part.column(4).to_numpy()
+                        langs = [y if b > a or x is None else x for x, y, a, b in zip(old, langs, was, top, strict=True)]
+                        top, total = np.maximum(was, top), np.logaddexp(sums, total)
+                    texts = pa.nulls(len(part), pa.string()) if last else part.column(1).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column(0), texts, pa.array(langs, pa.string()), pa.array(top), pa.array(total)], ["key", "text", "lang", "top", "total"])
+
+        out = out.mapInArrow(frugal(run), shape)
+    some = F.col("lang").isNotNull()
+    return out.select(F.col("key").alias(key), F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(some, F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0))).otherwise(0.0).alias("score"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -133,4 +151,4 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
-__all__ = ["fit", "held_out", "op9_language_id", "predict", "predict_batch"]
+__all__ = ["fit", "held_out", "op9_language_id", "predict", "weigh"]
