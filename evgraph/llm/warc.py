@@ -2,9 +2,10 @@
 
 Writing: each task writes archives of gzip members, one record each, rotated at ``ARCHIVE_BYTES``. Of equal payloads the
 capture of the smallest key is the response; the others revisit it. With its archives a task leaves runs of index
-entries, sorted by (url key, timestamp, page id), with a sparse index at their end. Merging: the key space is cut into
-ranges at sampled entries; a task seeks the k runs to its range and merges them by a loser tree, which gives the
-captures in global order; where there are more than ``FAN_IN`` runs, groups of them are merged to longer runs first.
+entries, sorted by (url key, timestamp, page id), with a sparse index of two levels at their end. Merging: the key space
+is cut into ranges at sampled entries; a task seeks the k runs to its range (of each it reads the upper level and one
+leaf) and merges them by a loser tree, which gives the captures in global order; where there are more than ``FAN_IN``
+runs, groups of them are merged to longer runs first.
 Reading follows the merged index and fetches each record at its place.
 
 Files go through the file system of the shared folder's scheme, under names that only one attempt of a task writes; the
@@ -19,8 +20,10 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,10 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, table, written
+from .common import frugal, shared_dir, ship, table, written
 
-ARCHIVE_BYTES, RUN_ROWS, STRIDE, RANGE_ROWS, FAN_IN = 32 << 20, 50_000, 64, 8_000, 64
-EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+ARCHIVE_BYTES, RUN_ROWS, STRIDE, LEAF, RANGE_ROWS, FAN_IN, SAMPLES = 32 << 20, 50_000, 64, 256, 8_000, 64, 1024
+#: Captures are dated by their keys, within a span of years: keys of any size have a date.
+EPOCH, SPAN = datetime(2024, 1, 1, tzinfo=UTC), 1 << 28
+#: Stands for a null key in index entries: later than every other.
+NO_PAGE = 1 << 63
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -56,13 +62,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, url: str, when: str, page: int, payload: bytes, sha: str, refers: int | None) -> bytes:
-    """One record. A revisit carries no payload; its digest and length are those of the full payload."""
+def record(kind: str, url: str, when: str, page: int | None, payload: bytes, sha: str, refers: int | None) -> bytes:
+    """One record. A revisit carries no payload; its digest and length are those of the full payload. The record of a null
+    page is named by a random id."""
     body = payload if kind == "response" else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: <urn:{f'page:{page}' if page is not None else f'uuid:{uuid.uuid4()}'}>",
         f"WARC-Target-URI: {url}",
         f"WARC-Date: {when}",
         f"WARC-Payload-Digest: sha1:{sha}",
@@ -85,59 +92,61 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 # --- runs of index entries ------------------------------------------------------------------------------------------
-# Entry: (url key, timestamp, page id, archive, offset, length). A run is a file of framed blocks of STRIDE entries,
-# then the first key and place of every block, then the size of that list.
+# Entry: (url key, timestamp, page id, archive, offset, length). A run is a file of framed blocks of STRIDE entries, framed
+# leaves with the first key and place of LEAF blocks each, a framed root with those of the leaves, and the root's place.
+
+
+def _frame(out, value) -> int:
+    """Writes one framed block; returns its length."""
+    raw = zlib.compress(json.dumps(value).encode(), 1)
+    out.write(struct.pack("<I", len(raw)) + raw)
+    return 4 + len(raw)
+
+
+def _framed(f, at: int):
+    f.seek(at)
+    (n,) = struct.unpack("<I", f.read(4))
+    return json.loads(zlib.decompress(f.read(n)))
 
 
 def write_run(fs: pafs.FileSystem, path: str, entries: Iterator[tuple]) -> tuple[int, list[list]]:
-    """Writes sorted entries; returns their number and up to 64 keys spread over the run."""
-    index, n, block, at = [], 0, [], 0
+    """Writes sorted entries; returns their number and up to SAMPLES keys spread over the run."""
+    index, n, at, entries = [], 0, 0, iter(entries)
     with fs.open_output_stream(path) as out:
-
-        def flush() -> None:
-            nonlocal at, block
-            raw = zlib.compress(json.dumps(block).encode(), 1)
-            out.write(struct.pack("<I", len(raw)) + raw)
+        while block := list(islice(entries, STRIDE)):
             index.append((block[0][:3], at))
-            at += 4 + len(raw)
-            block = []
-
-        for e in entries:
-            block.append(e)
-            n += 1
-            if len(block) == STRIDE:
-                flush()
-        if block:
-            flush()
-        raw = json.dumps(index).encode()
-        out.write(raw + struct.pack("<Q", len(raw)))
-    step = max(1, len(index) // 64)
-    return n, [list(k) for k, _ in index[::step]][:64]
+            at += _frame(out, block)
+            n += len(block)
+        root = []
+        for lo in range(0, len(index), LEAF):
+            root.append((index[lo][0], at))
+            at += _frame(out, index[lo : lo + LEAF])
+        _frame(out, root)
+        out.write(struct.pack("<Q", at))
+    step = -(-len(index) // SAMPLES) or 1
+    return n, [list(k) for k, _ in index[::step]]
 
 
 def read_run(fs: pafs.FileSystem, path: str, lo: tuple | None = None, hi: tuple | None = None) -> Iterator[tuple]:
-    """The entries of a run with lo <= key < hi, a block in memory at a time."""
+    """The entries of a run with lo <= key < hi: the root, the leaves and blocks of that range, one of each in memory."""
     with fs.open_input_file(path) as f:
-        size = f.size()
-        f.seek(size - 8)
-        (n,) = struct.unpack("<Q", f.read(8))
-        f.seek(size - 8 - n)
-        index = [(tuple(k), at) for k, at in json.loads(f.read(n))]
-        first = 0
-        if lo is not None:
-            while first + 1 < len(index) and index[first + 1][0] <= lo:
-                first += 1
-        for k, at in index[first:]:
-            if hi is not None and k >= hi:
-                return
-            f.seek(at)
-            (m,) = struct.unpack("<I", f.read(4))
-            for e in json.loads(zlib.decompress(f.read(m))):
-                key = tuple(e[:3])
-                if hi is not None and key >= hi:
-                    return
-                if lo is None or key >= lo:
-                    yield tuple(e)
+        f.seek(f.size() - 8)
+        (end,) = struct.unpack("<Q", f.read(8))
+        for _, leaf in _within(_framed(f, end), lo, hi):
+            for _, at in _within(_framed(f, leaf), lo, hi):
+                for e in _framed(f, at):
+                    key = tuple(e[:3])
+                    if hi is not None and key >= hi:
+                        return
+                    if lo is None or key >= lo:
+                        yield tuple(e)
+
+
+def _within(index: list, lo: tuple | None, hi: tuple | None) -> list:
+    """The parts of an index (first key, place) that may hold keys from lo to hi."""
+    keys = [tuple(k) for k, _ in index]
+    first = max(0, bisect_left(keys, lo) - 1) if lo is not None else 0
+    return index[first : bisect_left(keys, hi) if hi is not None else len(keys)]
 
 
 class LoserTree:
@@ -191,7 +200,7 @@ def _resolved(pages: DataFrame, least: int) -> DataFrame:
     """
     rows = pages.withColumn("sha", F.sha1("payload"))
     same = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sha", "first")
-    first = F.when((F.octet_length("payload") >= least) & (F.col("first") != F.col("page_id")), F.col("first"))
+    first = F.when((F.octet_length("payload") >= least) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     return rows.join(same, "sha", "left").select("page_id", "url", "payload", first.alias("refers"))
 
 
@@ -199,7 +208,8 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Writes a record for every row; returns the table of runs (run, n, samples) and the archives' folder.
 
     The payload is the html in UTF-8 (null: empty). Payloads of fewer than ``least`` bytes never revisit. Null urls are
-    written as empty; rows of a null key are refused by :func:`captures`. Other columns are not read.
+    written as empty. A row of a null key is later than all others: it revisits an equal payload that has a key. Keys may be
+    any long. Other columns are not read.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -231,13 +241,13 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                         out.close()
                     name, at, files = f"part-{tag}-{files}.warc.gz", 0, files + 1
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                when = EPOCH + timedelta(seconds=page)
+                when = EPOCH + timedelta(seconds=(page or 0) % SPAN)
                 stamp = when.strftime("%Y-%m-%dT%H:%M:%SZ")
                 kind = "revisit" if refers is not None else "response"
                 z = zlib.compressobj(3, zlib.DEFLATED, 31)
                 raw = z.compress(record(kind, link.replace("\r", " ").replace("\n", " "), stamp, page, body, digest(body), refers)) + z.flush()
                 out.write(raw)
-                entries.append((url_key(link), when.strftime("%Y%m%d%H%M%S"), page, name, at, len(raw)))
+                entries.append((url_key(link), when.strftime("%Y%m%d%H%M%S"), NO_PAGE if page is None else page, name, at, len(raw)))
                 at += len(raw)
                 if len(entries) >= RUN_ROWS:
                     close_run()
@@ -247,8 +257,8 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         if runs:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs]), pa.array([r[1] for r in runs], pa.int64()), pa.array([json.dumps(r[2]) for r in runs])], ["run", "n", "samples"])
 
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).where("page_id is not null")
-    return written(_resolved(rows, least).mapInArrow(run, "run string, n long, samples string"), "runs"), base
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
+    return written(_resolved(rows, least).mapInArrow(frugal(run), "run string, n long, samples string"), "runs"), base
 
 
 def merged_runs(runs: DataFrame, base: str) -> list:
@@ -271,8 +281,8 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, range, place: rows of one url key
     lie in order of capture; range and place give the place in the whole index. Every digest is checked against the
-    bytes read. Repeated rows are each archived. Rows of a null key have no capture and are left out. An empty table
-    gives no rows.
+    bytes read. Repeated rows are each archived; rows of a null key come back with a null page_id. An empty table gives no
+    rows.
     """
     spark = pages.sparkSession
     runs, base = archive(pages, key, url, html, least)
@@ -282,29 +292,23 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     if not total:
         return spark.createDataFrame([], shape)
     ranges = max(1, -(-total // RANGE_ROWS))
-    keys = sorted(tuple(k) for r in held for k in json.loads(r.samples))  # at most 64 keys a run
+    keys = sorted(tuple(k) for r in held for k in json.loads(r.samples))  # at most SAMPLES keys of each of 2 * FAN_IN runs
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if ranges > 1 else []
     names = sorted(r.run for r in held)
-    bounds = [(i, json.dumps(a), json.dumps(b)) for i, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))]
-    todo = spark.createDataFrame(bounds, "range int, lo string, hi string").repartition(len(bounds), "range")
+    bounds = spark.sparkContext.broadcast([None, *cuts, None])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(base)
         for b in batches:
-            for part, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lo, hi = (tuple(x) if (x := json.loads(v)) is not None else None for v in (lo, hi))
+            for part in b.column(0).to_pylist():
+                lo, hi = bounds.value[part : part + 2]
                 merged = iter(LoserTree([read_run(fs, f"{root}/{n}", lo, hi) for n in names]))
                 place = 0
-                while block := list(_take(merged, 1024)):
+                while block := list(islice(merged, 1024)):
                     yield _fetched(fs, root, block, part, place)
                     place += len(block)
 
-    return todo.mapInArrow(read, shape)
-
-
-def _take(it: Iterator, n: int) -> Iterator:
-    for _, x in zip(range(n), it):
-        yield x
+    return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(frugal(read), shape)  # a range for each task
 
 
 def _fetched(fs: pafs.FileSystem, root: str, block: list[tuple], part: int, place: int) -> pa.RecordBatch:
@@ -324,7 +328,7 @@ def _fetched(fs: pafs.FileSystem, root: str, block: list[tuple], part: int, plac
         if kind == "response" and digest(body) != sha:
             raise ValueError(f"page {page}: the payload read differs from the one written")
         refers = fields.get("WARC-Refers-To")
-        rows[i] = (page, int(fields["X-Payload-Length"]), sha, kind, int(refers[10:-1]) if refers else None, key, stamp, part, place + i)
+        rows[i] = (None if page == NO_PAGE else page, int(fields["X-Payload-Length"]), sha, kind, int(refers[10:-1]) if refers else None, key, stamp, part, place + i)
     if f is not None:
         f.close()
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -338,11 +342,11 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
 d AS (SELECT page_id, html, list_aggregate(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS bits FROM p)
 SELECT page_id, strlen(d.html) AS payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_position(list_transform(range(0, 32), lambda x: lpad(bin(x), 5, '0')), substr(bits, CAST(5 * i + 1 AS INT), 5)) AS INT), 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM d JOIN f ON d.html = f.html
 """
