@@ -1,33 +1,42 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of ``M`` full-dimensional codewords, one of each codebook. Codebooks are trained on a
-bounded sample: residual k-means first, then rounds of beam-search encoding and a least-squares fit of all codewords
-together. Every row is encoded by beam search, and its approximation's norm is stored. A search builds a lookup table
-of query-codeword products, scores codes by table lookup (an inner product needs no more; a distance adds the stored
-norm), and reranks the best exactly on the original vectors.
-
-All rows are indexed. They are dealt into parts of bounded size by key; the queries are dealt into groups of bounded
-size; each pair of a part and a group is one task, which keeps the best of its part. Equal vectors of a part share one
-code and one candidate place, and stand for their smallest keys, of which no answer can need more than k + 1.
+bounded sample: k-means of what the books before leave over, then ``ROUNDS`` of beam-search encoding and of fitting each
+book anew to what all others leave. Every row is encoded once, by beam search, and the index of its code, its
+approximation's norm and its vector is written. A search builds a lookup table of query-codeword products, scores codes by
+table lookup (an inner product needs no more; a distance adds the stored norm), and reranks the best exactly on the
+original vectors.
+
+All rows are indexed. The queries come in blocks of bounded size, each broadcast to a pass over the index, so no row is
+shuffled. A task scores its rows a part of bounded size at a time, reranks the ``RERANK`` best of each part (three in a
+thousand of a full one), and returns its k best of each query. Equal vectors of a part share one code and one candidate
+place, and stand for their smallest keys, of which no answer can need more than k + 1.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import frugal, ship, table, written
 
-M, K, BEAM, SAMPLE, ROUNDS = 16, 256, 3, 8192, 1
-PART_ROWS, GROUP_QUERIES, RERANK = 8192, 16384, 384
+M, K, BEAM, SAMPLE, ROUNDS = 32, 256, 3, 8192, 1
+PART_ROWS, BLOCK_QUERIES, BLOCK_BYTES, RERANK = 32768, 16384, 16 << 20, 100
 
 
 def clean(vectors: DataFrame, key: str, vec: str) -> DataFrame:
-    """Rows that take part, as (id, v array<double>): not null, not zero, every component finite."""
+    """Rows that take part, as (id, v array<double>): not null, not zero, every component finite, and of the length that
+    most such rows have (of lengths equally common, the smallest): one index holds one kind of vector."""
     ok = F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(ok)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(ok)
+    usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    return rows.where(F.size("v") == usual[0].d) if usual else rows
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -69,113 +78,167 @@ def decode(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def train(x: np.ndarray, m: int = M, k: int = K, rounds: int = ROUNDS) -> np.ndarray:
     """Codebooks (m x k x dimensions)."""
-    rng, res, books = np.random.default_rng(11), x.astype(np.float32), []
+    rng, x = np.random.default_rng(11), x.astype(np.float32)
+    res, books = x, []
     for _ in range(m):
         c = _kmeans(res, k, rng)
         res = res - c[((c * c).sum(1) - 2 * res @ c.T).argmin(1)]
         books.append(c)
     books = np.stack(books)
     for _ in range(rounds):
-        codes = encode(books, x, 4)
-        at = codes + np.arange(m) * k
-        gram = np.zeros((m * k, m * k), np.float32)
-        for a in range(m):  # normal equations of the one-hot design, a little ridge for unused words
-            for b in range(m):
-                np.add.at(gram, (at[:, a], at[:, b]), 1.0)
-        rhs = np.zeros((m * k, x.shape[1]), np.float32)
-        for a in range(m):
-            np.add.at(rhs, at[:, a], x.astype(np.float32))
-        old = books.reshape(m * k, -1)
-        books = np.linalg.solve(gram + np.eye(m * k, dtype=np.float32), rhs + old).reshape(books.shape).astype(np.float32)
+        codes = encode(books, x)
+        res = x - decode(books, codes)
+        for j in range(m):  # each word becomes the mean of what the other books leave for it
+            n = np.bincount(codes[:, j], minlength=k)
+            sums = np.zeros((k, x.shape[1]), np.float32)
+            np.add.at(sums, codes[:, j], res)
+            step = sums / np.maximum(n, 1)[:, None]
+            books[j] += step
+            res = res - step[codes[:, j]]
     return books
 
 
-def index(rows: DataFrame, sample: int = SAMPLE, m: int = M, k: int = K) -> dict:
-    """Codebooks for ``rows`` (id, v), fitted on the ``sample`` rows of least hash. Vectors of other lengths than the
-    commonest in the sample are an error: one table holds one kind of vector."""
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    x = [np.array(v, np.float32) for v in got["v"].to_pylist()]
-    if len({len(v) for v in x}) > 1:
-        raise ValueError("vectors of several lengths")
-    return {"books": train(np.stack(x), m, k) if x else None}
+def fit(rows: DataFrame, sample: int = SAMPLE, m: int = M, k: int = K) -> np.ndarray | None:
+    """Codebooks for ``rows`` (id, v), fitted on the ``sample`` rows of least hash; None if there is no row."""
+    got = rows.orderBy(F.xxhash64("id"), F.xxhash64("v")).limit(sample).toArrow()
+    return train(_vectors(got["v"]), m, k) if got.num_rows else None
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def index(rows: DataFrame, books: np.ndarray | None) -> DataFrame:
+    """The index, written: (id, v, code, norm) of every row of ``rows`` (id, v), already :func:`clean`."""
+    shape = "id long, v array<double>, code binary, norm float"
+    if books is None:
+        return rows.sparkSession.createDataFrame([], shape)
+    ship(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                codes = encode(held.value, _vectors(b.column(1)))
+                norm = (decode(held.value, codes).astype(np.float64) ** 2).sum(1).astype(np.float32)
+                ends = pa.py_buffer(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
+                code = pa.Array.from_buffers(pa.binary(), len(codes), [None, ends, pa.py_buffer(np.ascontiguousarray(codes))])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), code, pa.array(norm)], ["id", "v", "code", "norm"])
 
+    return written(rows.select("id", "v").mapInArrow(frugal(run), shape), "index")
 
-def _blocks(batches: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
-    t = pa.concat_tables(batches).combine_chunks()
-    ids, vs = t["id"].to_numpy(), t["v"].combine_chunks()
-    flat = vs.flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
 
+def exact(rows: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores in double precision; a row's does not depend on the rows beside it, so equal vectors score alike."""
+    return (rows * q).sum(1) if metric == "ip" else -((rows - q) ** 2).sum(1)
 
-def search_block(books: np.ndarray, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, rerank: int, metric: str = "ip") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's best of one part: query key, key, exact score. Ties by the smaller key; never the query's own row."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    kinds, first, kind, count = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    kind = kind.reshape(-1)
-    by = np.argsort(kind, kind="stable")  # within a kind by key
+
+def search_block(books: np.ndarray, part: dict[str, np.ndarray], qids: np.ndarray, q: np.ndarray, k: int, rerank: int, metric: str = "ip") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query its best of one part (ids, x, codes, norms): keys and exact scores, the best first. Ties by the smaller
+    key; never the query's own row."""
+    order = np.argsort(part["ids"], kind="stable")
+    ids, x = part["ids"][order], part["x"][order]
+    whole = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.itemsize * x.shape[1]))).reshape(-1)
+    _, first, kind, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    by = np.argsort(kind.reshape(-1), kind="stable")  # within a kind by key
     begins = np.concatenate([[0], np.cumsum(count)])
-    codes = encode(books, kinds)
-    norms = (decode(books, codes).astype(np.float64) ** 2).sum(1)
-    m, out_q, out_v, out_s = len(books), [], [], []
-    top = min(rerank, len(kinds))
-    flat = codes.astype(np.int64) + np.arange(m) * books.shape[1]
+    kinds, codes, norms = x[first], part["codes"][order][first], part["norms"][order][first]
+    m, top = len(books), min(rerank, len(kinds))
+    flat = np.ascontiguousarray((codes.astype(np.int64) + np.arange(m) * books.shape[1]).T)
     words = books.reshape(-1, books.shape[2])
     for lo in range(0, len(q), 64):
-        part = q[lo : lo + 64]
-        lut = part.astype(np.float32) @ words.T
-        score = lut[:, flat[:, 0]]
+        some = q[lo : lo + 64]
+        lut = some.astype(np.float32) @ words.T
+        score = lut[:, flat[0]]
         for j in range(1, m):
-            score += lut[:, flat[:, j]]
+            score += lut[:, flat[j]]
         if metric == "l2":
-            score = 2 * score - norms.astype(np.float32)
-        near = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < len(kinds) else np.tile(np.arange(top), (len(part), 1))
+            score = 2 * score - norms
+        near = np.argpartition(-score, top - 1, axis=1)[:, :top] if top < len(kinds) else np.tile(np.arange(top), (len(some), 1))
         for i, cand in enumerate(near):
-            exact = np.array([float(np.dot(kinds[c], part[i])) for c in cand]) if metric == "ip" else -((kinds[cand] - part[i]) ** 2).sum(1)
-            best = np.argsort(-exact, kind="stable")
-            best = best[: min(len(best), k + 1)] if len(best) <= k + 1 else best[exact[best] >= exact[best[k]]]
+            s = exact(kinds[cand], some[i], metric)
+            best = np.argsort(-s, kind="stable")
+            best = best if len(best) <= k + 1 else best[s[best] >= s[best[k]]]
             got_v = np.concatenate([ids[by[begins[c] : min(begins[c] + k + 1, begins[c + 1])]] for c in cand[best]])
-            got_s = np.repeat(exact[best], np.minimum(count[cand[best]], k + 1))
+            got_s = np.repeat(s[best], np.minimum(count[cand[best]], k + 1))
             ok = got_v != qids[lo + i]
             got_v, got_s = got_v[ok], got_s[ok]
             keep = np.lexsort((got_v, -got_s))[:k]
-            out_q.append(np.full(len(keep), qids[lo + i]))
-            out_v.append(got_v[keep])
-            out_s.append(got_s[keep])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(out_q or [none]), np.concatenate(out_v or [none]), np.concatenate(out_s or [none.astype(float)])
+            yield got_v[keep], got_s[keep]
 
 
-def search(rows: DataFrame, queries: DataFrame, model: dict, k: int = 20, rerank: int = RERANK, metric: str = "ip", total: int | None = None) -> DataFrame:
+def search(held_index: DataFrame, queries: DataFrame, books: np.ndarray | None, k: int = 20, rerank: int = RERANK, metric: str = "ip") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each query (all rows, if fewer).
 
-    ``rows`` and ``queries`` have (id, v), already :func:`clean`; a query's own id is no answer. Score: the exact inner
-    product, or minus the squared distance. Repeated ids are several rows. No rows or queries: no result.
+    ``held_index`` is that of :func:`index`; ``queries`` has (id, v), :func:`clean` and of the index's length. A query's own
+    id is no answer. Score: the exact inner product, or minus the squared distance. Repeated ids are several rows;
+    repeated queries of one id and vector are one. No rows or queries: no result.
     """
-    spark = rows.sparkSession
+    spark = held_index.sparkSession
     ship(spark)
-    kind = "query_id long, vec_id long, score double"
-    if model["books"] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = spark.sparkContext.broadcast(model["books"])
-    n, nq = total if total is not None else rows.count(), queries.count()
-    parts, groups = max(1, -(-n // PART_ROWS)), max(1, -(-nq // GROUP_QUERIES))
-    deal = lambda df, own, n_own, other, n_other: df.select("id", "v", (F.pmod(F.xxhash64("id"), F.lit(n_own))).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-    base = deal(rows, "part", parts, "grp", groups).groupBy("part", "grp")
-    ask = deal(queries, "grp", groups, "part", parts).groupBy("part", "grp")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, c = search_block(held.value, *_blocks([left]), *_blocks([right]), k, rerank, metric)
-        return pa.table({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": c})
-
-    found = base.cogroup(ask).applyInArrow(run, kind)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    shape = "query_id long, rank int, vec_id long, score double"
+    queries = queries.select("id", "v").distinct()
+    if books is None or not (asked := queries.count()):
+        return spark.createDataFrame([], shape)
+    model = spark.sparkContext.broadcast(books)
+    blocks = max(-(-asked // BLOCK_QUERIES), -(-asked * books.shape[2] * 8 // BLOCK_BYTES))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
+    queries = written(queries, "queries") if blocks > 1 else queries
+    paths = []
+    for nth in range(blocks):
+        got = queries.where(F.col("block") == nth).select("id", "v").toArrow()  # about BLOCK_QUERIES rows, BLOCK_BYTES
+        if got.num_rows:
+            paths.append(_block(held_index, got["id"].to_numpy(), _vectors(got["v"]), model, k, rerank, metric))
+            if blocks > 1:
+                paths[-1] = written(paths[-1], "found")
+    return reduce(DataFrame.union, paths)
+
+
+def _block(held_index: DataFrame, ids: np.ndarray, vectors: np.ndarray, model: Broadcast, k: int, rerank: int, metric: str) -> DataFrame:
+    """The answers to one block of queries, by one pass over the index."""
+    ask = held_index.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, (qids, q) = model.value, ask.value
+        vec = [np.zeros(0, np.int64)] * len(qids)
+        score = [np.zeros(0)] * len(qids)
+        for part in _parts(batches):
+            for i, (v, s) in enumerate(search_block(books, part, qids, q, k, rerank, metric)):
+                v, s = np.concatenate([vec[i], v]), np.concatenate([score[i], s])
+                keep = np.lexsort((v, -s))[:k]
+                vec[i], score[i] = v[keep], s[keep]
+        sizes = [len(v) for v in vec]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(qids)), sizes)), pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate(vec)), pa.array(np.concatenate(score))], ["nth", "query_id", "vec_id", "score"])
+
+    found = held_index.mapInArrow(frugal(run), "nth long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("nth").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of a task, about PART_ROWS at a time."""
+    held, n = [], 0
+
+    def part() -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        codes = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return {"ids": t["id"].to_numpy(), "x": _vectors(t["v"]), "codes": codes, "norms": t["norm"].to_numpy()}
+
+    for b in batches:
+        if len(b):
+            held.append(b)
+            n += len(b)
+        if n >= PART_ROWS:
+            yield part()
+            held, n = [], 0
+    if held:
+        yield part()
+
+
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of each vector whose vec_id is divisible by 20, among all others."""
     rows = clean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return search(rows, rows.where(F.col("id") % 20 == 0), index(rows))
+    books = fit(rows)
+    return search(index(rows, books), rows.where(F.col("id") % 20 == 0), books)
