@@ -1,15 +1,17 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched by block-max WAND.
 
-Items are indexed, and every passage of every training text is a query: passages of ``PASSAGE`` words (more where items
-are longer), each beginning half a passage after the last. Scores are divided by the item's score for itself, so one
-threshold fits all items. Items lie in at most ``BLOCKS`` blocks; the sum of a passage's block-maximum weights bounds
-the score of every item of the block, and is taken for all passages of a slice at once. In the blocks that remain, WAND
-walks the postings by pivot and scores only items that can reach the threshold: all of them are retrieved. A pair is
-reported when the text also holds the item's word trigrams, of its question and of its answer.
-
-The index is broadcast. Benchmarks beyond ``SHARD_BYTES`` of text are searched a shard at a time, by the weights and the
-passage length of the whole benchmark, so how items are split decides nothing. Texts are read once a shard and never
-shuffled.
+Items are indexed in pieces of ``PIECE`` words at most, and every passage of every training text is a query: passages of
+``PASSAGE`` words, each beginning half a passage after the last, so that some passage holds a whole piece. Scores are
+divided by the piece's score for itself, so one threshold fits all. Pieces lie in at most ``BLOCKS`` blocks; the sum of a
+passage's block-maximum weights bounds the score of every piece of the block, and is taken for all passages of a slice at
+once. For the passages that remain it is taken again, over their distinct words and over finer blocks (as many as
+``CELLS`` maxima allow). In the fine blocks that remain, WAND walks the postings by pivot and scores only pieces that can
+reach the threshold: all of them are retrieved. A pair is reported when the passage (for an item of several pieces: with as many words on either
+side as the item has besides the piece) also holds the item's word trigrams, of its question and of its answer. So what is
+found of an item depends on its own length only, never on the other items'.
+
+The index is broadcast. Benchmarks beyond ``SHARD_BYTES`` of text are searched a shard at a time, by the weights of the
+whole benchmark, so how items are split decides nothing. Texts are read once a shard and never shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, ship, table, text_slices, utf8, word_hashes, words, written
+from .common import frugal, grams, ship, stage, table, text_slices, utf8, word_hashes, words, written
 
-PASSAGE, BLOCKS, SHARD_BYTES, GRAM = 64, 16, 4 << 20, 3
+PASSAGE, PIECE, BLOCKS, CELLS, SHARD_BYTES, GRAM = 128, 64, 16, 4 << 20, 4 << 20, 3
 K1, B, THRESHOLD, BOTH, EACH = 1.2, 0.75, 0.6, 0.6, 0.3
 TABLE_BITS = 20
 
@@ -47,19 +49,28 @@ def item_tokens(questions: list[str | None], answers: list[str | None] | None) -
     return tokens(pa.array(whole, pa.string()))
 
 
+def pieces(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of all items begin (and the last ends), and each piece's item: an item of more than PIECE words is
+    cut into equal parts, as few as possible."""
+    size = np.diff(begins)
+    parts = -(-size // PIECE)
+    item = np.repeat(np.arange(len(size)), parts)
+    nth = np.arange(len(item)) - (np.cumsum(parts) - parts)[item]
+    return np.append(begins[:-1][item] + size[item] * nth // parts[item], begins[-1]), item
+
+
 class Whole(NamedTuple):
-    """What weights depend on, of a whole benchmark: its items with words, their words in all, the longest's; and in how
-    many items each word of a shard occurs (sorted hashes, counts)."""
+    """What weights depend on, of a whole benchmark: its pieces, their words in all, and in how many pieces each word of a
+    shard occurs (sorted hashes, counts)."""
 
     n: int
     total: int
-    longest: int
     hashes: np.ndarray
     df: np.ndarray
 
 
 class Index:
-    """Postings of one shard's items, their block maxima, and what verification needs of each item. ``whole``: of the
+    """Postings of one shard's pieces, their block maxima, and what verification needs of each item. ``whole``: of the
     benchmark that the items are a shard of, if they aren't all of it."""
 
     def __init__(self, ids: list[int | None], questions: list[str | None], answers: list[str | None] | None, whole: Whole | None = None):
@@ -69,39 +80,45 @@ class Index:
             split = np.diff(tokens(pa.array(questions, pa.string()))[1])
         else:  # a text of one piece: its first half asks, its second answers
             split = (size + 1) // 2
-        order = np.lexsort((np.arange(len(ids)), size))  # alike in length, so a block's maxima are tight
-        order = order[size[order] > 0]
-        self.ids = [ids[i] for i in order]
+        self.ids, self.size = ids, size
+        cut, item = pieces(begins)
+        length = np.diff(cut)
+        order = np.lexsort((np.arange(len(length)), length))  # alike in length, so a block's maxima are tight
+        self.item = item[order]
         n = len(order)
-        self.longest = whole.longest if whole else int(size.max()) if len(size) else 0
+        self.rest = size[self.item] - length[order]  # words of the item besides the piece
         self.vocabulary = np.unique(h)
-        docs = [np.searchsorted(self.vocabulary, h[begins[i] : begins[i + 1]]) for i in order]
+        docs = [np.searchsorted(self.vocabulary, h[cut[i] : cut[i + 1]]) for i in order]
         if whole:
             df = whole.df[np.searchsorted(whole.hashes, self.vocabulary)].astype(float)
         else:
             df = np.zeros(len(self.vocabulary))
             for d in docs:
                 df[np.unique(d)] += 1
-        items, total = (whole.n, whole.total) if whole else (n, int(size.sum()))
-        idf = np.log(1 + (items - df + 0.5) / (df + 0.5))
-        mean = total / items if items else 1.0
-        self.block = -(-n // BLOCKS) or 1
+        many, total = (whole.n, whole.total) if whole else (n, int(size.sum()))
+        idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
+        mean = total / many if many else 1.0
+        most = max(BLOCKS, CELLS // (len(self.vocabulary) + 1))
+        self.block = -(-n // most) or 1
+        coarse = -(-n // BLOCKS) or 1
         self.maxima = np.zeros((len(self.vocabulary) + 1, BLOCKS), np.float32)
+        self.fine = np.zeros((len(self.vocabulary) + 1, -(-n // self.block) or 1), np.float32)
         post: dict[int, list] = {}
         for k, d in enumerate(docs):
             t, tf = np.unique(d, return_counts=True)
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
             w /= w.sum()
-            np.maximum.at(self.maxima, (t, k // self.block), w.astype(np.float32))
+            for table, size in ((self.maxima, coarse), (self.fine, self.block)):
+                table[t, k // size] = np.maximum(table[t, k // size], w)
             for a, b in zip(t.tolist(), w.tolist(), strict=True):
                 post.setdefault(a, []).append((k, b))
         self.postings = {t: (np.array([k for k, _ in p]), [w for _, w in p]) for t, p in post.items()}
         self.question, self.answer = [], []
-        for i in order:
+        for i in range(len(ids)):
             x = h[begins[i] : begins[i + 1]]
             for part, out in ((x[: split[i]], self.question), (x[split[i] :], self.answer)):
                 m = min(GRAM, len(part))
-                out.append(np.unique(grams(part, np.array([0, len(part)]), m)[0]) if m else np.zeros(0, np.uint64))
+                out.append((m, np.unique(grams(part, np.array([0, len(part)]), m)[0]) if m else np.zeros(0, np.uint64)))
         self.table = np.full(1 << TABLE_BITS, -1, np.int32)
         self.table[(self.vocabulary >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = np.arange(len(self.vocabulary))
         crowded = self.table[(self.vocabulary >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] != np.arange(len(self.vocabulary))
@@ -124,13 +141,13 @@ class Index:
         return out
 
     def wand(self, terms: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items of the blocks whose score for the distinct ``terms`` reaches the threshold."""
+        """All pieces of the fine blocks whose score for the distinct ``terms`` reaches the threshold."""
         out = []
         for b in blocks:
             end = (b + 1) * self.block
             lists = []
             for t in terms:
-                if (top := float(self.maxima[t, b])) > 0:
+                if (top := float(self.fine[t, b])) > 0:
                     items, weights = self.postings[t]
                     lists.append([int(np.searchsorted(items, b * self.block)), items, weights, top])
             while True:
@@ -162,49 +179,55 @@ class Index:
     def hits(self, arr: pa.Array, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
         """(row, item id, best score, question and answer overlap) of every text of ``arr`` that holds an item."""
         h, begins = tokens(arr)
-        if not len(h) or not self.ids:
+        if not len(h) or not len(self.item):
             return []
-        half = max(PASSAGE, self.longest) // 2
-        pieces = -(-np.diff(begins) // half)
-        row = np.repeat(np.arange(len(pieces)), pieces)
-        nth = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+        half = PASSAGE // 2
+        parts = -(-np.diff(begins) // half)
+        row = np.repeat(np.arange(len(parts)), parts)
+        nth = np.arange(len(row)) - (np.cumsum(parts) - parts)[row]
         starts = begins[:-1][row] + nth * half
         t = self.terms(h)
         sums = np.add.reduceat(self.maxima[t], starts, axis=0)
         follows = np.append(row[1:] == row[:-1], False)
         bound = sums.copy()
         bound[:-1][follows[:-1]] += sums[1:][follows[:-1]]
-        ends = np.minimum(starts + 2 * half, begins[1:][row])
+        ends = np.minimum(starts + PASSAGE, begins[1:][row])
         passage = np.flatnonzero((bound.max(1) >= threshold - 1e-4) & (follows | (nth == 0)))
-        best: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
         none = len(self.vocabulary)
         for k in passage.tolist():
             distinct = np.unique(t[starts[k] : ends[k]])
             distinct = distinct[distinct < none]
-            exact = self.maxima[distinct].sum(0)  # each word once: a closer bound
+            exact = self.fine[distinct].sum(0)
             blocks = np.flatnonzero(exact >= threshold - 1e-4).tolist()
-            for item, score in self.wand(distinct.tolist(), blocks, threshold) if blocks else ():
-                key = (int(row[k]), item)
-                best[key] = max(best.get(key, 0.0), score)
-        out, seen = [], {}
-        for (r, item), score in sorted(best.items()):
-            if r not in seen:
-                x = h[begins[r] : begins[r + 1]]
-                seen = {r: [np.unique(grams(x, np.array([0, len(x)]), m)[0]) for m in range(1, GRAM + 1)]}
-            share = []
-            for part, n in ((self.question[item], self.question), (self.answer[item], self.answer)):
-                share.append(max(np.isin(part, g).sum() for g in seen[r]) / len(part) if len(part) else -1.0)
-            sizes = len(self.question[item]), len(self.answer[item])
-            both = sum(max(0.0, s) * n for s, n in zip(share, sizes, strict=True)) / max(1, sum(sizes))
-            if both >= BOTH and all(s < 0 or s >= EACH for s in share):
-                out.append((r, self.ids[item], score, share[0], max(0.0, share[1])))
-        return out
+            seen: dict[int, list[np.ndarray]] = {}
+            for piece, score in self.wand(distinct.tolist(), blocks, threshold) if blocks else ():
+                item, more = int(self.item[piece]), int(self.rest[piece])
+                if more not in seen:
+                    x = h[max(begins[row[k]], starts[k] - more) : min(begins[row[k] + 1], ends[k] + more)]
+                    seen[more] = [np.sort(grams(x, np.array([0, len(x)]), m)[0]) for m in range(1, GRAM + 1)]
+                held = self.verified(item, seen[more])
+                if held is not None:
+                    key = (int(row[k]), item)
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *held))
+        return [(r, self.ids[item], *found) for (r, item), found in sorted(best.items())]
+
+    def verified(self, item: int, seen: list[np.ndarray]) -> tuple[float, float] | None:
+        """The shares of the item's question and answer that a passage with the n-grams ``seen`` (of 1 to GRAM words) holds,
+        if it holds enough of both."""
+        share, sizes = [], []
+        for m, part in (self.question[item], self.answer[item]):
+            sizes.append(len(part))
+            share.append(np.isin(part, seen[m - 1]).sum() / len(part) if m else -1.0)
+        both = sum(max(0.0, x) * n for x, n in zip(share, sizes, strict=True)) / max(1, sum(sizes))
+        return (share[0], max(0.0, share[1])) if both >= BOTH and all(x < 0 or x >= EACH for x in share) else None
 
 
 def indexes(items: DataFrame, key: str = "item_id", question: str = "text", answer: str | None = None) -> Iterator[Index]:
-    """An index for each shard of the benchmark; shards hold about SHARD_BYTES of text. Items of a null key are items."""
+    """An index for each shard of the benchmark; shards hold about SHARD_BYTES of text. Items of a null key are items; items
+    that are alike in key and texts are one."""
     cols = [F.col(key).cast("long").alias("id"), F.col(question).cast("string").alias("q"), (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("a")]
-    rows = items.select(*cols)
+    rows = items.select(*cols).distinct()
     size = rows.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)) + 64)).first()[0] or 0
     shards = -(-size // SHARD_BYTES)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "q", "a"), F.lit(shards)) if shards else F.lit(0).cast("long"))
@@ -220,29 +243,30 @@ def indexes(items: DataFrame, key: str = "item_id", question: str = "text", answ
         yield Index(got["id"].to_pylist(), got["q"].to_pylist(), got["a"].to_pylist() if answer else None, whole)
 
 
-def _whole(rows: DataFrame, answers: bool) -> tuple[tuple[int, int, int], DataFrame]:
-    """Of all items (q, a, shard): how many have words, the words in all, the longest's; and (shard, h, df), the items that
-    each word of a shard occurs in."""
+def _whole(rows: DataFrame, answers: bool) -> tuple[tuple[int, int], DataFrame]:
+    """Of all items (q, a, shard): how many pieces there are, and the words in all; and (shard, h, df), the pieces that each
+    word of a shard occurs in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, begins = item_tokens(b.column(0).to_pylist(), b.column(1).to_pylist() if answers else None)
-            each = [np.unique(h[i:j]) for i, j in zip(begins, begins[1:], strict=False)]
+            cut, item = pieces(begins)
+            each = [np.unique(h[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
             flat = np.concatenate(each) if each else h
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(np.diff(begins).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))], ["shard", "size", "hs"])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(item)), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["shard", "size", "hs"])
 
     found = written(rows.select("q", "a", "shard").mapInArrow(run, "shard long, size long, hs array<bigint>"), "items")
-    n, total, longest = found.where("size > 0").agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    n, total = found.agg(F.count(F.lit(1)), F.sum("size")).first()
     df = found.select("shard", F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards"))
-    return (n, total or 0, longest or 0), written(df.select(F.explode("shards").alias("shard"), "h", "df"), "words")
+    return (n, total or 0), written(df.select(F.explode("shards").alias("shard"), "h", "df"), "words")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **item) -> DataFrame:
     """``key``, item_id, score, question_overlap, answer_overlap: a row for each item that a row of ``docs`` holds.
 
-    Whole texts are searched. Null and empty texts and items hold, and are in, nothing. Repeated rows and repeated items
-    are each reported, items of a null key with a null item_id. Other columns are not read.
+    Whole texts are searched. Null and empty texts and items hold, and are in, nothing. Repeated rows are each reported;
+    items that are alike in key and texts are one, those of a null key have a null item_id. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -259,7 +283,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         rows, ids, *more = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([lo + r for r in rows])), pa.array(ids, pa.int64()), *(pa.array(m, pa.float64()) for m in more)], ["key", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, shape)
+        found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(frugal(run), shape)
         out = out.union(found)
     return out.withColumnRenamed("key", key)
 
@@ -269,8 +293,13 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no item of benchmark, with their columns."""
+    """Pipeline stage: the documents that hold no item of benchmark, with their columns.
+
+    Each row is judged by its whole text, whatever its doc_id: null and empty texts hold nothing and stay, as do all rows
+    where the benchmark is empty. No rows: none.
+    """
     ship(spark)
     out = docs
     for one in indexes(table(spark, sf_dir, "benchmark")):
@@ -284,5 +313,5 @@ def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     keep[[r for r, *_ in held.value.hits(b.column(at).slice(lo, hi - lo))]] = False
                     yield b.slice(lo, hi - lo).filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(frugal(run), out.schema)
     return out
