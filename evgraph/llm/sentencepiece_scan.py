@@ -4,8 +4,14 @@ A text is a chain of positions; a piece of n characters is an arc of that length
 path is the encoding (the unigram rule; characters that no piece holds are written as bytes). A giant text is split into
 chunks of ``CHUNK`` characters. A state at a chunk's border is how far before it the last cut lies, so a chunk is a
 transfer matrix over max and plus: the best score from every state at its start to every state at its end. All chunks'
-matrices are made side by side, a character a step; they are combined associatively, by doubling, into each border's
-best score; the borders' states are chosen from the end backwards, and every chunk is then traced back by itself.
+matrices are made side by side, a character a step; they are combined associatively, by doubling, into the best scores of
+every border's states. From those each chunk finds by itself, for every cut, the last piece of the best path to it, and by
+that, for every state at its end, the state at its start: maps that are composed from the end backwards. Then every chunk
+is traced back by itself.
+
+Of several best paths one rule picks one, wherever the text is cut: every cut's last piece is the shortest that allows the
+best score. The best scores of a border's states are those that a search from left to right has there, so chunks of any
+size, and texts of any length, have the same ids.
 
 No piece of the vocabulary reaches over a character followed by a space, so ordinary texts are cut there without loss, and
 each distinct short segment is searched once by a worker (a bounded cache); longer segments, of any length, go to the
@@ -29,10 +35,11 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import M1, ship, table, text_slices, written
+from .common import M1, fresh, frugal, numbered, ship, stage, table, text_slices, written
 
-CHUNK, GIANT, SHORT, CACHE = 512, 1 << 16, 128, 500_000
+CHUNK, STRIDES, GIANT, SHORT, CACHE, LEARN = 512, 4, 1 << 16, 128, 300_000, 1 << 17
 SLOT_BITS = 20
 SPACE = "▁"
 NEVER = -1e18
@@ -135,25 +142,18 @@ def model(path: str) -> Model:
 # State s at a border: the last cut lies s characters before it, 0 <= s < longest. Matrices: [from state, to state].
 
 
-def transfer(m: Model, codes: np.ndarray, before: int) -> np.ndarray:
-    """The matrix of the chunk ``codes[before:]``; the ``before`` characters (up to longest - 1) are those left of it."""
-    return transfers(m, codes, np.array([before]), np.array([len(codes) - before]))[0]
-
-
-def transfers(m: Model, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Matrices of chunks of one text, made side by side: the step over one character is the same for all."""
+def transfers(m: Model, score: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Matrices of chunks of one text with the arcs ``score``, made side by side: the step over one character is the same
+    for all."""
     w, c = m.longest, len(begins)
-    score, _ = m.arcs(codes)
     # last[c, s, k]: best score from start state s to a cut k characters back
     last = np.full((c, w, w), NEVER)
     last[:, np.arange(w), np.arange(w)] = 0.0
     for step in range(1, int(sizes.max()) + 1):
         live = np.flatnonzero(sizes >= step)
-        at = begins[live] + step
-        arc = score[at]  # [chunk, length - 1]
+        arc = score[begins[live] + step]  # [chunk, length - 1]
         best = (last[live] + arc[:, None, :]).max(2)
-        nxt = np.concatenate([best[:, :, None], last[live][:, :, :-1]], 2)
-        last[live] = nxt
+        last[live] = np.concatenate([best[:, :, None], last[live][:, :, :-1]], 2)
     return last
 
 
@@ -174,39 +174,39 @@ def prefixes(mats: np.ndarray) -> np.ndarray:
     return out
 
 
-def border_states(mats: np.ndarray) -> np.ndarray:
-    """The state at every border (n + 1, from the text's start to its end) on the best path."""
-    pre, state = prefixes(mats)[:, 0, :], 0
-    out = np.zeros(len(mats) + 1, np.int64)
-    for k in range(len(mats) - 1, -1, -1):
-        out[k + 1] = state
-        left = pre[k - 1] if k else np.where(np.arange(len(mats[0])) == 0, 0.0, NEVER)
-        state = int((left + mats[k][:, state]).argmax())
-    return out
+def forward(m: Model, score: np.ndarray, enter: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The length of the last piece of the best path to every cut of each chunk (chunks x (most sizes + 1)), the shortest of
+    equals; ``enter``: the best scores of the states at each chunk's start."""
+    last, took = enter.copy(), np.zeros((len(begins), int(sizes.max()) + 1), np.int8)
+    for step in range(1, took.shape[1]):
+        live = np.flatnonzero(sizes >= step)
+        cand = last[live] + score[begins[live] + step]
+        k = cand.argmax(1)
+        took[live, step] = k + 1
+        last[live, 1:] = last[live, :-1]
+        last[live, 0] = cand[np.arange(len(live)), k]
+    return took
 
 
-def backtrace(m: Model, codes: np.ndarray, before: int, enter: int, leave: int) -> list[int]:
-    """The pieces of one chunk whose ends lie in it, given the states at both borders."""
-    score, ids = m.arcs(codes)
-    n, start = len(codes), before - enter
-    best, took = np.full(n + 1, NEVER), np.zeros(n + 1, np.int64)
-    best[start] = 0.0
-    w = m.longest
-    for i in range(before + 1, n + 1):
-        lo = max(start, i - w)
-        cand = best[lo:i][::-1] + score[i, : i - lo]
-        k = int(cand.argmax())
-        best[i], took[i] = cand[k], k + 1
+def left_states(took: np.ndarray, sizes: np.ndarray, w: int) -> np.ndarray:
+    """For each chunk and each state at its end, the state at its start (chunks x w)."""
+    at = sizes[:, None] - np.arange(w)
+    while (inside := at > 0).any():
+        at = np.where(inside, at - took[np.arange(len(at))[:, None], np.maximum(at, 0)], at)
+    return -at
+
+
+def trace(m: Model, ids: np.ndarray, codes: np.ndarray, begin: int, took: np.ndarray, end: int, stop: int = 0) -> list[int]:
+    """The ids of the pieces of a chunk that end at the cuts from ``end`` down to, without, ``stop``."""
     out: list[int] = []
-    i = n - leave
-    while i > max(start, before):
-        k = int(took[i])
-        p = int(ids[i, k - 1])
+    while end > stop:
+        k = int(took[end])
+        p = int(ids[begin + end, k - 1])
         if p >= 0:
             out.append(p)
         else:
-            out.extend(m.byte[b] for b in reversed(chr(int(codes[i - 1])).encode("utf-8", "surrogatepass")))
-        i -= k
+            out.extend(m.byte[b] for b in reversed(chr(int(codes[begin + end - 1])).encode("utf-8", "surrogatepass")))
+        end -= k
     return out[::-1]
 
 
@@ -219,18 +219,30 @@ def chunks(n: int, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.minimum(size, n - begins)
 
 
+def entered(mats: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    """The best scores of the states at every chunk's start, given those at the first one's."""
+    pre = prefixes(mats[:-1]) if len(mats) > 1 else mats[:0]
+    return np.concatenate([enter[None], (enter[None, :, None] + pre).max(1)])
+
+
+def start(w: int) -> np.ndarray:
+    """The scores of the states at a text's start: it is a cut."""
+    return np.where(np.arange(w) == 0, 0.0, NEVER)
+
+
 def scan(m: Model, text: str, size: int = CHUNK) -> list[int]:
     """Ids of ``text`` (as it is: no space is put before it), by the scan over its chunks."""
     codes = codes_of(text)
     if not len(codes):
         return []
     begins, sizes = chunks(len(codes), size)
-    states = border_states(transfers(m, codes, begins, sizes))
-    out: list[int] = []
-    for k, (lo, n) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
-        before = min(lo, m.longest - 1)
-        out += backtrace(m, codes[lo - before : lo + n], before, int(states[k]), int(states[k + 1]))
-    return out
+    score, ids = m.arcs(codes)
+    took = forward(m, score, entered(transfers(m, score, begins, sizes), start(m.longest)), begins, sizes)
+    left, state, out = left_states(took, sizes, m.longest), 0, []
+    for k in range(len(begins) - 1, -1, -1):
+        out.append(trace(m, ids, codes, int(begins[k]), took[k], int(sizes[k]) - state))
+        state = int(left[k, state])
+    return list(chain.from_iterable(reversed(out)))
 
 
 def short(m: Model, text: str) -> tuple[int, ...]:
@@ -328,7 +340,13 @@ class Cache(dict):
         if len(self) + len(new) > CACHE:
             self.clear()
             new = [p for p in parts if len(p) <= SHORT]
-        self.update(many(self.model, new))
+        new.sort(key=len)
+        ends = np.cumsum([len(p) + 1 for p in new])
+        lo = 0
+        while lo < len(new):  # the arcs of all characters at once are many times the text
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LEARN, "right")))
+            self.update(many(self.model, new[lo:hi]))
+            lo = hi
 
 
 def encode_batch(m: Model, texts: list[str | None]) -> Iterator[list[int]]:
@@ -352,17 +370,19 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """``key``, ``keep``, ids (array<int>), n_tokens, decodes (whether decoding gives the text again) of every row.
 
     Null and empty texts have no ids. Repeated rows are each encoded. Texts with more than ``giant`` characters are
-    split over tasks; a null key is allowed, as rows are told apart by a number of their own.
+    split over tasks, which does not change their ids; a null key is allowed, as rows are told apart by a number of their
+    own. A column of ``keep`` that is named as one of the three results gives way to it.
     """
     spark = docs.sparkSession
     ship(spark)
     path = path or vocabulary_path()
-    cols = [c for c in dict.fromkeys((key, *keep)) if c != text]
+    results = ("ids", "n_tokens", "decodes")
+    cols = [c for c in dict.fromkeys((key, *keep)) if c != text and c.lower() not in results]
     also = text in keep
-    source = docs.select(F.col(text).alias("_text_"), *cols)
-    long = F.coalesce(F.length("_text_") > giant, F.lit(False))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    kinds = f"{shape}, ids array<int>, n_tokens int, decodes boolean"
+    whole, number = fresh([*docs.columns, *results], "_text_", "_row_")
+    source = docs.select(F.col(text).alias(whole), *cols)
+    long = F.coalesce(F.length(whole) > giant, F.lit(False))
+    kinds = StructType([*source.schema, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("decodes", BooleanType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -378,81 +398,99 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                 ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(np.diff(sizes).astype(np.int32)), pa.array(same)], names=[*part.schema.names, "ids", "n_tokens", "decodes"])
 
-    plain = source.where(~long).mapInArrow(rows, kinds)
-    big = source.where(long).withColumn("_row_", F.xxhash64("_text_", *cols))
-    found = plain
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in batches:
+            same = [decode(m, ids) == x for x, ids in zip(b.column(0).to_pylist(), b.column(b.schema.get_field_index("ids")).to_pylist(), strict=True)]
+            yield b.append_column("decodes", pa.array(same, pa.bool_()))
+
+    found = source.where(~long).mapInArrow(frugal(rows), kinds)
+    big = source.where(long)
     if not big.isEmpty():
-        found = plain.unionByName(_giant(big, path, shape).select(*plain.columns))
-    return found.withColumnRenamed("_text_", text) if also else found.drop("_text_")
+        big = numbered(big, number)
+        ids = _giant(big.select(F.col(number).alias("row"), F.col(whole).alias("text")), path)
+        out = big.join(ids.withColumnRenamed("row", number), number).select(*source.columns, "ids", F.size("ids").alias("n_tokens"))
+        found = found.union(out.mapInArrow(frugal(check), kinds))
+    return found.withColumnRenamed(whole, text) if also else found.drop(whole)
 
 
-def _giant(big: DataFrame, path: str, shape: str) -> DataFrame:
-    """The same for giant texts: chunks as rows, matrices combined by text, chunks traced back each by itself."""
+def _giant(big: DataFrame, path: str) -> DataFrame:
+    """(row, ids) of giant texts (row, text): strides of chunks as rows, their matrices combined by text, each stride traced
+    back by itself from every state at its end, and put together by text."""
     stride = 64 * CHUNK
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model(path).longest
+        kind = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("before", pa.int32()), ("part", pa.string())])
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = " " + x
                 for n, lo in enumerate(range(0, len(x), stride)):
                     before = min(lo, w - 1)
-                    yield pa.RecordBatch.from_pylist([{"row": i, "n": n, "before": before, "part": x[lo - before : lo + stride]}], schema=pa.schema([("row", pa.int64()), ("n", pa.int32()), ("before", pa.int32()), ("part", pa.string())]))
+                    yield pa.RecordBatch.from_pylist([{"row": i, "n": n, "before": before, "part": x[lo - before : lo + stride]}], schema=kind)
+
+    def arcs(m: Model, before: int, part: str):
+        codes = codes_of(part)
+        begins, sizes = chunks(len(codes) - before)
+        return codes, begins + before, sizes, *m.arcs(codes)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
             for i, n, before, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                codes = codes_of(x)
-                begins, sizes = chunks(len(codes) - before)
-                mats = transfers(m, codes, begins + before, sizes)
-                whole = prefixes(mats)[-1]
+                _, begins, sizes, score, _ = arcs(m, before, x)
+                whole = prefixes(transfers(m, score, begins, sizes))[-1]
                 yield pa.RecordBatch.from_pylist([{"row": i, "n": n, "mat": whole.tobytes()}], schema=pa.schema([("row", pa.int64()), ("n", pa.int32()), ("mat", pa.binary())]))
 
-    def states(group: pa.Table) -> pa.Table:
+    def borders(group: pa.Table) -> pa.Table:
         w = model(path).longest
         order = np.argsort(group["n"].to_numpy())
         mats = np.stack([np.frombuffer(group["mat"][int(k)].as_py()).reshape(w, w) for k in order])
-        got = border_states(mats)
-        return pa.table({"row": pa.array([group["row"][0].as_py()] * len(mats), pa.int64()), "n": pa.array(np.arange(len(mats), dtype=np.int32)), "enter": pa.array(got[:-1].astype(np.int32)), "leave": pa.array(got[1:].astype(np.int32))})
+        enter = entered(mats, start(w))
+        return pa.table({"row": pa.array([group["row"][0].as_py()] * len(mats), pa.int64()), "n": pa.array(np.arange(len(mats), dtype=np.int32)), "enter": pa.array([x.tobytes() for x in enter], pa.binary())})
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
+        kind = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("head", pa.list_(pa.int32())), ("tails", pa.list_(pa.list_(pa.int32()))), ("left", pa.list_(pa.int32()))])
         for b in batches:
-            for i, n, before, x, enter, leave in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                codes = codes_of(x)
-                begins, sizes = chunks(len(codes) - before)
-                mats = transfers(m, codes, begins + before, sizes)
-                first = np.full(m.longest, NEVER)
-                first[enter] = 0.0
-                fixed, state = np.zeros(len(mats) + 1, np.int64), leave
-                pre = [first]
-                for mat in mats:
-                    pre.append((pre[-1][:, None] + mat).max(0))
-                for k in range(len(mats) - 1, -1, -1):
-                    fixed[k + 1] = state
-                    state = int((pre[k] + mats[k][:, state]).argmax())
-                fixed[0] = state
-                ids: list[int] = []
-                for k, (lo, size) in enumerate(zip((begins + before).tolist(), sizes.tolist(), strict=True)):
-                    left = min(lo, m.longest - 1)
-                    ids += backtrace(m, codes[lo - left : lo + size], left, int(fixed[k]), int(fixed[k + 1]))
-                yield pa.RecordBatch.from_pylist([{"row": i, "n": n, "part_ids": ids}], schema=pa.schema([("row", pa.int64()), ("n", pa.int32()), ("part_ids", pa.list_(pa.int32()))]))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        for b in batches:
-            same = [decode(m, ids) == x for x, ids in zip(b.column(0).to_pylist(), b.column(b.schema.get_field_index("ids")).to_pylist(), strict=True)]
-            yield b.append_column("decodes", pa.array(same, pa.bool_()))
-
-    distinct = big.select("_row_", "_text_").dropDuplicates(["_row_"])
-    parts = written(distinct.mapInArrow(split, "row long, n int, before int, part string").repartition("row", "n"), "chunks")
-    mats = written(parts.mapInArrow(matrices, "row long, n int, mat binary"), "matrices")
-    ends = mats.groupBy("row").applyInArrow(states, "row long, n int, enter int, leave int")
-    traced = parts.join(ends, ["row", "n"]).select("row", "n", "before", "part", "enter", "leave").mapInArrow(trace, "row long, n int, part_ids array<int>")
-    ids = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "part_ids"))), lambda x: x["part_ids"])).alias("ids"))
-    out = big.join(ids, big["_row_"] == ids["row"]).drop("_row_", "row").withColumn("n_tokens", F.size("ids"))
-    return out.mapInArrow(check, f"{shape}, ids array<int>, n_tokens int, decodes boolean")
+            for i, n, before, x, enter in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                codes, begins, sizes, score, ids = arcs(m, before, x)
+                took = forward(m, score, entered(transfers(m, score, begins, sizes), np.frombuffer(enter)), begins, sizes)
+                # the chunks' lengths of last pieces one after the other: place j is for the cut after j characters
+                flat = np.concatenate([[0], *(took[k, 1 : size + 1] for k, size in enumerate(sizes))]).astype(np.int64)
+                most = len(flat) - 1
+                ends = [most - s for s in range(m.longest)]
+                met = list(ends)  # walk all paths back until they meet
+                while (far := max(met)) > 0 and min(met) != far:
+                    met = [j - int(flat[j]) if j == far else j for j in met]
+                meet = max(0, max(met))
+                tails = [trace(m, ids, codes, before, flat, e, meet) for e in ends]
+                head, left, at = trace(m, ids, codes, before, flat, meet), [], meet
+                while at > 0:
+                    at -= int(flat[at])
+                if meet:
+                    left = [-at] * m.longest
+                else:
+                    left = [-j for j in met]
+                yield pa.RecordBatch.from_pylist([{"row": i, "n": n, "head": head, "tails": tails, "left": left}], schema=kind)
+
+    def joined(group: pa.Table) -> pa.Table:
+        state, out = 0, []
+        for r in sorted(group.to_pylist(), key=lambda r: -r["n"]):
+            out.append(r["head"] + r["tails"][state])
+            state = r["left"][state]
+        ids = list(chain.from_iterable(reversed(out)))
+        return pa.table({"row": pa.array([group["row"][0].as_py()], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int32()))})
+
+    cut = big.mapInArrow(split, "row long, n int, before int, part string")
+    parts = written(cut, "chunks")
+    tasks = max(1, parts.count() // STRIDES)  # small files are read by few tasks: deal the strides anew
+    parts = parts.repartition(tasks)
+    mats = written(parts.mapInArrow(frugal(matrices), "row long, n int, mat binary"), "matrices")
+    ends = mats.groupBy("row").applyInArrow(borders, "row long, n int, enter binary")
+    told = parts.join(ends, ["row", "n"]).select("row", "n", "before", "part", "enter").repartition(tasks)
+    found = written(told.mapInArrow(frugal(traced), "row long, n int, head array<int>, tails array<array<int>>, left array<int>"), "traced")
+    return found.groupBy("row").applyInArrow(joined, "row long, ids array<int>")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -460,6 +498,11 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids", "decodes")
 
 
+@stage
 def sentencepiece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document with its token ids."""
+    """Pipeline stage, the last: every document with its token ids (n_tokens, ids; columns of those names give way).
+
+    Rows in are rows out, whatever their doc_id; null and empty texts have no ids; very long texts are split over tasks
+    and have the ids that they would have in one. No rows: none.
+    """
     return encoded(docs, keep=tuple(docs.columns)).select(*docs.columns, "n_tokens", "ids")
