@@ -3,13 +3,14 @@
 A window is ``WINDOW`` consecutive words of one text. Its hash is a polynomial in the words' hashes, taken for all windows
 of a slice from prefix sums (the rolling hash, vectorised); a second polynomial deals the windows into buckets of about
 ``BUCKET_WINDOWS``, whose number grows with the corpus. A slice of texts sends each of its window hashes once, the
-first occurrence; later ones are known repeats already, so a window that a third of all texts hold reaches its bucket
-once a slice. A bucket sorts its hashes and marks all occurrences but the first (smallest key, then earliest start).
+first occurrence; later ones are known repeats already. A task also keeps (a bounded number of) the windows that it has
+met in a slice twice or in two slices running, each with an occurrence that it has sent, and sends no later one: a window
+that a third of all texts hold reaches its bucket a few times a task. A bucket sorts its hashes and marks all occurrences but the first (smallest key, then earliest start).
 The marks meet their texts by a join on the key and the row; a bounded bitmap of the marked rows lets all other texts be
 finished where they are read, so only texts that lose words are shuffled. Marked windows merge into maximal removal intervals.
 
-Two windows count as equal if 56 bits of one hash and the bucket by the other agree. With n windows that is wrong for
-an expected n * n / 2 ** 57 / buckets pairs: about 0.002 in a gigabyte of input, and in proportion to it, as the buckets
+Two windows count as equal if 64 bits of one hash and the bucket by the other agree. With n windows that is wrong for
+an expected n * n / 2 ** 65 / buckets pairs: about 0.00001 in a gigabyte of input, and in proportion to it, as the buckets
 grow with n.
 """
 
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import mix, ship, table, text_slices, utf8, word_hashes, words, written
+from .common import frugal, mix, ship, stage, table, text_slices, unique, utf8, word_hashes, words, written
 from .near_dup import _bitmap
 
-WINDOW, BUCKET_WINDOWS, SLICE = 20, 1 << 20, 4 << 20
+WINDOW, BUCKET_WINDOWS, SLICE, FREQUENT = 20, 1 << 20, 4 << 20, 1 << 19
 
 #: Odd bases of the two rolling hashes, and their inverses modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -77,6 +78,43 @@ def joined(t: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(t[name].to_pylist()), kind)
 
 
+class Frequent:
+    """The windows that a task meets again and again: hash, bucket, and an occurrence that went to the bucket. At most
+    FREQUENT are kept; those forgotten are only sent once more."""
+
+    def __init__(self):
+        self.known = [np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.uint32)]
+        self.last = self.known[:2]
+
+    def later(self, h: np.ndarray, bucket: np.ndarray, ids: np.ndarray, pos: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Which windows of a slice (sorted by h; ``same``: those known to repeat the one before) start later than an
+        occurrence that was sent; the slice's own are learned."""
+        out = np.zeros(len(h), bool)
+        old_h, old_bucket, old_ids, old_pos = self.known
+        if len(old_h):
+            at = np.minimum(np.searchsorted(old_h, h), len(old_h) - 1)
+            hit = np.flatnonzero((old_h[at] == h) & (old_bucket[at] == bucket))
+            at = at[hit]
+            out[hit] = (ids[hit] > old_ids[at]) | (ids[hit] == old_ids[at]) & (pos[hit] > old_pos[at])
+        last_h, last_bucket = self.last
+        learn = np.zeros(len(h), bool)
+        if len(last_h):
+            at = np.minimum(np.searchsorted(last_h, h), len(last_h) - 1)
+            learn = (last_h[at] == h) & (last_bucket[at] == bucket)
+        learn[:-1] |= same[1:]
+        learn &= ~same & ~out
+        new = [x[learn] for x in (h, bucket, ids, pos)]
+        if len(new[0]):
+            if len(old_h) + len(new[0]) > FREQUENT:
+                new = [x[:FREQUENT] for x in new]
+            else:
+                new = [np.concatenate(x) for x in zip(self.known, new, strict=True)]
+            _, first = np.unique(new[0], return_index=True)
+            self.known = [x[first] for x in new]
+        self.last = [h, bucket]
+        return out
+
+
 def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, row, starts): the starts (uint32 each, sorted) of the windows of ``docs`` (id, row, text) that repeat an earlier
     one, a row for each (id, row) that has any. ``row`` tells rows of one id apart; which windows repeat does not depend
@@ -88,6 +126,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = max(8, buckets // 8)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = Frequent()
         for b in batches:
             for lo, hi in text_slices(b.column(2), SLICE):
                 part = b.slice(lo, hi - lo)
@@ -101,21 +140,20 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 at, doc = _window_starts(begins, window)
                 if not len(at):
                     continue
-                h1 = rolling(h, at, window, BASES[0]) & np.uint64((1 << 56) - 1)
+                h1 = rolling(h, at, window, BASES[0])
                 bucket = (rolling(h, at, window, BASES[1]) % np.uint64(buckets)).astype(np.int32)
                 pos = (at - begins[:-1][doc]).astype(np.uint32)
                 by = np.argsort(h1, kind="stable")
                 same = np.zeros(len(by), bool)
                 s1, s2 = h1[by], bucket[by]
                 same[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-                again = np.zeros(len(by), bool)
-                again[by[same]] = True
                 if (ids[1:] == ids[:-1]).any():  # rows that share a key: leave ties to the bucket
-                    again[:] = False
+                    same[:] = False
+                again = np.zeros(len(by), bool)
+                again[by[same | frequent.later(s1, s2, ids[doc[by]], pos[by], same)]] = True
                 new = np.flatnonzero(~again)
                 new = new[np.argsort(bucket[new], kind="stable")]
-                low = h1[new].view(np.uint8).reshape(-1, 8)[:, :7]
-                key, (a, i, r, p) = _packed(bucket[new], low, ids[doc[new]], row[doc[new]], pos[new])
+                key, (a, i, r, p) = _packed(bucket[new], h1[new], ids[doc[new]], row[doc[new]], pos[new])
                 yield pa.RecordBatch.from_arrays([pa.array(key), a, i, r, p], ["bucket", "h", "i", "r", "p"])
                 old = np.flatnonzero(again)
                 if len(old):
@@ -125,10 +163,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def judged(group: pa.Table) -> pa.Table:
         ids, row, pos = joined(group, "i", np.int64), joined(group, "r", np.int64), joined(group, "p", np.uint32)
         if group["bucket"][0].as_py() >= 0:
-            low = joined(group, "h", np.uint8).reshape(-1, 7)
-            h = np.zeros((len(low), 8), np.uint8)
-            h[:, :7] = low
-            h = h.view(np.uint64).reshape(-1)
+            h = joined(group, "h", np.uint64)
             by = np.argsort(h)
             s = h[by]
             eq = s[1:] == s[:-1]
@@ -157,7 +192,7 @@ def marks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _, (p,) = _packed(np.cumsum(new), pos[order])
         return pa.table({"id": ids[new], "row": row[new], "starts": p})
 
-    found = docs.select("id", "row", "text").mapInArrow(hashed, "bucket int, h binary, i binary, r binary, p binary")
+    found = docs.select("id", "row", "text").mapInArrow(frugal(hashed), "bucket int, h binary, i binary, r binary, p binary")
     found = found.groupBy("bucket").applyInArrow(judged, "grp int, i binary, r binary, p binary")
     return found.groupBy("grp").applyInArrow(gathered, "id long, row long, starts binary")
 
@@ -184,8 +219,7 @@ def _marked(docs: DataFrame, window: int, key: str, text: str):
     """
     spark = docs.sparkSession
     at = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    unique = docs.select(at.alias("id")).groupBy("id").count().where("count > 1").isEmpty()
-    row = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    row = F.lit(0).cast("long") if unique(docs, at) else F.xxhash64(text)
     found = written(marks(docs.select(at.alias("id"), row.alias("row"), F.col(text).alias("text")), window), "marks")
     bitmap, bits = _bitmap(found.select(F.xxhash64("id", "row").alias("id")))
     place = F.pmod(F.xxhash64(F.xxhash64(at, row)), F.lit(bits))
@@ -196,18 +230,39 @@ def _hit(held: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (held[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def _cut(text: str | None, starts: bytes | None, window: int) -> tuple[list[bytes], int, np.ndarray]:
-    """The words of a text that its marks leave, how many it had, and the intervals that went."""
-    w = (text or "").encode("utf-8", "surrogatepass").split()
-    n, cuts = len(w), np.zeros((0, 2), np.int64)
-    if starts:
-        cuts = intervals(np.frombuffer(starts, np.uint32), n, window)
-        left, at = [], 0
-        for a, b in cuts.tolist():
-            left += w[at:a]
-            at = b
-        w = left + w[at:]
-    return w, n, cuts
+def _left(arr: pa.Array, starts: list[bytes | None], window: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What the marked windows leave of each text, its words joined by one space, all in one buffer; where each begins (and
+    the last ends), how many words each had and lost, and the intervals that went."""
+    buf, off = utf8(arr)
+    first, end, begins = words(buf, off)
+    n, cuts = np.diff(begins), [np.zeros((0, 2), np.int64)] * len(starts)
+    keep = np.ones(len(first), bool)
+    for i, marked in enumerate(starts):
+        if marked:
+            cuts[i] = intervals(np.frombuffer(marked, np.uint32), int(n[i]), window)
+            for a, b in cuts[i].tolist():
+                keep[begins[i] + a : begins[i] + b] = False
+    k = np.flatnonzero(keep)
+    owner = np.searchsorted(begins, k, "right") - 1
+    gap = np.zeros(len(k), np.int64)  # a space follows each word that is not the last of its text
+    gap[:-1] = owner[1:] == owner[:-1]
+    first, end = first[k], end[k]
+    buf[end[gap == 1]] = 32
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[first] += 1
+    edge[end + gap] -= 1
+    out = buf[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)].tobytes()
+    sizes = np.bincount(owner, weights=end - first + gap, minlength=len(starts)).astype(np.int64)
+    lost = n - np.bincount(owner, minlength=len(starts))
+    return out, np.concatenate([[0], np.cumsum(sizes)]), n, lost, cuts
+
+
+def _digests(ids: pa.Array, texts: pa.Array, starts: list[bytes | None], window: int) -> Iterator[tuple]:
+    """id, n_words, n_removed, kept_sha256, removed of each text."""
+    out, at, n, lost, cuts = _left(texts, starts, window)
+    out = memoryview(out)
+    for k, i in enumerate(ids.to_pylist()):
+        yield i, int(n[k]), int(lost[k]), hashlib.sha256(out[at[k] : at[k + 1]]).hexdigest(), cuts[k].tolist()
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,8 +285,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
                 for lo, hi in text_slices(part.column(2), SLICE):
                     x = part.slice(lo, hi - lo)
                     if done:
-                        got = [(len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w in ((t or "").encode("utf-8", "surrogatepass").split() for t in x.column(2).to_pylist())]
-                        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.nulls(len(x), pa.string()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names)
+                        _, n, _, sha, _ = zip(*_digests(x.column(0), x.column(2), [None] * len(x), window), strict=True)
+                        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.nulls(len(x), pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names)
                     else:
                         yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), x.column(2).cast(pa.string()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.string())], names)
 
@@ -241,16 +296,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str
             for lo, hi in text_slices(b.column(1), SLICE):
                 x = b.slice(lo, hi - lo)
                 todo = x.column(2).is_null().to_numpy(zero_copy_only=False)
-                part, rest, rows = x.filter(pa.array(todo)), x.filter(pa.array(~todo)), []
-                for i, t, starts in zip(*(part.column(k).to_pylist() for k in (0, 1, 4)), strict=True):
-                    w, n, cuts = _cut(t, starts, window)
-                    rows.append({"id": i, "n_words": n, "n_removed": n - len(w), "kept_sha256": hashlib.sha256(b" ".join(w)).hexdigest(), "removed": cuts.tolist()})
-                for i, n, sha in zip(*(rest.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                    rows.append({"id": i, "n_words": n, "n_removed": 0, "kept_sha256": sha, "removed": []})
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    passed = docs.select(at.alias("id"), row.alias("row"), F.col(text).alias("text"), place.alias("p")).mapInArrow(clean, "id long, row long, text string, n long, sha string")
-    out = passed.join(marked, ["id", "row"], "left").select("id", "text", "n", "sha", "starts").mapInArrow(finish, "id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
+                part, rest = x.filter(pa.array(todo)), x.filter(pa.array(~todo))
+                rows = list(_digests(part.column(0), part.column(1), part.column(4).to_pylist(), window)) if len(part) else []
+                rows += [(i, n, 0, sha, []) for i, n, sha in zip(*(rest.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
+                cols = zip(*rows, strict=True) if rows else [[]] * len(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], schema=kind)
+
+    passed = docs.select(at.alias("id"), row.alias("row"), F.col(text).alias("text"), place.alias("p")).mapInArrow(frugal(clean), "id long, row long, text string, n long, sha string")
+    out = passed.join(marked, ["id", "row"], "left").select("id", "text", "n", "sha", "starts").mapInArrow(frugal(finish), "id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
     return out.withColumn("id", F.when(F.col("id") != LAST, F.col("id"))).withColumnRenamed("id", key)
 
 
@@ -259,8 +312,14 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+@stage
 def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, its text without the repeated words (joined by one space where any went)."""
+    """Pipeline stage: every document, its text without the repeated words (joined by one space where any went).
+
+    Rows in are rows out: null and empty texts stay as they are, rows that share a doc_id (the null one too) each lose
+    their own repeats, and a text of which nothing is left is empty. A column n_chars is counted anew for texts that lost
+    words. No rows: none.
+    """
     at, row, place, marked, held = _marked(docs, WINDOW, "doc_id", "text")
     cols, text = docs.columns, docs.columns.index("text")
     chars = cols.index("n_chars") if "n_chars" in cols else None
@@ -280,9 +339,11 @@ def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 x = b.slice(lo, hi - lo)
                 texts, arrays = x.column(text).to_pylist(), x.columns[:-1]
                 sizes = x.column(chars).to_pylist() if chars is not None else []
-                for k, starts in enumerate(x.column(len(cols)).to_pylist()):
+                marked = x.column(len(cols)).to_pylist()
+                left, begin, *_ = _left(x.column(text), marked, WINDOW)
+                for k, starts in enumerate(marked):
                     if starts:
-                        texts[k] = b" ".join(_cut(texts[k], starts, WINDOW)[0]).decode("utf-8", "surrogatepass")
+                        texts[k] = left[begin[k] : begin[k + 1]].decode("utf-8", "surrogatepass")
                         if chars is not None:
                             sizes[k] = len(texts[k])
                 arrays[text] = pa.array(texts, x.column(text).type)
@@ -291,8 +352,8 @@ def substring_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, cols)
 
     tagged = docs.select(*cols, at.alias("_id"), row.alias("_row"), place.alias("_place"))
-    rest = tagged.select(*cols, "_place").mapInArrow(part(False), docs.schema)
+    rest = tagged.select(*cols, "_place").mapInArrow(frugal(part(False)), docs.schema)
     kind = StructType([*docs.schema.fields, StructField("_id", LongType()), StructField("_row", LongType())])
     found = marked.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("starts").alias("_starts"))
-    lost = tagged.mapInArrow(part(True), kind).join(found, ["_id", "_row"], "left").select(*cols, "_starts").mapInArrow(cut, docs.schema)
+    lost = tagged.mapInArrow(frugal(part(True)), kind).join(found, ["_id", "_row"], "left").select(*cols, "_starts").mapInArrow(frugal(cut), docs.schema)
     return rest.union(lost)
