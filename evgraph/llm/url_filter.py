@@ -1,19 +1,22 @@
 """URL filters: a Bloom filter cascade, built and probed with DataFrame functions only.
 
 A listed key is ``host`` + ``path prefix``. The universe is every key that a url of the corpus could match: each of its
-host's suffixes with as many labels as some listed host, joined to each of its path's prefixes as long as some listed
-path. Level 1 encodes the listed keys; level 2 the other keys of the universe that pass level 1; level 3 the listed
-keys that pass level 2; and so on, until nothing passes wrongly. A key of the universe is listed if the first level
-that it fails is of even number (or if it passes all and their number is odd): exact membership, and probing joins
-nothing. Levels are sized for few bits altogether: level 1 lets a share of |listed| / (1.4 |others|) of the others
-pass, later ones a half. The bits of all levels are literals of the plan, refused beyond ``MAX_BYTES``; keys that pass
-wrongly, not the universe, are what a shuffle sees.
+host's suffixes joined to each of its path's prefixes, of the numbers of labels and characters that some listed key has.
+Level 1 encodes the listed keys; level 2 the other keys of the universe that pass level 1; level 3 the listed keys that
+pass level 2; and so on, until nothing passes wrongly. A key of the universe is listed if the first level that it fails is
+of even number (or if it passes all and their number is odd): exact membership, and probing joins nothing. Levels are
+sized for few bits altogether: level 1 lets a share of |listed| / (1.4 |others|) of the others pass, later ones a half.
+
+The bits of all levels are literals of the plan. Lists whose first level would take more than ``MAX_BYTES`` are parted by a
+hash of the key into as many cascades as need be, probed one after the other over the written rows: each key belongs to
+one of them, so membership stays exact. Keys that pass wrongly, not the universe, are what a shuffle sees.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +41,15 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), F.regexp_extract(after, r"^([^?#]*)", 1)
 
 
-def candidates(host: Column, path: Column, labels: list[int], sizes: list[int]) -> Column:
-    """All keys that the url could match, the longest first; equal lengths: the longer host first."""
+def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """All keys that the url could match, of the ``shapes`` (labels of the host, characters of the path), the longest first;
+    equal lengths: the longer host first."""
     parts = F.split(host, r"\.")
     keys = []
-    for n in labels:
+    for n, k in shapes:
         suffix = F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
-        for k in sizes:
-            ok = (F.size(parts) >= n) & (F.length(path) >= k) & (host != "")
-            keys.append(F.when(ok, F.struct((F.length(suffix) + k).alias("n"), F.length(suffix).alias("h"), F.concat(suffix, path.substr(1, k)).alias("key"))))
+        ok = (F.size(parts) >= n) & (F.length(path) >= k) & (host != "")
+        keys.append(F.when(ok, F.struct((F.length(suffix) + k).alias("n"), F.length(suffix).alias("h"), F.concat(suffix, path.substr(1, k)).alias("key"))))
     found = F.sort_array(F.filter(F.array(*keys), lambda x: x.isNotNull()), asc=False)
     return F.transform(found, lambda x: x["key"])
 
@@ -77,13 +80,20 @@ class Cascade:
         return reduce(lambda a, b: a & b, tests)
 
 
+def _bytes(n: int, rate: float) -> int:
+    """Of a Bloom filter of ``n`` keys that lets ``rate`` of the others pass."""
+    return max(8, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 8)
+
+
+def _rate(n: int, others: int) -> float:
+    """What level 1 lets pass."""
+    return min(0.5, max(1e-9, n / (1.42 * max(1, others))))
+
+
 def _encode(keys: DataFrame, n: int, rate: float, level: int) -> tuple[int, int, list[int]]:
     """A Bloom filter of ``n`` keys: its size in bits, number of hashes, and words."""
-    size = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    if size > MAX_BYTES * 8:
-        raise ValueError(f"level {level} needs {size // 8} bytes; MAX_BYTES is {MAX_BYTES}")
-    hashes = max(1, round(size / max(1, n) * math.log(2)))
-    hashes = min(hashes, 12)
+    size = _bytes(n, rate) * 8
+    hashes = min(12, max(1, round(size / max(1, n) * math.log(2))))
     at = keys.select(F.explode(F.array(*_bits(F.col("key"), size, hashes, level))).alias("p"))
     rows = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("p"), F.lit(64)).cast("int"))).alias("b")).collect()
     words = [0] * (size // 64)
@@ -92,14 +102,16 @@ def _encode(keys: DataFrame, n: int, rate: float, level: int) -> tuple[int, int,
     return size, hashes, words
 
 
-def build(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """The cascade of the keys ``listed`` (column key) within ``universe`` (column key; repeats are no matter)."""
+def build(universe: DataFrame, listed: DataFrame, others: int | None = None) -> Cascade:
+    """The cascade of the keys ``listed`` (column key) within ``universe`` (column key; repeats are no matter), which has
+    about ``others`` different keys (counted unless given). The lists that :func:`judge` hands in are of bounded size."""
     inside = listed.where("key is not null").distinct()
     n = inside.count()
     if not n:
         return Cascade([], 0)
-    others = max(1, universe.agg(F.approx_count_distinct("key", 0.05)).first()[0])
-    levels = [_encode(inside, n, min(0.5, max(1e-9, n / (1.42 * others))), 1)]
+    if others is None:
+        others = universe.agg(F.approx_count_distinct("key", 0.05)).first()[0]
+    levels = [_encode(inside, n, _rate(n, others), 1)]
     passed = lambda df, level: df.where(Cascade(levels, n)._passes(F.col("key"), level))
     outside = written(passed(universe.where("key is not null"), 1).distinct().join(inside, "key", "left_anti"), "wrongly-passed")
     while m := outside.count():
@@ -112,30 +124,48 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     return Cascade(levels, n)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def _hit(cascades: list[Cascade], here: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Whether a key is of this part and one of its cascades lists it."""
+    return lambda k: here(k) & reduce(lambda a, b: a | b, [c.contains(k) for c in cascades])
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """``key``, host, path, rule and verdict of every row.
 
-    One cascade lists the keys that block, one those that allow; the longest candidate key that either lists is the
-    rule. A url that fits none gets the method's own verdict: it is in no list, so ``default``. Null, empty and odd
-    urls have an empty host and fit no rule. Repeated rows are judged alike; other columns are not read.
+    ``rules``: (host, path, verdict). One cascade lists the keys that block, one those that allow; the longest candidate
+    key that either lists is the rule (a key listed as both blocks). A url that fits none gets the method's own verdict:
+    it is in no list, so ``default``. Null, empty and odd urls have an empty host and fit no rule. Repeated rows are judged
+    alike; other columns are not read.
     """
     spark = pages.sparkSession
     host, path = host_path(F.col(url))
-    rows = pages.select(F.col(key), host.alias("host"), path.alias("path"))
-    if not rules:
-        return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = sorted({h.count(".") + 1 for h, _, _ in rules})
-    sizes = sorted({len(p) for _, p, _ in rules})
-    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, sizes))
-    universe = rows.select(F.explode("keys").alias("key"))
-    both = {}
-    for verdict in ("block", "allow"):
-        listed = spark.createDataFrame([(h + p,) for h, p, v in rules if v == verdict], "key string")
-        both[verdict] = build(universe, listed)
-    hit = F.filter("keys", lambda k: both["block"].contains(k) | both["allow"].contains(k))
-    rows = rows.withColumn("rule", F.get(hit, F.lit(0))).drop("keys")
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(both["block"].contains(F.col("rule")), F.lit("block")).otherwise("allow")
-    return rows.select(key, "host", "path", "rule", verdict.alias("verdict"))
+    rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
+    rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string")
+    listed = rules.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("size"), "verdict")
+    shapes = sorted((r.labels, r.size) for r in listed.select("labels", "size").distinct().collect())  # of a host's labels and a path's lengths
+    if not shapes:
+        return rows.select(F.col("_key").alias(key), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    rows = rows.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes))
+    others = rows.select(F.explode("keys").alias("key")).agg(F.approx_count_distinct("key", 0.05)).first()[0]
+    counts = {r.verdict: r.n for r in listed.groupBy("verdict").agg(F.count_distinct("key").alias("n")).collect()}
+    parts = max(-(-_bytes(n, _rate(n, others)) // MAX_BYTES) for n in counts.values())
+    if parts > 1:  # a tenth to spare, as parts differ
+        parts = parts + -(-parts // 10)
+        rows = written(rows.withColumn("best", F.lit(None).cast("int")).withColumn("blocks", F.lit(None).cast("boolean")), "urls")
+    here = lambda k, p: F.pmod(F.xxhash64(k), F.lit(parts)) == p if parts > 1 else F.lit(True)
+    for p in range(parts):
+        universe = rows.select(F.explode("keys").alias("key")).where(here(F.col("key"), p))
+        both = [build(universe, listed.where((F.col("verdict") == v) & here(F.col("key"), p)), max(1, others // parts)) for v in ("block", "allow")]
+        hit = _hit(both, partial(here, p=p))
+        if parts == 1:
+            rule = F.get(F.filter("keys", hit), F.lit(0))
+            rows = rows.withColumn("rule", rule)
+            return rows.select(F.col("_key").alias(key), "host", "path", "rule", F.when(F.col("rule").isNull(), F.lit(default)).when(both[0].contains(F.col("rule")), F.lit("block")).otherwise("allow").alias("verdict"))
+        at = F.array_position(F.transform("keys", hit), True).cast("int")
+        rows = rows.withColumn("at", F.when((at > 0) & ((at < F.col("best")) | F.col("best").isNull()), at))
+        rows = written(rows.select("_key", "host", "path", "keys", F.coalesce("at", "best").alias("best"), F.when(F.col("at").isNotNull(), both[0].contains(F.get("keys", F.col("at") - 1))).otherwise(F.col("blocks")).alias("blocks")), "urls")
+    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("blocks"), F.lit("block")).otherwise("allow")
+    return rows.select(F.col("_key").alias(key), "host", "path", F.get("keys", F.col("best") - 1).alias("rule"), verdict.alias("verdict"))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
