@@ -12,6 +12,7 @@ the positions (which begin anew with each segment), and for each segment its tex
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +23,8 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ship, table, text_slices
+from .common import frugal, ship, table, text_slices
+from .warc import file_system
 
 ROW, PACK_TOKENS, PAD = 2048, 4 << 20, 0
 
@@ -152,7 +154,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", row: int =
         if keys:
             yield _load(keys, np.concatenate(parts), np.cumsum(sizes), row, pack)
 
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(frugal(run), SCHEMA)
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
@@ -164,6 +166,53 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def write_matrices(rows: DataFrame, path: str) -> DataFrame:
+    """The packed rows as raw binary files under ``path``, three for each task that has rows: ids (the id matrix) and
+    positions (the same shape; they begin anew with each segment), both little-endian, and lengths (int32: for each row the
+    number of its cumulative lengths, then these). Returns the list of the files that count, written beside them as the
+    table ``files`` (name, id_bytes, position_bytes, rows): a task that runs again writes files of its own."""
+    spark = rows.sparkSession
+    ship(spark)
+    fs, root = file_system(path)
+    fs.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(path)
+        ctx = TaskContext.get()
+        name, outs, n, shape = f"{ctx.partitionId() if ctx else 0}-{uuid.uuid4().hex}", None, 0, (0, 0)
+        for b in batches:
+            for ids, cu, pos in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("ids", "cu_seqlens", "positions")), strict=True):
+                outs = outs or [fs.open_output_stream(f"{root}/{name}.{k}") for k in ("ids", "positions", "lengths")]
+                for out, raw in zip(outs, (ids, pos, np.array([len(cu), *cu], "<i4").tobytes()), strict=True):
+                    out.write(raw)
+                n, shape = n + 1, (len(ids), len(pos))
+        if outs:
+            for out in outs:
+                out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shape[0]], pa.int32()), pa.array([shape[1]], pa.int32()), pa.array([n], pa.int64())], ["name", "id_bytes", "position_bytes", "rows"])
+
+    rows.select("ids", "cu_seqlens", "positions").mapInArrow(run, "name string, id_bytes int, position_bytes int, rows long").write.parquet(f"{path}/files")
+    return spark.read.schema("name string, id_bytes int, position_bytes int, rows long").parquet(f"{path}/files")
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(ids, cu_seqlens, positions) of every row of the files that count under ``path``."""
+    ship(spark)
+    files = spark.read.schema("name string, id_bytes int, position_bytes int, rows long").parquet(f"{path}/files")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(path)
+        for b in batches:
+            for f in b.to_pylist():
+                with fs.open_input_stream(f"{root}/{f['name']}.ids") as ids, fs.open_input_stream(f"{root}/{f['name']}.positions") as pos, fs.open_input_stream(f"{root}/{f['name']}.lengths") as lengths:
+                    for _ in range(f["rows"]):
+                        (n,) = np.frombuffer(lengths.read(4), "<i4")
+                        cu = np.frombuffer(lengths.read(4 * int(n)), "<i4")
+                        yield pa.RecordBatch.from_arrays([pa.array([ids.read(f["id_bytes"])], pa.binary()), pa.array([cu], pa.list_(pa.int32())), pa.array([pos.read(f["position_bytes"])], pa.binary())], ["ids", "cu_seqlens", "positions"])
+
+    return files.mapInArrow(run, "ids binary, cu_seqlens array<int>, positions binary")
+
+
 def op7_token_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, encoded and packed into rows of ROW tokens."""
     return packed(table(spark, sf_dir, "documents"))
