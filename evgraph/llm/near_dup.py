@@ -11,9 +11,11 @@ one that shares keys with the most others; pairs are confirmed by exact intersec
 to components. Keys whose members are still in several components get another centre, and at last all their pairs of
 different components are weighed: a parity sketch of each set (a bit for each residue of its hashes, flipped by every
 element) bounds the symmetric difference from below, so pairs that cannot be links are passed over exactly, and each
-other pair is emitted once, at its first shared key. No link is lost, and a large group of copies emits few pairs.
-Joins are plain equi-joins, which adaptive execution splits where a key is hot; nothing but counts and one bounded
-bitmap comes to the driver.
+other pair is emitted once, at its first shared key. Members of crowded keys, such as those of a text that very many
+documents frame differently, are not paired by the key: two linked sets share one of their rarest shingles (the prefix
+that the similarity asks for), so only members that share such a shingle meet, and what all of them share pairs nobody.
+No link is lost, and a large group of copies emits few pairs. Joins are plain equi-joins, which adaptive execution
+splits where a key is hot; nothing but counts and one bounded bitmap comes to the driver.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, grams, mix, ship, table, text_slices, utf8, word_hashes, words, written
+from .common import M1, frugal, grams, mix, numbered, ship, stage, table, text_slices, unique, utf8, word_hashes, words, written
 
-SHINGLE, CHUNKS, WIDTH, STARS = 5, 7, 5, 2
+SHINGLE, CHUNKS, WIDTH, STARS, CROWD, PLACES = 5, 7, 5, 2, 64, 1 << 18
 SLOTS = CHUNKS * WIDTH
 MAX_BITMAP_BITS = 1 << 26
 _rng = np.random.default_rng(2024)
@@ -99,7 +102,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, SLOTS, dtype=np.int32)), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(d1), pa.array(d2), flat], ["id", "n", "d1", "d2", "sig"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, sig array<smallint>")
+    return docs.mapInArrow(frugal(run), "id long, n long, d1 long, d2 long, sig array<smallint>")
 
 
 def _bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -129,7 +132,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(x.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), lists(s, sizes), lists(*sketches(s, sizes))], ["id", "n", "s", "sketch"])
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(run, "id long, n long, s array<bigint>, sketch array<bigint>")
+    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).mapInArrow(frugal(run), "id long, n long, s array<bigint>, sketch array<bigint>")
 
 
 def components(links: DataFrame, rows: int) -> DataFrame:
@@ -172,10 +175,31 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
 
     Links: den * intersection >= num * union of the sets. component_id: the smallest key reachable, itself included.
     Rows without words or text, and rows of a null key, are linked with nothing (a null key's component is null). Rows
-    that share a key count as one document with several texts. Other columns are not read.
+    that share a key are documents of their own, each judged by its text. Other columns are not read.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    if unique(rows.where("id is not null"), "id"):
+        out = _linked(rows, num, den)
+    else:  # link by the number of the row, and name each component by its smallest key
+        rows = numbered(rows, "row")
+        known, rest = _by_number(rows, num, den)
+        least = known.groupBy("component").agg(F.min("key").alias("least"))
+        out = known.join(least, "component").select(F.col("key").alias("id"), "n", F.col("least").alias("component_id")).union(rest)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _by_number(rows: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of numbered rows (row, id, text): (row, key, n, component) of those with a key, the component being the smallest
+    row; and (id, n, component_id) of those without."""
+    got = _linked(rows.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), num, den)
+    keys = rows.select("row", F.col("id").alias("key"))
+    known = got.where("id is not null").select(F.col("id").alias("row"), "n", F.col("component_id").alias("component")).join(keys, "row")
+    return known, got.where("id is null")
+
+
+def _linked(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """id, n, component_id of ``docs`` (id, text), of which no two rows share an id that is not null."""
     signed = written(_signed(docs), "signed")
     alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     some = signed.where("n > 0 and id is not null")
@@ -207,8 +231,11 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
             centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("c"), F.col("n").alias("nc"), F.col("label").alias("lc"))).alias("m")).select("key", "m.c", "m.nc", "m.lc")
             pairs = rows.join(centre, "key").where((F.col("label") != F.col("lc")) & _alike(F.col("n"), F.col("nc"), num, den)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
-            features = member.where("id = rep").select("id", "sig").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id")
-            pairs = _rest(rows.join(features, "id"), num, den)
+            features = member.where("id = rep").select("id", "sig").join(sets.select("id", "sketch"), "id")
+            rows = written(rows.select("key", "at", "id", "n", "m", "label"), "mixed", keyed)
+            pairs = _rest(rows.where(F.col("m") <= CROWD).join(features, "id"), num, den)
+            crowd = rows.where(F.col("m") > CROWD).select("id", "n", "label").distinct()
+            pairs = pairs.union(_crowded(crowd.join(sets.select("id", "s", "sketch"), "id"), num, den))
         pairs = written(pairs.distinct(), "pairs", keyed)
         found = pairs.count()
         if not found:  # of this turn's centres; another turn may have some
@@ -220,8 +247,7 @@ def classes(docs: DataFrame, num: int = 85, den: int = 100, key: str = "doc_id",
         member = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
     else:
         member = member.withColumn("component_id", F.col("rep"))
-    out = member.select("id", "n", "component_id").union(alone)
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    return member.select("id", "n", "component_id").union(alone)
 
 
 def _rest(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,13 +260,59 @@ def _rest(rows: DataFrame, num: int, den: int) -> DataFrame:
         here = (a["at"] >= c * WIDTH) & (a["at"] < (c + 1) * WIDTH) & ((chunk[c] == 1) | (a["at"] == c * WIDTH))
         first = F.when(chunk[c] <= 1, here).otherwise(first)
     near = (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), num, den) & first
-    # |A xor B| <= (den - num) / (den + num) * (|A| + |B|) for a link; the sketches' difference is no larger than it
+    b = b.withColumnRenamed("at", "at2")
+    return a.join(b, (a["key"] == b["key"]) & near & _allowed(num, den)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+
+
+def _allowed(num: int, den: int) -> Column:
+    """Whether sketch1 and sketch2 allow their sets, of n1 and n2 shingles, to be linked: |A xor B| is at most
+    (den - num) / (den + num) * (|A| + |B|) for a link, and the sketches' difference is no larger than it."""
     words = F.least(F.size("sketch1"), F.size("sketch2"))
     fold = lambda s: F.when(F.size(s) == words, F.col(s)).otherwise(F.zip_with(F.slice(s, F.lit(1), words), F.slice(s, words + 1, words), lambda x, y: x.bitwiseXOR(y)))
     apart = F.aggregate(F.zip_with(fold("sketch1"), fold("sketch2"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    allowed = apart.cast("long") * (den + num) <= (F.col("n1") + F.col("n2")) * (den - num)
-    b = b.withColumnRenamed("at", "at2")
-    return a.join(b, (a["key"] == b["key"]) & near & allowed).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    return apart.cast("long") * (den + num) <= (F.col("n1") + F.col("n2")) * (den - num)
+
+
+def _crowded(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of ``rows`` (id, n, label, s, sketch) in different components that share one of their rarest shingles, and
+    that sizes and sketches allow to be links.
+
+    Two sets with den * intersection >= num * union share one of the n - ceil(num * n / den) + 1 shingles of each that
+    come first in one common order, whichever that is. Here it is by how many of the rows hold a shingle, counted in a
+    table of ``PLACES`` by its hash, so that what all of them share comes last. The table is all that is gathered.
+    """
+    rows = written(rows.select("id", "n", "label", "sketch", "s"), "crowd")
+    place = lambda x: (x & np.int64(PLACES - 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for b in batches:
+            total += np.bincount(place(b.column(0).flatten().to_numpy()), minlength=PLACES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["p", "f"])
+
+    got = rows.select("s").mapInArrow(frugal(count), "p long, f long").groupBy("p").agg(F.sum("f").alias("f")).toArrow()
+    table = np.zeros(PLACES, np.int64)
+    table[got["p"].to_numpy()] = got["f"].to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(table)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(4)
+            sizes = pc.list_value_length(sets).to_numpy()
+            x, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(b)), sizes)
+            often = held.value[place(x)]
+            order = np.lexsort((x, often, owner))
+            begins = np.cumsum(sizes) - sizes
+            nth = np.arange(len(x)) - begins[owner]
+            length = sizes - -(-sizes.astype(np.int64) * num // den) + 1
+            keep = order[(nth < length[owner]) & (often[order] > 1)]  # one that a single row holds pairs nothing
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), *(b.column(k).take(pa.array(owner[keep])) for k in range(4))], ["x", "id", "n", "label", "sketch"])
+
+    prefix = rows.select("id", "n", "label", "sketch", "s").mapInArrow(frugal(first), "x long, id long, n long, label long, sketch array<bigint>")
+    a, b = (prefix.select("x", *(F.col(c).alias(c + k) for c in ("id", "n", "sketch", "label"))) for k in ("1", "2"))
+    near = (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2")) & _alike(F.col("n1"), F.col("n2"), num, den)
+    return a.join(b, (a["x"] == b["x"]) & near & _allowed(num, den)).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -249,7 +321,18 @@ def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@stage
 def near_dup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) the smallest doc_id stays."""
-    gone = classes(docs, 80, 100).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates (similarity 0.8 or more) the smallest doc_id stays.
+
+    Rows that share a doc_id are documents of their own: of those in one group one stays. Null and empty texts, and rows of
+    a null doc_id, are in no group and stay. No rows: none.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if unique(ids.where("id is not null"), "id"):
+        gone = _linked(ids, 80, 100).where("id <> component_id").select(F.col("id").alias("_gone"))
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = numbered(docs, "_number")
+    known, _ = _by_number(rows.select(F.col("_number").alias("row"), F.col("doc_id").cast("long").alias("id"), "text"), 80, 100)
+    first = known.groupBy("component").agg(F.min(F.struct("key", "row")).alias("m")).select(F.col("m.row").alias("_number"))
+    return rows.where("doc_id is null").union(rows.where("doc_id is not null").join(first, "_number", "left_semi").select(*rows.columns)).select(*docs.columns)
