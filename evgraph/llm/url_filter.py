@@ -18,7 +18,7 @@ import math
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -124,6 +124,12 @@ def build(universe: DataFrame, listed: DataFrame, others: int | None = None) ->
     return Cascade(levels, n)
 
 
+def _table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """A list of rules as a table of literals: no Python runs for it. Long lists are handed in as tables."""
+    rows = [F.struct(*(F.lit(x).alias(c) for x, c in zip(r, ("host", "path", "verdict"), strict=True))) for r in rules or [("", "", "")]]
+    return spark.range(1 if rules else 0).select(F.inline(F.array(*rows)))
+
+
 def _hit(cascades: list[Cascade], here: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """Whether a key is of this part and one of its cascades lists it."""
     return lambda k: here(k) & reduce(lambda a, b: a | b, [c.contains(k) for c in cascades])
@@ -140,7 +146,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, key:
     spark = pages.sparkSession
     host, path = host_path(F.col(url))
     rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
-    rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "host string, path string, verdict string")
+    rules = rules if isinstance(rules, DataFrame) else _table(spark, rules)
     listed = rules.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("size"), "verdict")
     shapes = sorted((r.labels, r.size) for r in listed.select("labels", "size").distinct().collect())  # of a host's labels and a path's lengths
     if not shapes:
