@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evgraph.functions import text as X
 from evgraph.operators.order import positions
 from evgraph.schema import TIERS
+from evgraph.session import cut
 
 #: Components of a hybrid score (fixed values); a weight not given is 1, penalties included.
 COMPONENTS = ("exact_anchor", "structural_proximity", "evidence_confidence", "claim_relevance", "change_relevance", "lexical_score", "semantic_score", "centrality", "diversity_penalty", "budget_cost")
@@ -70,13 +74,30 @@ def budget_prefix(rows: DataFrame, cost: str, order: list[str], budget: int, by:
 def budget_skip(rows: DataFrame, key: str, cost: str, order: list[str], budget: int, by: list[str]) -> DataFrame:
     """Rows in order, each taken if it fits what is left, else passed over. (by, key, taken)
 
-    The fold is over one group's rows, so groups have to be bounded, as candidate sets are.
+    What is left only shrinks, so of the rows of one cost the first ones are taken, and no more than ``budget`` over the cost.
+    The fold is over these candidates, which the budget bounds whatever the size of a group; all rows are then compared with
+    the last one taken of their cost. Costs are 0 or more: 0 always fits, less is an error, and null is neither taken nor not.
     """
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(cost).cast("long").alias("cost"), F.col(key).alias("key"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<key:{rows.schema[key].dataType.simpleString()},taken:boolean>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["used"] + F.when(acc["used"] + x["cost"] <= budget, x["cost"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(acc["out"], F.array(F.struct(x["key"].alias("key"), (acc["used"] + x["cost"] <= budget).alias("taken")))).alias("out"))
-    got = rows.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step)["out"].alias("out"))
-    return got.select(*by, F.explode("out").alias("x")).select(*by, F.col("x.key").alias(key), F.col("x.taken").alias("taken"))
+    at = [f"_by{i}" for i in range(len(by))]
+    size = F.col(cost).cast("long")
+    size = F.when(size < 0, F.raise_error(F.lit("a cost is less than 0"))).otherwise(size)
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("_cost").alias("cost"), F.col(key).alias("key"))
+    rows = cut(rows.withColumn("_cost", size).select(*[F.col(c).alias(n) for c, n in zip(by, at)], "_cost", item.alias("_item")))
+    nth = F.row_number().over(Window.partitionBy(*at, "_cost").orderBy("_item"))
+    some = rows.where((F.col("_cost") > 0) & (F.col("_cost") <= budget)).withColumn("_nth", nth).where(F.col("_nth") <= max(budget, 0)).where(F.col("_nth") * F.col("_cost") <= budget)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(T.ArrayType(rows.schema["_item"].dataType)).alias("out"))
+    fits = lambda acc, x: acc["used"] + x["cost"] <= budget
+    step = lambda acc, x: F.when(fits(acc, x), F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
+    took = some.groupBy(*at).agg(F.aggregate(F.array_sort(F.collect_list("_item")), start, step)["out"].alias("out")).select(*at, F.explode("out").alias("_last"))
+    last = took.groupBy(*at, F.col("_last.cost").alias("_cost"), "_last").agg(F.count(F.lit(1)).alias("_copies")).groupBy(*at, "_cost").agg(F.max(F.struct("_last", "_copies")).alias("_end"))
+    last = last.select(*[F.col(n).alias(f"{n}_") for n in at], F.col("_cost").alias("_cost_"), "_end._last", "_end._copies")
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in at], F.col("_cost") == F.col("_cost_"))
+    told = rows.join(cut(last), same, "left")
+    ends = F.coalesce(F.col("_item") == F.col("_last"), F.lit(False))
+    sure = told.where(~ends).withColumn("taken", F.when(F.col("_cost") == 0, F.lit(budget >= 0)).when(F.col("_cost").isNotNull(), F.coalesce(F.col("_item") < F.col("_last"), F.lit(False))))
+    # rows like the last one in everything: as many as were taken
+    tied = told.where(ends).withColumn("taken", F.row_number().over(Window.partitionBy(*at, "_cost").orderBy("_item")) <= F.col("_copies"))
+    return sure.unionByName(tied).select(*[F.col(n).alias(c) for c, n in zip(by, at)], F.col("_item.key").alias(key), "taken")
 
 
 def lexical_search(nodes: DataFrame, query_terms: list[str], limit: int = 20) -> DataFrame:
