@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import text as X
-from evgraph.operators import ranking
+from evgraph.operators import nearest, ranking
 from evgraph.plans.graph import SQL_NODES
+from evgraph.session import cut
 from evgraph.sources import tables
 
 
@@ -57,14 +58,11 @@ def hybrid(spark, d):
 def _ranked_queries(spark, d) -> DataFrame:
     """Every hundredth vector against all others: (q, id, rank of the ten nearest, same label)."""
     v = _vectors(spark, d)
-    q = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"), F.col("label").alias("ql"))
-    pairs = v.join(q, F.col("id") != F.col("q")).select("q", "id", F.round(X.cosine(F.col("v"), F.col("qv")), 9).alias("s"), (F.col("label") == F.col("ql")).alias("right"))
-    w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return nearest.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("q"), "v", "label"), 10, 9)
 
 
 def recall_mrr(spark, d):
-    got = _ranked_queries(spark, d)
+    got = cut(_ranked_queries(spark, d))
     gold = got.where("right").select("q", "id")
     scored = ranking.score_cases(got.select("q", "id", "rank"), gold)
     all_q = got.select("q").distinct()
