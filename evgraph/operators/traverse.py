@@ -101,6 +101,42 @@ def typed_closure(spark: SparkSession, seeds: Iterable[str], relations: list[Rel
     return reduce(DataFrame.unionByName, (df.select(F.concat(F.lit(f"{k}:"), F.col("key").cast("string")).alias("id"), "depth") for k, df in seen.items()))
 
 
+def typed_layers(relations: list[Relation]) -> DataFrame | None:
+    """(id, layer): :func:`analytics.layers` over relations: the longest path from a node that nothing enters. None where kinds
+    refer to each other in a circle, as only then nodes can.
+
+    Kinds are taken from the first to the last of their order, so a relation is read once: a node's layer is one more than the
+    greatest of the nodes that refer to it. Rows of a kind that nothing enters are all of layer 0 and need no join. Nothing is
+    written on the way.
+    """
+    into: dict[str, list[Relation]] = {}
+    for r in relations:
+        into.setdefault(r.target, []).append(r)
+        into.setdefault(r.source, [])
+    order: list[str] = []
+    while len(order) < len(into):
+        free = [k for k, rs in into.items() if k not in order and all(r.source in order for r in rs)]
+        if not free:
+            return None
+        order += free
+    layer: dict[str, DataFrame] = {}
+    for kind in order:
+        come = []
+        for r in into[kind]:
+            rows = r.rows.select(F.col(r.source_key).cast("long").alias("at"), F.col(r.target_key).cast("long").alias("key")).where("key is not null")
+            if into[r.source]:
+                known = layer[r.source].select(F.col("key").alias("at"), F.col("layer").alias("before"))
+                come.append(rows.join(known, "at", "left").select("key", F.coalesce(F.col("before") + 1, F.lit(0)).alias("layer")))
+            else:
+                come.append(rows.select("key", F.when(F.col("at").isNotNull(), 1).otherwise(0).alias("layer")))
+        for r in relations:
+            if r.source == kind:
+                own = r.rows.where(F.col(r.target_key).isNotNull() & F.col(r.source_key).isNotNull())
+                come.append(own.select(F.col(r.source_key).cast("long").alias("key"), F.lit(0).alias("layer")))
+        layer[kind] = reduce(DataFrame.unionByName, come).groupBy("key").agg(F.max("layer").alias("layer"))
+    return reduce(DataFrame.unionByName, (df.select(F.concat(F.lit(f"{k}:"), F.col("key").cast("string")).alias("id"), "layer") for k, df in layer.items()))
+
+
 def typed_shortest_path(spark: SparkSession, start: str, goal: str, relations: list[Relation], depth: int = 5) -> DataFrame:
     """(step, id): :func:`shortest_path` over relations. Each level is written once, with whether it holds the goal."""
     kind, _, key = start.partition(":")
