@@ -32,7 +32,8 @@ def calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame
     unresolved edge, kept without a target. All of the best kind are given.
 
     Which of these holds is read off the least and the greatest id of each name, of each name in a file, and of each name
-    in a file's imports: some candidate is not the caller unless both are. So no pairs are made but the edges themselves.
+    in a file's imports: some candidate is not the caller unless both are. So no pairs are made but the edges themselves,
+    and these are not shuffled where each call has one path and each symbol one file, as no edge can then come up twice.
     """
     asked = calls.select("source", "path", "name", "is_test").distinct()
     known = symbols.select(F.col("id").alias("target"), "name", F.col("path").alias("to_path")).distinct()
@@ -51,10 +52,13 @@ def calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame
     near = rows.where("level = 0").join(known.withColumnRenamed("to_path", "path"), ["name", "path"])
     told = rows.where("level = 1").join(links, "path").join(known, ["name", "to_path"])
     cols = ("source", "name", "target", "is_test", "level")
-    found = near.select(*cols).unionByName(told.select(*cols)).where("source <> target").distinct()
+    found = near.select(*cols).unionByName(told.select(*cols)).where("source <> target")
     found = found.unionByName(rows.where("level > 1").select("source", "name", F.col("only").alias("target"), "is_test", "level"))
     tier = F.when(F.col("level") == 0, "SAME_FILE_LEXICAL").when(F.col("level") < 3, "CROSS_FILE_HEURISTIC").otherwise("UNRESOLVED")
-    return found.select("source", "name", "target", F.when(F.col("is_test"), "TESTS").otherwise("CALLS").alias("kind"), tier.alias("tier")).distinct()
+    out = found.select("source", "name", "target", F.when(F.col("is_test"), "TESTS").otherwise("CALLS").alias("kind"), tier.alias("tier"))
+    kind = F.coalesce("is_test", F.lit(False)).alias("kind")  # what is not known to be a test is a call
+    twice = lambda df, *by: not df.groupBy(*by).count().where("count > 1").isEmpty()
+    return out.distinct() if twice(asked, "source", "name", kind) or twice(known, "target", "name") else out
 
 
 def union_layer(base: DataFrame, extra: DataFrame, key: str = "id") -> DataFrame:
