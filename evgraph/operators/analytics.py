@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.session import cut
+from evgraph.session import cut, drop, stored
 
 
 def kind_counts(edges: DataFrame) -> DataFrame:
@@ -52,50 +54,90 @@ def _spread(label: DataFrame, step: DataFrame) -> DataFrame:
     """The least label that reaches each node along ``step`` (at, to), to the fixpoint. label: (id, c)."""
     while True:
         come = step.join(label.withColumnRenamed("id", "at"), "at").groupBy(F.col("to").alias("id")).agg(F.min("c").alias("n"))
-        new = cut(label.join(come, "id", "left").select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved")))
+        new = stored(label.join(come, "id", "left").select("id", F.least("c", F.coalesce("n", "c")).alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved")))
+        drop(label)
         label = new.select("id", "c")
+        label._stored = new._stored
         if new.where("moved").isEmpty():
             return label
 
 
+def _inside(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges (at, to) between ``ids``."""
+    return e.join(ids.select(F.col("id").alias("at")), "at", "left_semi").join(ids.select(F.col("id").alias("to")), "to", "left_semi").select("at", "to")
+
+
+def _coloured(left: DataFrame, e: DataFrame) -> DataFrame:
+    """(id, c): the members of those components that hold the least node which reaches them, named by it. The least node that
+    reaches a node is its colour; those of a colour that reach back to the node of that id are a component."""
+    colour = _spread(left.select("id", F.col("id").alias("c")), e)
+    same = stored(e.join(colour.select(F.col("id").alias("at"), F.col("c").alias("ca")), "at").join(colour.select(F.col("id").alias("to"), F.col("c").alias("cb")), "to").where("ca = cb").select(F.col("to").alias("at"), F.col("at").alias("to"), F.col("ca").alias("c")))
+    front = stored(colour.where("id = c").select("id", "c"))
+    parts = [front]
+    while not front.isEmpty():
+        got = reduce(DataFrame.unionByName, parts)
+        front = stored(same.join(front.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id"), "c").distinct().join(got.select("id"), "id", "left_anti"))
+        parts.append(front)
+    got = stored(reduce(DataFrame.unionByName, parts))
+    drop(colour, same, *parts)
+    return got
+
+
+def _sparse(e: DataFrame) -> DataFrame:
+    """Two edges out of and two into each node, picked by hashes: aggregates by node, whatever the number of edges."""
+    pick = lambda by, of: e.groupBy(by).agg(*(F.min_by(of, F.xxhash64("at", "to", F.lit(k))).alias(f"p{k}") for k in (1, 2)))
+    out, back = pick("at", "to"), pick("to", "at")
+    rows = out.select("at", F.explode(F.array("p1", "p2")).alias("to")).unionByName(back.select(F.explode(F.array("p1", "p2")).alias("at"), "to"))
+    return rows.distinct()
+
+
 def scc(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components, named by their least member.
 
-    Colouring: the least id that reaches a node is its colour; those of a colour that reach back to the node of that id
-    are its component, and leave the graph; the rest goes on. Nodes that no cycle can hold (no edge in or none out) are
-    trimmed first, each a component of its own.
+    Nodes are whole numbers on the way: hashes of their ids, with another seed where two ids clash. What is connected by a
+    few edges of each node is connected by all: components of such a sparse graph are found first, by one colouring, and drawn
+    together. Few edges are then left as a rule; on them, whole, colouring goes on until every node has its component. Nodes
+    that no cycle can hold (no edge in or none out) are trimmed first, each a component of its own.
     """
-    e = cut(edges.where("target is not null").select(F.col("source").alias("at"), F.col("target").alias("to")).distinct())
-    left = cut(e.select(F.col("at").alias("id")).union(e.select("to")).distinct())
-    done = None
-
-    def finish(rows: DataFrame) -> None:
-        nonlocal done
-        done = rows if done is None else done.unionByName(rows)
-
+    ends = edges.where("target is not null and source is not null").select("source", "target")
+    ids = stored(ends.select(F.col("source").alias("name")).distinct().unionByName(ends.select(F.col("target").alias("name")).distinct()).distinct())
+    seed = 0
+    code = lambda c: F.xxhash64(F.col(c), F.lit(seed))
+    while not ids.groupBy(code("name").alias("h")).count().where("count > 1").isEmpty():
+        seed += 1
+    e = ends.select(code("source").alias("at"), code("target").alias("to"))
+    some = stored(_sparse(e))
+    first = _coloured(stored(some.select(F.col("at").alias("id")).union(some.select("to")).distinct()), some)
+    drop(some)
+    name = lambda a, b: first.select(F.col("id").alias(a), F.col("c").alias(b))
+    drawn = e.join(name("at", "a"), "at", "left").select(F.coalesce("a", "at").alias("at"), "to").distinct()
+    drawn = drawn.join(name("to", "b"), "to", "left").select("at", F.coalesce("b", "to").alias("to")).where("at <> to").distinct()
+    e = stored(drawn)
+    left = stored(e.select(F.col("at").alias("id")).union(e.select("to")).distinct())
+    found = []
     while not left.isEmpty():
-        while True:  # trim
-            core = cut(left.join(e.select(F.col("at").alias("id")), "id", "left_semi").join(e.select(F.col("to").alias("id")), "id", "left_semi"))
-            gone = cut(left.join(core, "id", "left_anti"))
-            if gone.isEmpty():
+        while True:  # trim: nodes that go are components of their own
+            core = stored(left.join(e.select(F.col("at").alias("id")), "id", "left_semi").join(e.select(F.col("to").alias("id")), "id", "left_semi"))
+            if core.count() == left.count():
                 break
-            finish(gone.select("id", F.col("id").alias("component")))
-            left = core
-            e = cut(e.join(core.withColumnRenamed("id", "at"), "at", "left_semi").join(core.withColumnRenamed("id", "to"), "to", "left_semi").select("at", "to"))
+            small = stored(_inside(e, core))
+            drop(e, left)
+            e, left = small, core
         if left.isEmpty():
             break
-        colour = _spread(left.withColumn("c", F.col("id")), e)
-        same = cut(e.join(colour.select(F.col("id").alias("at"), F.col("c").alias("ca")), "at").join(colour.select(F.col("id").alias("to"), F.col("c").alias("cb")), "to").where("ca = cb").select(F.col("to").alias("at"), F.col("at").alias("to")))
-        front = cut(colour.where("id = c").select("id", "c"))
-        got = front
-        while not front.isEmpty():
-            front = cut(same.join(front.withColumnRenamed("id", "at"), "at").select(F.col("to").alias("id"), "c").distinct().join(got, "id", "left_anti"))
-            got = got.unionByName(front)
-        got = cut(got)
-        finish(got.select("id", F.col("c").alias("component")))
-        left = cut(left.join(got, "id", "left_anti"))
-        e = cut(e.join(left.withColumnRenamed("id", "at"), "at", "left_semi").join(left.withColumnRenamed("id", "to"), "to", "left_semi").select("at", "to"))
-    return done if done is not None else left.withColumn("component", F.col("id"))
+        got = _coloured(left, e)
+        found.append(got)
+        rest = stored(left.join(got, "id", "left_anti"))
+        small = stored(_inside(e, rest))
+        drop(e)
+        e, left = small, rest
+    nodes = ids.select("name", code("name").alias("id")).join(first, "id", "left").select("name", F.coalesce("c", "id").alias("id"))
+    if found:
+        last = reduce(DataFrame.unionByName, found)
+        nodes = nodes.join(last, "id", "left").select("name", F.coalesce("c", "id").alias("id"))
+    nodes = stored(nodes)
+    least = nodes.groupBy("id").agg(F.min("name").alias("component"))
+    return nodes.join(least, "id").select(F.col("name").alias("id"), "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
