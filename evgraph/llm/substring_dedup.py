@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import frugal, mix, ship, stage, table, text_slices, unique, utf8, word_hashes, words, written
 from .near_dup import _bitmap
 
-WINDOW, BUCKET_WINDOWS, SLICE, FREQUENT = 20, 1 << 20, 4 << 20, 1 << 19
+WINDOW, BUCKET_WINDOWS, SLICE, FREQUENT = 20, 1 << 20, 2 << 20, 1 << 19
 
 #: Odd bases of the two rolling hashes, and their inverses modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
