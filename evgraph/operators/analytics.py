@@ -166,6 +166,14 @@ def layers(edges: DataFrame) -> DataFrame:
 GROUP_ROWS = 200_000
 
 
+def _parts(sizes: DataFrame, most: int) -> tuple[bool, DataFrame, bool]:
+    """Whether any group of ``sizes`` (grp, n) has up to ``most`` rows; the larger groups' names; whether there are any. A group
+    without a name counts as small."""
+    large = F.coalesce(F.col("grp").isNotNull() & (F.col("n") > most), F.lit(False))
+    told = sizes.agg(F.count(F.when(~large, 1)).alias("small"), F.count(F.when(large, 1)).alias("large")).first()
+    return told.small > 0, sizes.where(large).select("grp"), told.large > 0
+
+
 def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20, most: int = GROUP_ROWS) -> DataFrame:
     """(grp, id, score) of personalised PageRank, a group at a time.
 
@@ -174,11 +182,12 @@ def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20, most:
     nothing leaves spread evenly over all. Parallel edges count each. Groups of more than ``most`` rows are ranked by
     :func:`wide_page_rank`, so no task holds an unbounded group; both give the same scores.
     """
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    large = sizes.select("grp")
-    if not sizes.isEmpty():
-        small = page_rank(groups.join(large, "grp", "left_anti"), damping, rounds, 1 << 62)
-        return small.unionByName(wide_page_rank(groups.join(large, "grp", "left_semi"), damping, rounds))
+    small, names, large = _parts(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), most)
+    if large and not small:
+        return wide_page_rank(groups, damping, rounds, most)
+    if large:
+        rest = page_rank(groups.join(names, "grp", "left_anti"), damping, rounds, 1 << 62)
+        return rest.unionByName(wide_page_rank(groups.join(names, "grp", "left_semi"), damping, rounds, most))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf.source, pdf.target[pdf.target.notna()]]).astype(str))
@@ -198,20 +207,57 @@ def page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20, most:
     return groups.groupBy("grp").applyInPandas(one, "grp string, id string, score double")
 
 
-def wide_page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """:func:`page_rank` by joins, for groups of any size: a round is one join along the edges and two aggregates; its lineage
-    is cut, so a lost executor costs a round."""
-    e = cut(groups.where("target is not null").groupBy("grp", "source", "target").agg(F.count(F.lit(1)).alias("times")))
-    ids = groups.select("grp", F.col("source").alias("id"), "anchor").unionByName(e.select("grp", F.col("target").alias("id"), F.lit(False).alias("anchor")))
-    ids = ids.groupBy("grp", "id").agg(F.max("anchor").alias("anchor"))
-    out = e.groupBy("grp", F.col("source").alias("id")).agg(F.sum("times").alias("out"))
-    size = ids.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anchor").cast("int")).alias("anchors"))  # a row for each group
-    nodes = cut(ids.join(out, ["grp", "id"], "left").join(size, "grp").withColumn("start", F.when(F.col("anchor"), 1.0 / F.col("anchors")).otherwise(0.0)).drop("anchor", "anchors"))
-    rank = nodes.withColumn("score", 1.0 / F.col("n"))
-    for _ in range(rounds):
-        share = rank.where("out is not null").select("grp", F.col("id").alias("source"), (F.col("score") / F.col("out")).alias("share"))
-        come = e.join(share, ["grp", "source"]).groupBy("grp", F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("times")).alias("come"))
-        lost = rank.groupBy("grp").agg(F.sum(F.when(F.col("out").isNull(), F.col("score")).otherwise(0.0)).alias("lost"))
-        now = (1 - damping) * F.col("start") + damping * (F.coalesce("come", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        rank = cut(nodes.join(come, ["grp", "id"], "left").join(lost, "grp").withColumn("score", now).select(*nodes.columns, "score"))
-    return rank.select("grp", "id", "score")
+def wide_page_rank(groups: DataFrame, damping: float = 0.85, rounds: int = 20, most: int = GROUP_ROWS) -> DataFrame:
+    """:func:`page_rank` for groups of any size.
+
+    Nodes that nothing enters have one rank if they are anchors (role 1) and one if not (role 2), so a row of a group stands for
+    all of a role, and what they give a node is its column ``w1`` or ``w2`` times that rank. The rest (nodes that are entered, role
+    0, and the edges between them) is ranked by one task a group where it has up to ``most`` rows. Else a round is one join
+    along the edges and two aggregates; its lineage is cut, so a lost executor costs a round.
+    """
+    edge = F.col("source").isNotNull() & F.col("target").isNotNull()
+    ends = groups.select("grp", F.col("source").alias("id"), "anchor", edge.cast("long").alias("out"), F.lit(False).alias("entered"))
+    ends = ends.unionByName(groups.where("target is not null").select("grp", F.col("target").alias("id"), F.lit(False).alias("anchor"), F.lit(0).cast("long").alias("out"), F.lit(True).alias("entered")))
+    nodes = ends.groupBy("grp", "id").agg(F.coalesce(F.max("anchor"), F.lit(False)).alias("anchor"), F.sum("out").alias("out"), F.max("entered").alias("entered"))
+    role = F.when(F.col("entered"), 0).when(F.col("anchor"), 1).otherwise(2)
+    nodes = cut(nodes.select("grp", "id", "anchor", "out", role.alias("role"), F.when(F.col("entered"), F.col("id")).alias("key")))
+    size = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anchor").cast("int")).alias("anchors"))  # a row for each group
+    e = groups.where("target is not null").select("grp", "source", "target").join(nodes.select("grp", F.col("id").alias("source"), "role", "key", "out"), ["grp", "source"])
+    e = cut(e.groupBy("grp", "role", F.col("key").alias("source"), F.col("target").alias("key")).agg(F.sum(1.0 / F.col("out")).alias("weight")))
+    given = e.where("role > 0").groupBy("grp", "key").agg(*[F.sum(F.when(F.col("role") == r, F.col("weight")).otherwise(0.0)).alias(f"w{r}") for r in (1, 2)])
+    some = nodes.groupBy("grp", "role", "key").agg(F.max("anchor").alias("anchor"), F.sum((F.col("out") == 0).cast("long")).alias("ends")).join(F.broadcast(size), "grp").join(given, ["grp", "key"], "left")
+    start = F.when(F.col("anchor"), 1.0 / F.col("anchors")).otherwise(0.0).alias("start")
+    some = cut(some.select("grp", "role", "key", "ends", "n", start, *[F.coalesce(w, F.lit(0.0)).alias(w) for w in ("w1", "w2")]))
+    e = e.where("role = 0").select("grp", "source", "key", "weight")
+
+    def one(some: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        at = {x: i for i, (x, role) in enumerate(zip(some.key, some.role)) if role == 0}
+        src, dst = e.source.map(at).to_numpy(int), e.key.map(at).to_numpy(int)
+        weight, start, ends, w1, w2 = e.weight.to_numpy(float), *(some[c].to_numpy(float) for c in ("start", "ends", "w1", "w2"))
+        n, of = some.n.iloc[0], [(some.role == r).to_numpy() for r in (1, 2)]
+        rank = np.full(len(some), 1.0 / n)
+        for _ in range(rounds):
+            come = np.bincount(dst, rank[src] * weight, len(some)) + w1 * rank[of[0]].sum() + w2 * rank[of[1]].sum()
+            rank = (1 - damping) * start + damping * (come + rank @ ends / n)
+        return some[["grp", "role", "key"]].assign(score=rank)
+
+    def joined(some: DataFrame, e: DataFrame) -> DataFrame:
+        rank = some.withColumn("score", 1.0 / F.col("n"))
+        for _ in range(rounds):
+            share = rank.where("role = 0").select("grp", F.col("key").alias("source"), "score")
+            come = e.join(share, ["grp", "source"]).groupBy("grp", "key").agg(F.sum(F.col("score") * F.col("weight")).alias("come"))
+            told = rank.groupBy("grp").agg(F.sum(F.col("score") * F.col("ends")).alias("lost"), *[F.sum(F.when(F.col("role") == r, F.col("score")).otherwise(0.0)).alias(f"s{r}") for r in (1, 2)])
+            come = some.join(come, ["grp", "key"], "left").join(F.broadcast(told), "grp")  # a row for each group
+            got = F.coalesce("come", F.lit(0.0)) + F.col("w1") * F.col("s1") + F.col("w2") * F.col("s2") + F.col("lost") / F.col("n")
+            rank = cut(come.select(*some.columns, ((1 - damping) * F.col("start") + damping * got).alias("score")))
+        return rank.select("grp", "role", "key", "score")
+
+    small, names, large = _parts(some.select("grp").unionByName(e.select("grp")).groupBy("grp").agg(F.count(F.lit(1)).alias("n")), most)
+    score = joined(some.join(names, "grp", "left_semi"), e.join(names, "grp", "left_semi")) if large else None
+    if small or not large:
+        few = [df.join(names, "grp", "left_anti").select(*[F.col(c).alias(c) for c in df.columns]) if large else df for df in (some, e)]  # new columns: cogroup takes joined ones for ambiguous
+        told = cut(few[0].groupBy("grp").cogroup(few[1].groupBy("grp")).applyInPandas(one, "grp string, role int, key string, score double"))
+        score = told if score is None else score.unionByName(told)
+    inner = nodes.where("role = 0").join(score.where("role = 0").select("grp", "key", "score"), ["grp", "key"])
+    outer = nodes.where("role > 0").join(F.broadcast(score.where("role > 0").select("grp", "role", "score")), ["grp", "role"])  # up to two rows for each group
+    return inner.select("grp", "id", "score").unionByName(outer.select("grp", "id", "score"))

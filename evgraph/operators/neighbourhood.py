@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -58,7 +59,22 @@ def pack(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, budget: int, ho
     """
     local = cut(traverse.local_hops(anchors, edges, hops + 1 if radius is None else radius).join(nodes, "id"))
     inside = lambda end: local.select(F.col("id").alias(end))
-    within = cut(edges.join(inside("source"), "source", "left_semi").join(inside("target"), "target", "left_semi").select(*edges.columns))
+    within = edges.join(inside("source"), "source", "left_semi").join(inside("target"), "target", "left_semi").select(*edges.columns)
+    return _packed(local, within, anchors, edges.where("target is null").select(F.lit("unresolved").alias("reason")), budget, hops)
+
+
+def typed_pack(nodes: DataFrame, relations: list[traverse.Relation], anchors: list[str], budget: int, hops: int = 2, radius: int | None = None) -> Pack:
+    """:func:`pack` over relations; ``anchors`` are ids. Synapses are (source, target, kind)."""
+    spark = nodes.sparkSession
+    local = cut(traverse.typed_local_hops(spark, anchors, relations, hops + 1 if radius is None else radius).join(nodes, "id"))
+    loose = [r.rows.where(F.col(r.target_key).isNull()).select(F.lit("unresolved").alias("reason")) for r in relations]
+    named = spark.createDataFrame([(x,) for x in anchors], "id string")
+    return _packed(local, traverse.typed_inside(local, relations), named, reduce(DataFrame.unionByName, loose), budget, hops)
+
+
+def _packed(local: DataFrame, within: DataFrame, anchors: DataFrame, loose: DataFrame, budget: int, hops: int) -> Pack:
+    """The pack of ``local`` (id, depth, cost), the edges ``within`` it and the omissions (reason) of edges without a target."""
+    within = cut(within)
     named = anchors.select("id").distinct().withColumn("anchor", F.lit(True))
     every = local.join(named, "id", "left").select(F.lit("").alias("grp"), F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), F.coalesce("anchor", F.lit(False)).alias("anchor"))
     score = analytics.page_rank(within.select(F.lit("").alias("grp"), "source", "target", F.lit(False).alias("anchor")).unionByName(every))
@@ -68,7 +84,7 @@ def pack(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, budget: int, ho
     told = cut(ranking.budget_skip(rest, "id", "cost", ["neg", "id"], int(budget - spent), ["grp"]).select("id", "taken"))
     neurons = cut(rows.where("anchor").select("id", "score", "depth", "cost").unionByName(rows.join(told.where("taken").select("id"), "id", "left_semi").select("id", "score", "depth", "cost")))
     kept = lambda end: neurons.select(F.col("id").alias(end))
-    synapses = within.join(kept("source"), "source", "left_semi").join(kept("target"), "target", "left_semi").select(*edges.columns)
+    synapses = within.join(kept("source"), "source", "left_semi").join(kept("target"), "target", "left_semi").select(*within.columns)
     left = told.where("not taken").select(F.lit("budget").alias("reason")).unionByName(rows.where(~F.col("anchor") & (F.col("depth") > hops)).select(F.lit("hops").alias("reason")))
-    left = left.unionByName(edges.where("target is null").select(F.lit("unresolved").alias("reason")))
+    left = left.unionByName(loose)
     return Pack(neurons, synapses, left.groupBy("reason").agg(F.count(F.lit(1)).alias("n")))

@@ -247,3 +247,23 @@ def local_hops(anchors: DataFrame, edges: DataFrame, radius: int = 3) -> DataFra
     e = edges.where("target is not null")
     two_way = e.where(~F.col("kind").isin(*FORWARD)).select(F.col("target").alias("source"), F.col("source").alias("target"), "kind")
     return closure(anchors, e.select("source", "target", "kind").unionByName(two_way), radius, "out")
+
+
+def typed_local_hops(spark: SparkSession, anchors: Iterable[str], relations: list[Relation], radius: int = 3) -> DataFrame:
+    """:func:`local_hops` over relations; ``anchors`` are ids."""
+    back = [Relation(r.target, r.source, r.kind, r.rows, r.target_key, r.source_key) for r in relations if r.kind not in FORWARD]
+    return typed_closure(spark, anchors, [*relations, *back], radius, "out")
+
+
+def typed_inside(reached: DataFrame, relations: list[Relation]) -> DataFrame:
+    """(source, target, kind): the edges of ``relations`` with both ends among ``reached`` (id)."""
+    def inside(kind: str, name: str) -> DataFrame:
+        return reached.where(F.startswith("id", F.lit(f"{kind}:"))).select(F.substring("id", F.lit(len(kind) + 2), F.length("id")).cast("long").alias(name))
+
+    out = None
+    for r in relations:
+        e = r.rows.select(F.col(r.source_key).cast("long").alias("source"), F.col(r.target_key).cast("long").alias("target"))
+        e = e.join(inside(r.target, "target"), "target", "left_semi").join(inside(r.source, "source"), "source", "left_semi")
+        e = e.select(*[F.concat(F.lit(f"{k}:"), F.col(c).cast("string")).alias(c) for k, c in ((r.source, "source"), (r.target, "target"))], F.lit(r.kind).alias("kind"))
+        out = e if out is None else out.unionByName(e)
+    return out

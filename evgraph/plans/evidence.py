@@ -39,15 +39,17 @@ def bounded_neighbors(spark, d):
     return neighbourhood.page(nodes.where("position <= 20"), edges, 60, (5, 0)).select("phase", "position", "cost", "used")
 
 
-def neighborhood(spark, d):
+def _around(spark, d) -> neighbourhood.Pack:
     nodes = tables.nodes(spark, d, ("region", "nation", "customer", "supplier")).select("id", (F.length("id") * 2).cast("long").alias("cost"))
-    got = neighbourhood.pack(nodes, tables.small_edges(spark, d), _seed(spark, "region:1", "nation:3"), 900, 1, 2)
-    return got.neurons.select("id", F.round("score", 6).alias("score"), "depth")
+    return neighbourhood.typed_pack(nodes, tables.small_relations(spark, d), ["region:1", "nation:3"], 900, 1, 2)
+
+
+def neighborhood(spark, d):
+    return _around(spark, d).neurons.select("id", F.round("score", 6).alias("score"), "depth")
 
 
 def neighborhood_omissions(spark, d):
-    nodes = tables.nodes(spark, d, ("region", "nation", "customer", "supplier")).select("id", (F.length("id") * 2).cast("long").alias("cost"))
-    return neighbourhood.pack(nodes, tables.small_edges(spark, d), _seed(spark, "region:1", "nation:3"), 900, 1, 2).omissions
+    return _around(spark, d).omissions
 
 
 _PACK = f"""WITH RECURSIVE {SQL_SMALL}, arcs AS (SELECT source a, target b FROM small UNION SELECT target, source FROM small),

@@ -66,12 +66,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_edges(spark, sf_dir).unionByName(use_edges(spark, sf_dir))
 
 
-def relations(spark: SparkSession, sf_dir: str, orders: bool = True) -> list[Relation]:
-    """The same edges as tables of keys, for traversals that need no tier; without ``orders``, those below parts only."""
-    out = [
+def small_relations(spark: SparkSession, sf_dir: str) -> list[Relation]:
+    """:func:`small_edges` as tables of keys."""
+    return [
         Relation("nation", "region", "REFERENCES", read(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey"),
         Relation("customer", "nation", "REFERENCES", read(spark, sf_dir, "customer"), "c_custkey", "c_nationkey"),
         Relation("supplier", "nation", "REFERENCES", read(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey"),
+    ]
+
+
+def relations(spark: SparkSession, sf_dir: str, orders: bool = True) -> list[Relation]:
+    """The same edges as tables of keys, for traversals that need no tier; without ``orders``, those below parts only."""
+    out = [
+        *small_relations(spark, sf_dir),
         Relation("part", "supplier", "USES", read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey"),
         Relation("order", "customer", "REFERENCES", read(spark, sf_dir, "orders"), "o_orderkey", "o_custkey"),
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evgraph.operators import adapters, analytics, context, extract, neighbourhood, policy, ranking, resolve, traverse, truth
 from evgraph.operators.order import positions
+from evgraph.session import cut
 from evgraph.sources import store
 from evgraph.streaming import maintenance
 
@@ -54,6 +55,50 @@ def test_wide_page_rank_is_page_rank(spark):
     assert abs(sum(v for (g, _), v in one.items() if g == "a") - 1) < 1e-9
 
 
+@pytest.mark.parametrize("most, cuts", [(25, 4), (1, 7), (17, 8)])
+def test_wide_page_rank_of_nodes_that_nothing_enters(spark, monkeypatch, most, cuts):
+    """Most nodes are not entered: they are ranked together, however many rounds there are. 25: in one task; 1: by joins; 17: one
+    group in a task, one by joins."""
+    rng = random.Random(3)
+    rows = [("a", f"leaf{i}", rng.choice(["hub", "mid", ""]), i in (4, 9)) for i in range(40)] + [("a", "leaf4", "hub", True)] * 2
+    rows += [("a", "mid", "hub", False), ("a", "hub", "hub", False), ("a", "hub", "mid", False), ("a", "", "end", False)]
+    rows += [("a", f"alone{i}", None, i == 0) for i in range(6)] + [("a", "hub", None, True)]
+    rows += [("b", f"x{i}", f"x{(i * 7 + 1) % 11}", False) for i in range(30)] + [("b", "x3", None, True), ("c", "only", None, True), ("c", "other", None, False)]
+    groups = table(spark, rows, "grp string, source string, target string, anchor boolean")
+    want = {(r.grp, r.id): r.score for r in analytics.page_rank(groups, rounds=4).collect()}
+    made = []
+    monkeypatch.setattr(analytics, "cut", lambda df: made.append(1) or cut(df))
+    got = [((r.grp, r.id), r.score) for r in analytics.page_rank(groups, rounds=4, most=most).collect()]
+    assert len(got) == len(want) and all(abs(want[k] - v) < 1e-12 for k, v in got)
+    assert len(made) == cuts
+
+
+def test_page_rank_of_a_star_is_cut_a_few_times(spark, monkeypatch):
+    rows = [("", f"leaf{i}", "hub", i == 7) for i in range(300)]
+    groups = table(spark, rows, "grp string, source string, target string, anchor boolean")
+    made = []
+    monkeypatch.setattr(analytics, "cut", lambda df: made.append(1) or cut(df))
+    got = {r.id: r.score for r in analytics.page_rank(groups, most=100).collect()}
+    assert len(made) == 4 and len(got) == 301 and abs(sum(got.values()) - 1) < 1e-9
+    assert got["hub"] > got["leaf7"] > got["leaf8"] == got["leaf9"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_typed_pack_is_the_pack(spark, seed):
+    rng = random.Random(seed)
+    kinds = {"ab": "REFERENCES", "bc": "CALLS", "ca": "REFERENCES", "bb": "REFERENCES"}
+    pairs = {k: [(rng.randrange(9), rng.randrange(9)) for _ in range(9)] + [(2, None)] for k in kinds}
+    relations = [traverse.Relation(k[0], k[1], kinds[k], table(spark, p, "x long, y int"), "x", "y") for k, p in pairs.items()]
+    flat = table(spark, [(f"{k[0]}:{x}", None if y is None else f"{k[1]}:{y}", kinds[k]) for k, p in pairs.items() for x, y in p], "source string, target string, kind string")
+    nodes = table(spark, [(f"{k}:{i}", 4 + i % 3) for k in "abc" for i in range(8)], "id string, cost long")
+    asked = ["a:1", "b:2", "c:77"]
+    want = neighbourhood.pack(nodes, flat, table(spark, [(x,) for x in asked], "id string"), 30, 1, 2)
+    got = neighbourhood.typed_pack(nodes, relations, asked, 30, 1, 2)
+    for a, b in zip(want, got):
+        rows = sorted(map(tuple, a.collect()))
+        assert rows and rows == sorted(map(tuple, b.select(*a.columns).collect()))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_typed_closure_is_the_closure(spark, seed):
     rng = random.Random(seed)
